@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loftline.llm import ann, decontam, langid, packing, pii, secrets, tokenbin
+from loftline.llm import ann, decontam, langid, lm, packing, pii, secrets, tokenbin
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.token_digests(tokenbin.token_files(_table(spark, sf_dir, "documents")))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "edits", "start", "end")
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_packing": op4_packing,
     "op5_token_ids": op5_token_ids,
+    "op6_lm_score": op6_lm_score,
     "op7_decontamination": op7_decontamination,
     "op8_nearest": op8_nearest,
 }

@@ -572,7 +572,7 @@ _ICON = "list_value(" + ", ".join(f"'{i}'" for i in bins.RISK_ICONS) + ")[cast(l
 _FIXED = _case("raw", [("<= 1000", 4), ("<= 2000", 3), ("<= 3000", 2), ("<= 4000", 1)], 0, "NULL").replace("'NULL'", "NULL")
 
 
-@register(f"WITH {BASE_SQL}, x AS (SELECT zpid, drive_time, rating, ai_rank, elementary_school_rating AS school, cast(flood_risk_severity as double) / 2e0 AS risk, {COMPOSITE_SQL['avg_crime_severity_raw']} AS raw FROM base) SELECT zpid, {_DRIVE} AS drive_color, {_SCOL} AS school_color, coalesce({_ICON}, '❓') AS risk_icon, {_FIXED} AS crime_level, case rating when 'yes' then '#48bb78' when 'maybe' then '#ed8936' when 'no' then '#f56565' else '#cbd5e0' end AS marker, coalesce(ai_rank, 99999) AS sort_rank FROM x")
+@register(f"WITH {BASE_SQL}, x AS (SELECT zpid, drive_time, rating, ai_rank, elementary_school_rating AS school, cast(flood_risk_severity as double) / 2e0 AS risk, {COMPOSITE_SQL['avg_crime_severity_raw']} AS raw FROM base) SELECT zpid, {_DRIVE} AS drive_color, {_SCOL} AS school_color, case when risk IS NULL then '❓' else {_ICON} end AS risk_icon, {_FIXED} AS crime_level, case rating when 'yes' then '#48bb78' when 'maybe' then '#ed8936' when 'no' then '#f56565' else '#cbd5e0' end AS marker, coalesce(ai_rank, 99999) AS sort_rank FROM x")
 def bins_fixed(spark: SparkSession, d: str) -> DataFrame:
     raw = scoring.composites(_P)["avg_crime_severity_raw"]
     return _base(spark, d).select(

@@ -36,7 +36,7 @@ def school_colour(rating: Column) -> Column:
 def icon(level: Column, icons: Sequence[str]) -> Column:
     """The icon of a level, rounded half to even and held to the scale."""
     at = F.least(F.greatest(F.bround(level.cast("double"), 0), F.lit(0.0)), F.lit(float(len(icons) - 1))).cast("int")
-    return F.coalesce(F.element_at(F.array(*[F.lit(i) for i in icons]), at + 1), F.lit("❓"))
+    return F.when(level.isNull(), F.lit("❓")).otherwise(F.element_at(F.array(*[F.lit(i) for i in icons]), at + 1))
 
 
 def crime_level_by_range(rate: Column, low: Column, high: Column) -> Column:

@@ -26,8 +26,12 @@ def struct_of(kinds: dict[str, str], key: str | None = None) -> T.StructType:
     return T.StructType(head + [T.StructField(n, _KINDS.get(k, T.StringType())) for n, k in kinds.items()])
 
 
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES = {"int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "timestamp": T.TimestampType()}
+
+
+def _struct(fields: str) -> T.StructType:
+    """A schema from 'name type, ...'; needs no session."""
+    return T.StructType([T.StructField(n, _TYPES[k]) for n, k in map(str.split, fields.split(", "))])
 
 
 SCHEMAS = {

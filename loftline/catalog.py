@@ -16,7 +16,7 @@ from loftline.functions import bins, html, scoring, text
 from loftline.operators import filters, joins, merge, pairs, ranks
 from loftline.plans import enrichment, learning, listings, tournament
 from loftline.sources.tables import table
-from loftline.spec import DEFAULT_WEIGHTS, ScoringParams, normalised_weights
+from loftline.spec import DEFAULT_WEIGHTS, QuerySpec, ScoringParams, normalised_weights
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -439,6 +439,16 @@ def incremental_rank(spark: SparkSession, d: str) -> DataFrame:
     return tournament.refreshed(items, ranked, tournament.score_judge("score"))
 
 
+@register(f"WITH {_RANKED} SELECT min(rank) AS first_rank, max(rank) AS last_rank, count(*) AS n_ranked FROM ranked")
+def rank_report(spark: SparkSession, d: str) -> DataFrame:
+    return tournament.rank_report(_ranked(spark, d)[0])
+
+
+@register("SELECT count(*) AS n FROM events")
+def row_count(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").agg(F.count("*").alias("n"))
+
+
 @register("WITH c AS (SELECT l_orderkey AS zpid, p_name AS name, l_shipdate AS d, l_linenumber AS n, l_quantity FROM lineitem JOIN part ON l_partkey = p_partkey) SELECT zpid, name, n FROM (SELECT *, row_number() OVER (PARTITION BY zpid ORDER BY d, n) AS k FROM c WHERE l_quantity >= 40 OR regexp_matches(lower(name), '\\btarget\\b|\\biga\\b')) WHERE k = 1")
 def first_qualifying(spark: SparkSession, d: str) -> DataFrame:
     lines, part = table(spark, d, "lineitem"), table(spark, d, "part").select("p_partkey", F.col("p_name").alias("name"))
@@ -666,6 +676,16 @@ def learn_weights(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(sorted((k, float(w)) for k, w in weights.items()), "feature string, weight double")
 
 
+@register(f"WITH {TOTAL_SQL}, ends AS (SELECT min({COMPOSITE_SQL['avg_crime_severity_raw']}) AS lo, max({COMPOSITE_SQL['avg_crime_severity_raw']}) AS hi FROM totals WHERE financing_eligibility), x AS (SELECT *, {COMPOSITE_SQL['avg_crime_severity_raw']} AS raw FROM totals WHERE financing_eligibility) SELECT zpid, rating, status, round(total_score, 6) AS total_score, cast(case when raw IS NULL then NULL else 4 - least(4, floor((raw - lo) / (hi - lo) * 5e0)) end as int) AS crime_icon_level FROM x CROSS JOIN ends WHERE rating IN ('yes', 'maybe', '') AND status = 'Active' AND (rating <> '' OR total_score >= 40)")
+def listing_view(spark: SparkSession, d: str) -> DataFrame:
+    """The whole view: scores, filters, display and threshold in their order."""
+    base = _base(spark, d).withColumns({"full_address": F.lit("1 A St, Bend, OR 97701")})
+    ratings = base.select("zpid", F.nullif("rating", F.lit("")).alias("rating"))
+    notes = base.select("zpid", F.lit("n").alias("note")).where("zpid % 2 = 0")
+    rows, _ = listings.listing_view(base.drop("rating"), ratings, notes, QuerySpec(statuses=("Active",), score_threshold=40))
+    return _rounded(rows, ["zpid", "rating", "status", "crime_icon_level"], ["total_score"])
+
+
 @register()
 def listing_records(spark: SparkSession, d: str) -> DataFrame:
     from loftline.sources.tables import records

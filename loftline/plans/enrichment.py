@@ -44,8 +44,8 @@ def with_fallback(places: DataFrame, first: DataFrame, first_keys: list[str], se
     return joined.select(*places.columns, *[F.coalesce(f"{m}_fine", f"{m}_coarse").alias(m) for m in metrics])
 
 
-def crime_table(addresses: DataFrame, cities: DataFrame, counties: DataFrame) -> DataFrame:
-    """zpid, violent_100k, property_100k: of the city, or else of the county; one row a listing.
+def crime_table(addresses: DataFrame, cities: DataFrame, counties: DataFrame, unique: bool = True) -> DataFrame:
+    """zpid, violent_100k, property_100k: of the city, or else of the county; one row a listing if ``unique``.
 
     ``addresses`` has zpid, full_address and county.
     """
@@ -53,6 +53,8 @@ def crime_table(addresses: DataFrame, cities: DataFrame, counties: DataFrame) ->
     places = addresses.select("zpid", city.alias("city"), state.alias("state"), text.county(F.col("county")).alias("county")).distinct()
     metrics = ["violent_100k", "property_100k"]
     found = with_fallback(places, cities, ["city", "state"], counties, ["county", "state"], metrics)
+    if not unique:
+        return found.select("zpid", *metrics)
     return joins.one_per_key(found.select("zpid", *metrics), "zpid", [F.col(m).isNull() for m in metrics] + metrics)
 
 

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loftline.functions.scoring import scored
+from loftline.operators import filters
 from loftline.operators.pairs import RATING_VALUES, TURNED
-from loftline.spec import DEFAULT_WEIGHTS
+from loftline.plans.listings import listing_view
+from loftline.spec import DEFAULT_WEIGHTS, QuerySpec
 
 MAX_WEIGHT, MIN_RATINGS = 50.0, 10
 #: Rated rows that are collected; ratings are given one by one by people.
@@ -82,13 +85,13 @@ def minimise(loss: PairLoss, w0: np.ndarray, rounds: int = 100) -> np.ndarray:
     return w
 
 
-def learned_weights(scored: DataFrame, ratings: DataFrame, aggressiveness: float = 0.4, defaults: Mapping[str, float] = DEFAULT_WEIGHTS) -> tuple[dict[str, float], dict[str, object]]:
+def learned_weights(scores: DataFrame, ratings: DataFrame, aggressiveness: float = 0.4, defaults: Mapping[str, float] = DEFAULT_WEIGHTS) -> tuple[dict[str, float], dict[str, object]]:
     """Weights blended from the learned and the default ones, and a report.
 
     Only rated rows are collected, at most ``MAX_RATED``; more is an error, not a sample.
     """
-    names = [n for n in defaults if f"{n}_score" in scored.columns]
-    rated = scored.join(ratings.where(F.col("rating").isin(*RATING_VALUES)).select("zpid", "rating"), "zpid")
+    names = [n for n in defaults if f"{n}_score" in scores.columns]
+    rated = scores.join(ratings.where(F.col("rating").isin(*RATING_VALUES)).select("zpid", "rating"), "zpid")
     columns = [F.coalesce(F.nanvl(F.col(f"{n}_score").cast("double"), F.lit(50.0)), F.lit(50.0)).alias(n) for n in names]
     rows = rated.orderBy("zpid").select("rating", *columns).limit(MAX_RATED + 1).collect()
     if len(rows) > MAX_RATED:
@@ -106,6 +109,18 @@ def learned_weights(scored: DataFrame, ratings: DataFrame, aggressiveness: float
     return {**defaults, **dict(zip(names, map(float, blended)))}, info
 
 
+def learned_view(base: DataFrame, ratings: DataFrame, notes: DataFrame, spec: QuerySpec) -> tuple[DataFrame, dict[str, float], dict[str, object]]:
+    """The listing view under weights learned from ratings of the listings that its filters leave.
+
+    Returns the view's rows by score, the weights and the learner's report.
+    """
+    known = filters.by_status(filters.by_financing(scored(base, spec.weights, spec.params), spec.financing), spec.statuses)
+    mine = ratings.where(F.col("rating").isin(*RATING_VALUES)).join(known.select("zpid"), "zpid", "left_semi")
+    weights, info = learned_weights(known, mine, spec.aggressiveness)
+    rows, _ = listing_view(base, mine, notes, replace(spec, weights=weights, mode="score", geo_only=False))
+    return rows, weights, info
+
+
 def scaled_weights(weights: Mapping[str, float], low: float = 0.1, high: float = MAX_WEIGHT) -> dict[str, float]:
     """Each sign's weights brought to a range of sizes, in ascending order of value; zeros stay.
 

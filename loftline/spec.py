@@ -83,7 +83,7 @@ class QuerySpec:
     ratings: tuple[str, ...] = ("yes", "maybe", "blank")
     statuses: tuple[str, ...] = ()
     financing: tuple[str, ...] = ("eligible",)
-    score_threshold: int = 0
+    score_threshold: float = 0.0
     ai_rank_threshold: int = 200
     aggressiveness: float = 0.4
     geo_only: bool = False
@@ -98,7 +98,7 @@ class QuerySpec:
     def from_request(cls, args: Mapping[str, object]) -> QuerySpec:
         """From request-like arguments; what is missing or malformed takes its default."""
         given = {k: as_float(args.get(f"weight_{k}")) for k in DEFAULT_WEIGHTS}
-        many = lambda key, default: tuple(args[key]) if isinstance(args.get(key), (list, tuple)) else default
+        many = lambda key, default: tuple(args[key]) if isinstance(args.get(key), (list, tuple)) and args[key] else default
         base = {f.name: f.default for f in fields(cls) if f.name in ("ratings", "statuses", "financing", "score_threshold", "ai_rank_threshold", "aggressiveness")}
         return cls(
             weights={k: w if (v := given[k]) is None else v for k, w in DEFAULT_WEIGHTS.items()},
@@ -106,9 +106,9 @@ class QuerySpec:
             ratings=many("rating_filter", base["ratings"]),
             statuses=many("status_filter", base["statuses"]),
             financing=many("financing_filter", base["financing"]),
-            score_threshold=as_count(args.get("score_threshold"), base["score_threshold"]),
+            score_threshold=as_float(args.get("min_score_threshold"), base["score_threshold"]),
             ai_rank_threshold=as_count(args.get("ai_rank_threshold"), base["ai_rank_threshold"]),
-            aggressiveness=min(0.9, max(0.1, as_float(args.get("aggressiveness"), base["aggressiveness"]))),
+            aggressiveness=min(0.9, max(0.1, as_float(args.get("optimizer_aggressiveness"), base["aggressiveness"]))),
             geo_only=bool(args.get("geo_only", False)),
         )
 

@@ -137,3 +137,17 @@ def test_user_data_needs_permission(spark):
     ratings, notes = spark.createDataFrame([(1, "yes")], "zpid int, rating string"), spark.createDataFrame([(2, "n")], "zpid int, note string")
     assert as_dict(joins.with_user_data(base, ratings, notes), value="rating") == {1: "yes", 2: ""}
     assert as_dict(joins.with_user_data(base, ratings, notes, allowed=False), value="note") == {1: "", 2: ""}
+
+
+def test_learned_view(spark):
+    from loftline.sources.schema import SCHEMAS, ensure_columns
+    from loftline.spec import QuerySpec
+
+    base = spark.createDataFrame([(k, 100 * k, "Active", k % 5 + 1, True, True, 44.0, -121.0, 1) for k in range(1, 21)], "zpid int, price int, status string, beds int, financing_eligibility boolean, dedicated_office boolean, latitude double, longitude double, ai_rank int")
+    base = ensure_columns(ensure_columns(base, SCHEMAS["property_features"]), SCHEMAS["crime"]).withColumn("drive_time", F.lit(10))
+    ratings = spark.createDataFrame([(k, ("yes", "maybe", "no")[k % 3]) for k in range(1, 13)], "zpid int, rating string")
+    notes = spark.createDataFrame([], "zpid int, note string")
+    rows, weights, info = learning.learned_view(base, ratings, notes, QuerySpec())
+    got = rows.collect()
+    assert info["n_pairs"] == 48 and len(weights) == 24 and len(got) == 20 - 4
+    assert [r["total_score"] for r in got] == sorted((r["total_score"] for r in got), reverse=True)

@@ -84,9 +84,9 @@ def test_only_penalties_score_below_zero(spark):
 
 
 def test_requests():
-    spec = QuerySpec.from_request({"weight_price": "0", "weight_beds": "x", "weight_baths": "", "ranking_mode": "odd", "aggressiveness": 7, "score_threshold": "-3.7"})
+    spec = QuerySpec.from_request({"weight_price": "0", "weight_beds": "x", "weight_baths": "", "ranking_mode": "odd", "optimizer_aggressiveness": 7, "min_score_threshold": "-3.7", "ai_rank_threshold": "-2", "rating_filter": []})
     assert (spec.weights["price"], spec.weights["beds"], spec.weights["baths"]) == (0.0, 3, 2)
-    assert (spec.mode, spec.aggressiveness, spec.score_threshold, spec.ai_rank_threshold) == ("score", 0.9, 0, 200)
+    assert (spec.mode, spec.aggressiveness, spec.score_threshold, spec.ai_rank_threshold, spec.ratings) == ("score", 0.9, -3.7, 0, ("yes", "maybe", "blank"))
     assert (as_count("12.9", 5), as_count(None, 5), as_count("nan", 5)) == (12, 5, 5)
     with pytest.raises(ValueError):
         QuerySpec(mode="odd")

@@ -151,7 +151,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, sample: int = SA
                         rows = rows[own[rows] != ids[j]]
                         if len(rows) < k:
                             rows = np.flatnonzero(own != ids[j])
-                        score = (x[rows] @ q[j]) / (norm[rows] * size[j])
+                        # Row by row in one order, so that equal vectors score exactly the same.
+                        score = (x[rows] * q[j]).sum(1) / (norm[rows] * size[j])
                         if len(rows) > 4 * k:
                             tight = score >= np.partition(score, -k)[-k]
                             rows, score = rows[tight], score[tight]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,10 +28,15 @@ def sheet(df: DataFrame, key: str) -> DataFrame:
     return df.where(F.col(f"`{key}`").isNotNull())
 
 
-def positional(df: DataFrame, names: dict[int, str]) -> DataFrame:
-    """Rename columns by position, and drop rows with nulls in any column."""
+def positional(df: DataFrame, names: dict[int, str], skip: int = 0) -> DataFrame:
+    """Rename columns by position, drop rows with nulls in any column, then the first ``skip`` rows in file order."""
     renamed = df.toDF(*[names.get(i, c) for i, c in enumerate(df.columns)])
-    return renamed.na.drop().select(*names.values())
+    rows = renamed.withColumn("_at", F.monotonically_increasing_id()).na.drop(subset=renamed.columns)
+    if skip:
+        # Row numbers grow with the file's order; only the first few are looked at.
+        last = rows.select("_at").orderBy("_at").limit(skip).agg(F.max("_at").alias("_last"))
+        rows = rows.crossJoin(F.broadcast(last)).where(F.col("_at") > F.col("_last"))
+    return rows.select(*names.values())
 
 
 def queue(df: DataFrame) -> DataFrame:
@@ -92,7 +96,3 @@ def feature_rows(df: DataFrame, column: str = "arguments") -> DataFrame:
 
     parsed = F.from_json(F.col(column), struct_of(FEATURE_KINDS))
     return df.select("zpid", parsed.alias("_f")).select("zpid", "_f.*")
-
-
-def schema_of(df: DataFrame) -> dict[str, str]:
-    return json.loads(json.dumps(dict(df.dtypes)))

@@ -128,6 +128,9 @@ def test_tables(spark, tmp_path):
     assert tables.load_checkpoint(spark, f"{tmp_path}/c") == (3, 4) and tables.load_checkpoint(spark, f"{tmp_path}/none") is None
     links = spark.createDataFrame([(2, 9), (3, 3), (3, 4), (4, 0)], "page int, pos int")
     assert tables.resumed(links, 3, 4).count() == 2
+    sheet = spark.createDataFrame([("a", 1, "t"), ("b", None, "t"), ("c", 3, "t"), ("d", 4, "t")], "x string, y int, z string").coalesce(1)
+    assert [tuple(r) for r in tables.positional(sheet, {0: "place", 1: "people"}, skip=1).collect()] == [("c", 3), ("d", 4)]
+    assert tables.sheet(sheet, "y").count() == 3
     with pytest.raises(ValueError):
         joins.assert_unique(links, "page")
 

@@ -32,13 +32,13 @@ def tournament(df: DataFrame, judge: Judge, batch_size: int = 30, passes: int =
     """
     n = df.count()
     n_batches = max(1, -(-n // batch_size))
-    rows = ranks.shuffled(df, "zpid", seed, "start")
+    rows = _cut(ranks.shuffled(df, "zpid", seed, "start"))
     done = None
     for k in range(passes):
         if done is None:
             seated = ranks.batches(rows.withColumn("pos", F.col("start")), batch_size)
         else:
-            seeded = ranks.ordinal(rows.join(done, "zpid"), "sum_rank", ["start"], "pos")
+            seeded = _cut(ranks.ordinal(rows.join(done, "zpid"), "sum_rank", ["start"], "pos"))
             seated = ranks.round_robin(seeded.drop("sum_rank"), n_batches)
         ranked = ranks.tier_ranks(judge(seated), f"{seed}{k + 1}").select("zpid", "rank")
         both = ranked if done is None else ranked.unionByName(done.select("zpid", F.col("sum_rank").alias("rank")))
@@ -49,12 +49,12 @@ def tournament(df: DataFrame, judge: Judge, batch_size: int = 30, passes: int =
 
 def incremental(ranked: DataFrame, new: DataFrame, judge: Judge, attributes: DataFrame, n_refs: int = 30, batch_size: int = 30, passes: int = 2, seed: str = "s") -> DataFrame:
     """Insert new rows by a tournament among them and references spaced along the ranking."""
-    refs = ranks.spaced_sample(ranked, n_refs)
+    refs = _cut(ranks.spaced_sample(ranked, n_refs))
     field = attributes.join(refs.select("zpid").unionByName(new.select("zpid")), "zpid", "left_semi")
-    mini = tournament(field, judge, batch_size, passes, seed).withColumnRenamed("rank", "mini")
+    mini = _cut(tournament(_cut(field), judge, batch_size, passes, seed).withColumnRenamed("rank", "mini"))
     marks = mini.join(refs.select("zpid", F.col("rank").alias("global_rank")), "zpid").select("mini", "global_rank")
     placed = ranks.mapped_ranks(mini.join(new.select("zpid"), "zpid", "left_semi"), marks, ranked.count())
-    return ranks.merged_ranks(ranked, placed.select("zpid", "rank"))
+    return ranks.merged_ranks(ranked, _cut(placed.select("zpid", "rank")))
 
 
 def refreshed(listings: DataFrame, ranked: DataFrame, judge: Judge, full: bool = False, **options: object) -> DataFrame:
@@ -63,7 +63,7 @@ def refreshed(listings: DataFrame, ranked: DataFrame, judge: Judge, full: bool =
     new = listings.join(ranked, "zpid", "left_anti")
     if full or not kept.take(1):
         return tournament(listings, judge, **options)
-    kept = ranks.compacted(ranked, listings)
+    kept = _cut(ranks.compacted(ranked, listings))
     return incremental(kept, new, judge, listings, **options) if new.take(1) else kept
 
 

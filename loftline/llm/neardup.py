@@ -12,11 +12,11 @@ connected component of links, named by its smallest ``doc_id``.
    sample flips one bit.  The population count of the XOR of two sketches
    estimates how similar the sets are; pairs estimated far below the threshold
    (six standard errors) are not looked at further.
-4. Links are confirmed on the full sets.  First every class is held against the
-   one that stands for its bucket, so a bucket of near copies is settled in as
-   many comparisons as it has members.  Buckets that this leaves in several
-   components are then searched pair by pair, in tiles of bounded size: the best
-   pair of each class and component first, then all that are still apart.
+4. In each bucket a class is tied to the likeliest earlier class of every tree it
+   joins; that makes clusters which hold every link.  These likely pairs are
+   confirmed on the full sets.  Clusters that this leaves in several components
+   are then searched whole, in tiles of bounded size, and only links that join
+   components come out.
 
 Defined results: a null text, or one without words, has the empty set and is
 linked with nothing.  A text of fewer words than a shingle is one shingle.  Rows
@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loftline.llm.components import connected_components
@@ -44,8 +44,8 @@ PERMUTATIONS, BANDS, BAND_ROWS = 256, 32, 4
 SKETCH_BITS = 1024
 #: Pairs estimated below threshold minus this are left out: six standard errors.
 MARGIN = 0.16
-#: Members of a bucket that meet in one task.
-TILE = 2000
+#: Classes, and shingles, of which a tile holds about so many; two tiles meet in one task.
+TILE, TILE_SHINGLES = 1000, 1_000_000
 
 _rng = np.random.default_rng(20260102)
 _A = _rng.integers(1, 2**63, (PERMUTATIONS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -140,7 +140,8 @@ def full_sets(docs: DataFrame, need: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([_class_id(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cid", "shingles"])
 
     ids = need.select(F.col("doc_id").alias("needed")).distinct()
-    some = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("needed")), "left_semi").select("text")
+    # Ids grow with the documents: they are dealt by key at every size, never broadcast.
+    some = docs.select("doc_id", "text").join(ids.hint("merge"), F.col("doc_id").eqNullSafe(F.col("needed")), "left_semi").select("text")
     return written(some.mapInArrow(fill, "cid binary, shingles binary"), "sets")
 
 
@@ -164,48 +165,79 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(check, "a binary, b binary").distinct()
 
 
-def _tile_pairs(least: float, percent: int, best_only: bool):
-    """Pairs of a tile that are in different components and may be at the threshold."""
-
-    def pairs(key: tuple, table: pa.Table) -> pa.Table:
-        cid, comp = table["cid"].to_pylist(), np.unique(table["component"].to_pylist(), return_inverse=True)[1]
-        n, side = table["n"].to_numpy(), table["side"].to_numpy()
-        sketch = _words(table["sketch"].combine_chunks())
-        one_block = key[1].as_py() == key[2].as_py()
-        out_a, out_b = [], []
-        for i in range(len(cid)):
-            # Within a block each pair once; between two blocks, first against second.
-            others = np.arange(i + 1, len(cid)) if one_block else np.flatnonzero(side == 1) if side[i] == 0 else np.zeros(0, int)
-            others = others[comp[others] != comp[i]]
-            others = others[100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i])]
-            est = estimated(sketch[others], sketch[i])
+def _tiled(df: DataFrame, tiles: Column) -> DataFrame:
+    """Deal rows into pairs of tiles (t0, t1): every two rows meet in one of them.
+
+    ``side`` tells the first tile's rows (0) from the second's (1).
+    """
+    at = F.pmod(F.xxhash64("cid"), F.col("tiles")).cast("int")
+    dealt = df.withColumn("tiles", tiles.cast("int")).withColumn("at", at).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    return dealt.withColumns({"t0": F.least("at", "other"), "t1": F.greatest("at", "other"), "side": F.when(F.col("at") <= F.col("other"), 0).otherwise(1)}).drop("at", "other", "tiles")
+
+
+def _edges(cid: list[bytes], pairs: list[tuple[int, int]]) -> pa.Table:
+    ends = [sorted((cid[i], cid[j])) for i, j in pairs]
+    return pa.table({"a": pa.array([e[0] for e in ends], pa.binary()), "b": pa.array([e[1] for e in ends], pa.binary())})
+
+
+def _earlier(k: int, side: np.ndarray, within: bool) -> np.ndarray:
+    """Rows that row ``k`` is held against: those before it, in the other tile if there are two."""
+    return np.arange(k) if within else np.flatnonzero(side[:k] != side[k])
+
+
+def _forest(least: float, percent: int):
+    """Of a tile of a bucket: for each class the likeliest earlier one of every tree it joins."""
+
+    def candidates(key: tuple, table: pa.Table) -> pa.Table:
+        cid, n, side = table["cid"].to_pylist(), table["n"].to_numpy(), table["side"].to_numpy()
+        sketch, tree, out = _words(table["sketch"].combine_chunks()), np.arange(len(cid)), []
+        within = key[1].as_py() == key[2].as_py()
+        for k in range(1, len(cid)):
+            others = _earlier(k, side, within)
+            others = others[100 * np.minimum(n[others], n[k]) >= percent * np.maximum(n[others], n[k])]
+            est = estimated(sketch[others], sketch[k])
             others, est = others[est >= least], est[est >= least]
-            if best_only and len(others):
-                order = np.lexsort((-est, comp[others]))
-                others = others[order]
-                others = others[np.concatenate([[True], comp[others][1:] != comp[others][:-1]])]
-            out_a += [cid[i]] * len(others)
-            out_b += [cid[j] for j in others.tolist()]
-        lower = [min(p) for p in zip(out_a, out_b)]
-        upper = [max(p) for p in zip(out_a, out_b)]
-        return pa.table({"a": pa.array(lower, pa.binary()), "b": pa.array(upper, pa.binary())})
-
-    return pairs
-
-
-def _still_apart(members: DataFrame, comps: DataFrame, least: float, percent: int, best_only: bool) -> DataFrame:
-    """Candidate pairs in buckets that hold several components."""
-    now = members.join(comps.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo != hi")
-    tiles = F.ceil(F.col("size") / TILE).cast("int")
-    at = F.pmod(F.xxhash64("cid"), tiles).cast("int")
-    dealt = (
-        now.join(mixed.select("key", "size"), "key")
-        .withColumn("at", at)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-        .select("key", F.least("at", "other").alias("t0"), F.greatest("at", "other").alias("t1"), F.when(F.col("at") <= F.col("other"), 0).otherwise(1).alias("side"), "cid", "component", "n", "sketch")
-    )
-    return dealt.groupBy("key", "t0", "t1").applyInArrow(_tile_pairs(least, percent, best_only), "a binary, b binary").distinct()
+            order = np.lexsort((-est, tree[others]))
+            others = others[order]
+            best = others[np.flatnonzero(np.diff(tree[others], prepend=-1))]
+            out += [(k, j) for j in best.tolist()]
+            tree[np.isin(tree, np.append(tree[best], tree[k]))] = tree[k]
+        return _edges(cid, out)
+
+    return candidates
+
+
+def _links(least: float, percent: int):
+    """Of a tile of a cluster: confirmed links between components, as many as join them."""
+
+    def link(key: tuple, table: pa.Table) -> pa.Table:
+        cid, n, side = table["cid"].to_pylist(), table["n"].to_numpy(), table["side"].to_numpy()
+        tree = np.unique(table["component"].to_pylist(), return_inverse=True)[1]
+        sketch, out = _words(table["sketch"].combine_chunks()), []
+        within = key[1].as_py() == key[2].as_py()
+        sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
+        at = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+        kinds, number = np.unique(np.concatenate(sets), return_inverse=True)
+        mark = np.zeros(len(kinds), bool)
+        for k in range(1, len(cid)):
+            others = _earlier(k, side, within)
+            others = others[(tree[others] != tree[k]) & (100 * np.minimum(n[others], n[k]) >= percent * np.maximum(n[others], n[k]))]
+            others = others[estimated(sketch[others], sketch[k]) >= least]
+            if not len(others):
+                continue
+            # The whole set of this class against the whole sets of all others at once.
+            mine = number[at[k] : at[k + 1]]
+            mark[mine] = True
+            both = np.add.reduceat(mark[number], at[:-1], dtype=np.int64)[others]
+            mark[mine] = False
+            others = others[100 * both >= percent * (n[others] + n[k] - both)]
+            best = others[np.unique(tree[others], return_index=True)[1]]
+            out += [(k, j) for j in best.tolist()]
+            if len(best):
+                tree[np.isin(tree, np.append(tree[best], tree[k]))] = tree[k]
+        return _edges(cid, out)
+
+    return link
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -225,26 +257,26 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     rows = written(classes.select("cid", "doc_id", "n", "sketch", "bands"), "classes")
     banded = rows.select(F.explode("bands").alias("key"), "cid")
     # Buckets with the same members say the same; one of them stays.
-    shape = banded.groupBy("key").agg(F.count("*").alias("size"), F.sum(F.xxhash64("cid").cast("decimal(38,0)")).alias("sum"), F.min("cid").alias("rep"), F.max("cid").alias("top")).where("size > 1")
-    buckets = shape.groupBy("size", "sum", "rep", "top").agg(F.min("key").alias("key")).select("key", "rep")
-    held = banded.join(buckets, "key")
-    members = written(held.join(rows.select("cid", "doc_id", "n", "sketch"), "cid").select("key", "rep", "cid", "doc_id", "n", "sketch"), "members")
-    sets = full_sets(docs, members.select("cid", "doc_id").distinct(), words)
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, m = batch.column("n").to_numpy(), batch.column("m").to_numpy()
-            keep = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (estimated(_words(batch.column("x")), _words(batch.column("y"))) >= least)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
-
-    stars = members.where("cid != rep").select(F.col("rep").alias("a"), F.col("cid").alias("b"), "n", F.col("sketch").alias("x"))
-    held_by = rows.select(F.col("cid").alias("a"), F.col("n").alias("m"), F.col("sketch").alias("y"))
-    links = written(confirmed(stars.join(held_by, "a").mapInArrow(near, "a binary, b binary").distinct(), sets, percent), "links")
+    shape = banded.groupBy("key").agg(F.count("*").alias("size"), F.sum(F.xxhash64("cid").cast("decimal(38,0)")).alias("sum"), F.min("cid").alias("low"), F.max("cid").alias("top")).where("size > 1")
+    buckets = shape.groupBy("size", "sum", "low", "top").agg(F.min("key").alias("key")).select("key", "size")
+    members = banded.join(buckets.hint("merge"), "key").join(rows.select("cid", "n", "sketch"), "cid")
+    tiled = _tiled(members, F.ceil(F.col("size") / TILE)).groupBy("key", "t0", "t1")
+    likely = written(tiled.applyInArrow(_forest(least, percent), "a binary, b binary").distinct(), "likely")
+    clusters = written(connected_components(likely), "clusters")
+
+    whole = clusters.select(F.col("node").alias("cid"), F.col("component").alias("cluster")).join(rows.select("cid", "doc_id", "n", "sketch"), "cid")
+    whole = written(whole, "clustered")
+    sets = full_sets(docs, whole.select("cid", "doc_id"), words)
+    links = written(confirmed(likely, sets, percent), "links")
     comps = connected_components(links)
-    for best_only in (True, False):
-        more = written(confirmed(_still_apart(members, comps, least, percent, best_only), sets, percent), "links")
-        links = links.unionByName(more)
-        comps = connected_components(links)
+
+    # What the likeliest pairs leave in several components is searched pair by pair.
+    now = whole.join(comps.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    mixed = now.groupBy("cluster").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), F.sum("n").alias("shingles")).where("lo != hi")
+    tiles = F.greatest(F.ceil(F.col("size") / TILE), F.ceil(F.col("total") / TILE_SHINGLES))
+    apart = now.join(mixed.select("cluster", "size", F.col("shingles").alias("total")), "cluster").join(sets, "cid")
+    more = _tiled(apart, tiles).groupBy("cluster", "t0", "t1").applyInArrow(_links(least, percent), "a binary, b binary")
+    comps = connected_components(links.unionByName(written(more.distinct(), "links")))
 
     named = signed.join(comps.select(F.col("node").alias("cid"), "component"), "cid", "left").select("row_id", "doc_id", "n", F.coalesce("component", "cid").alias("label"))
     empty = named.where("label IS NULL").select("row_id", "doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(True).alias("first"))

@@ -14,80 +14,93 @@ import numpy as np
 from loftline.llm.kernels import mix64
 
 
-def _small_types(t: list[int]) -> list[bool]:
-    rising = [True] * len(t)
-    for i in range(len(t) - 2, -1, -1):
-        rising[i] = t[i] < t[i + 1] or t[i] == t[i + 1] and rising[i + 1]
+def _types(t: np.ndarray) -> np.ndarray:
+    """Whether each suffix is smaller than the next one; the last is."""
+    n = len(t)
+    step = np.sign(t[1:].astype(np.int64) - t[:-1])
+    # An equal neighbour takes the type of what follows the run.
+    nxt = np.minimum.accumulate(np.where(step != 0, np.arange(n - 1), n)[::-1])[::-1]
+    rising = np.ones(n, bool)
+    rising[:-1] = step[np.minimum(nxt, n - 2)] > 0
     return rising
 
 
-def _edges(t: list[int], k: int) -> list[int]:
-    edges = np.concatenate([[0], np.cumsum(np.bincount(np.array(t), minlength=k))])
-    return edges.tolist()
+def _lms(rising: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(rising[1:] & ~rising[:-1]) + 1
 
 
-def _induce_small(t: list[int], rising: list[bool], lms: list[int], edges: list[int]) -> list[int]:
-    n = len(t)
-    sa = [-1] * n
+def _same(t: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the substrings at ``a`` and ``b`` are equal, symbol by symbol."""
+    same = size[a] == size[b]
+    at, left = np.flatnonzero(same), 0
+    while len(at):
+        differ = t[a[at] + left] != t[b[at] + left]
+        same[at[differ]] = False
+        at = at[~differ]
+        left += 1
+        at = at[size[a[at]] > left]
+    return same
+
+
+def _named(t: np.ndarray, lms: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, bool]:
+    """The string of names of the LMS substrings, from their order in ``sa``, and whether all differ."""
+    size = np.zeros(len(t), np.int64)
+    size[lms[:-1]] = lms[1:] - lms[:-1] + 1
+    size[lms[-1]] = 1
+    order = sa[size[sa] > 0]
+    new = np.ones(len(order), bool)
+    new[1:] = ~_same(t, order[1:], order[:-1], size)
+    names = np.zeros(len(t), np.int64)
+    names[order] = np.cumsum(new) - 1
+    return names[lms], bool(new.all())
+
+
+def _induce_small(t: np.ndarray, rising: np.ndarray, lms: np.ndarray, edges: list[int]) -> np.ndarray:
+    """All suffixes from ordered LMS ones, a suffix at a time.
+
+    Empty places hold 0, the suffix that has none before it.
+    """
+    falls, rises = np.where(rising, -1, t).tolist(), np.where(rising, t, -1).tolist()
+    # Nothing precedes suffix 0: the look-up at -1 must find nothing.
+    rises[-1] = -1
+    sa = [0] * len(t)
     tail = edges[1:]
-    for i in reversed(lms):
-        tail[t[i]] -= 1
-        sa[tail[t[i]]] = i
+    for i, c in zip(lms[::-1].tolist(), t[lms[::-1]].tolist()):
+        tail[c] = at = tail[c] - 1
+        sa[at] = i
     head = edges[:-1]
-    for at in range(n):
-        j = sa[at] - 1
-        if j >= 0 and not rising[j]:
-            c = t[j]
-            sa[head[c]] = j
-            head[c] += 1
+    for i in sa:
+        c = falls[i - 1]
+        if c >= 0:
+            at = head[c]
+            sa[at] = i - 1
+            head[c] = at + 1
     tail = edges[1:]
-    for at in range(n - 1, -1, -1):
-        j = sa[at] - 1
-        if j >= 0 and rising[j]:
-            c = t[j]
-            tail[c] -= 1
-            sa[tail[c]] = j
-    return sa
+    for i in reversed(sa):
+        c = rises[i - 1]
+        if c >= 0:
+            tail[c] = at = tail[c] - 1
+            sa[at] = i - 1
+    return np.array(sa)
 
 
-def _suffixes_small(t: list[int], k: int) -> list[int]:
-    """Suffix array of a list whose last symbol, 0, occurs only there."""
-    n = len(t)
-    if n == 1:
-        return [0]
-    rising = _small_types(t)
-    lms = [i for i in range(1, n) if rising[i] and not rising[i - 1]]
-    edges = _edges(t, k)
-    sa = _induce_small(t, rising, lms, edges)
-    stop = dict(zip(lms, lms[1:]))
-    stop[n - 1] = n - 1
-    name, last, names = -1, None, {}
-    for i in sa:
-        if i in stop:
-            piece = t[i : stop[i] + 1]
-            name += piece != last
-            last = piece
-            names[i] = name
-    if name + 1 == len(lms):
-        order = sorted(lms, key=names.__getitem__)
-    else:
-        order = [lms[j] for j in _suffixes_small([names[i] for i in lms], name + 1)]
-    return _induce_small(t, rising, order, edges)
+def _suffixes_small(t: np.ndarray) -> np.ndarray:
+    """Suffix array of names whose last, 0, occurs only there."""
+    if len(t) == 1:
+        return np.zeros(1, np.int64)
+    rising = _types(t)
+    lms, edges = _lms(rising), np.concatenate([[0], np.cumsum(np.bincount(t))]).tolist()
+    short, done = _named(t, lms, _induce_small(t, rising, lms, edges))
+    order = np.argsort(short) if done else _suffixes_small(short)
+    return _induce_small(t, rising, lms[order], edges)
 
 
 class _Induction:
     """Induced sorting over a small alphabet, a bucket at a time."""
 
     def __init__(self, t: np.ndarray) -> None:
-        self.t, n = t, len(t)
-        step = np.sign(t[1:].astype(np.int16) - t[:-1].astype(np.int16))
-        # An equal neighbour takes the type of what follows the run.
-        at = np.where(step != 0, np.arange(n - 1), n)
-        nxt = np.minimum.accumulate(at[::-1])[::-1]
-        self.rising = np.ones(n, bool)
-        known = nxt < n
-        self.rising[:-1][known] = step[nxt[known]] > 0
-        self.lms = np.flatnonzero(self.rising[1:] & ~self.rising[:-1]) + 1
+        self.t, self.rising = t, _types(t)
+        self.lms = _lms(self.rising)
         self.edges = np.concatenate([[0], np.cumsum(np.bincount(t, minlength=int(t.max()) + 1))])
 
     def _before(self, some: np.ndarray, rising: bool) -> np.ndarray:
@@ -147,34 +160,8 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     if len(t) == 1:
         return np.zeros(1, np.int64)
     work = _Induction(t)
-    lms = work.lms
-    sa = work.sort(lms)
-    # LMS substrings in order; neighbours of equal length and symbols share a name.
-    size = np.zeros(len(t), np.int64)
-    size[lms[:-1]] = lms[1:] - lms[:-1] + 1
-    size[lms[-1]] = 1
-    order = sa[size[sa] > 0]
-    new = np.ones(len(order), bool)
-    new[1:] = ~_same(t, order[1:], order[:-1], size)
-    names = np.zeros(len(t), np.int64)
-    names[order] = np.cumsum(new) - 1
-    short = names[lms]
-    if not new.all():
-        order = lms[np.array(_suffixes_small(short.tolist(), int(short.max()) + 1))]
-    return work.sort(order)
-
-
-def _same(t: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Whether the substrings at ``a`` and ``b`` are equal, symbol by symbol."""
-    same = size[a] == size[b]
-    at, left = np.flatnonzero(same), 0
-    while len(at):
-        differ = t[a[at] + left] != t[b[at] + left]
-        same[at[differ]] = False
-        at = at[~differ]
-        left += 1
-        at = at[size[a[at]] > left]
-    return same
+    short, done = _named(t, work.lms, work.sort(work.lms))
+    return work.sort(work.lms[np.argsort(short) if done else _suffixes_small(short)])
 
 
 def common_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:

@@ -100,8 +100,14 @@ def _rows_to_scan(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
             # One find in a row is enough.
             at = where.find(word, int(offs[row]) if row < len(offs) else len(where))
     digit = (buf >= 0x30) & (buf <= 0x39) | (buf >= 0x61) & (buf <= 0x66)
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], digit.view(np.int8), [0]])))
-    long = edges[::2][edges[1::2] - edges[::2] >= 16]
+    # Runs end where their row does.
+    begins, stops = digit.copy(), digit.copy()
+    begins[1:] &= ~digit[:-1]
+    first = offs[:-1][offs[:-1] < offs[1:]]
+    begins[first] = digit[first]
+    stops[:-1] &= ~digit[1:] | begins[1:]
+    starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+    long = starts[ends - starts >= 16]
     return np.unique(np.concatenate([np.array(hits, np.int64), np.searchsorted(offs, long, "right") - 1]))
 
 

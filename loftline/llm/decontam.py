@@ -1,13 +1,15 @@
 """Benchmark decontamination by q-gram lemma filtering (operator 7).
 
 Items and documents are compared as their letters and digits, lower-cased, so
-white space and marks don't matter.  An item is looked for in segments of
-``SEGMENT`` characters, at half-segment steps.  A region of a document within e
-edits of a segment of m characters shares at least (m - q + 1) - e * q of its
-q-grams, on diagonals no farther apart than e.  Shared q-grams are counted in
-overlapping diagonal bands; bands that meet the bound are verified by banded
-alignment, and a document is contaminated by an item if some segment of it
-aligns within the edit budget.
+white space and marks don't matter.  Any passage of an item that has at least
+``SHORTEST`` characters is found within ``EDIT_SHARE`` edits a character, wherever
+it starts.  It suffices to look at windows of the lengths at which the budget
+grows by one, until a longer passage must hold a shorter window within budget.
+A region of a document within e edits of a window of m characters shares at
+least (m - q + 1) - e * q of its q-grams, on diagonals no farther apart than e.
+Shared q-grams are counted in overlapping diagonal bands; every window of a band
+that meets the bound is verified by banded alignment.  Items that are shorter
+than ``LONGEST`` are also sought as a whole.
 
 All items are taken against all documents, in blocks of items whose q-gram index
 has a bounded size; one scan of the documents serves a block.
@@ -15,8 +17,9 @@ has a bounded size; one scan of the documents serves a block.
 Defined results: null or empty texts match nothing; so do items of fewer than q
 letters and digits.  Items of under ``EXACT_BELOW`` letters and digits must occur
 exactly.  Repeated documents are reported each; items that repeat an id are taken
-as one item with several texts.  Extra columns are ignored, and kept by
-``clean``.
+as one item with several texts.  Items without an id can't be named and aren't
+reported, but ``clean`` drops the documents that hold them.  Extra columns are
+ignored, and kept by ``clean``.
 """
 
 from __future__ import annotations
@@ -34,9 +37,14 @@ from loftline.llm.kernels import mix64, text_blocks, utf8_view
 from loftline.llm.store import attach
 
 Q = 10
-SEGMENT = 100
-#: Edits per character of a segment.
+#: Letters and digits of the shortest passage of a longer item that is sought.
+SHORTEST = 50
+#: Edits per character of a passage.
 EDIT_SHARE = 0.06
+#: From this length on a passage within its edits holds a window of WINDOWS within its own.
+LONGEST = 2 * SHORTEST
+#: Length and edits: the shortest windows that are allowed one edit more.
+WINDOWS = [(n, int(EDIT_SHARE * n)) for n in range(SHORTEST, LONGEST) if n == SHORTEST or int(EDIT_SHARE * n) > int(EDIT_SHARE * (n - 1))]
 EXACT_BELOW = 40
 #: Bytes of item text whose q-grams are indexed at once: about 40 times that in memory.
 INDEX_BYTES = 1 << 20
@@ -75,24 +83,26 @@ def gram_hashes(text: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Item:
-    item_id: int
+    item_id: int | None
     text: np.ndarray
-    segments: list[tuple[int, int, int, int]] = field(default_factory=list)
+    #: Length, edits and shared q-grams of the windows to look for.
+    windows: list[tuple[int, int, int]] = field(default_factory=list)
 
     def __post_init__(self) -> None:
         m = len(self.text)
-        firsts = [0] if m <= SEGMENT else [*range(0, m - SEGMENT, SEGMENT // 2), m - SEGMENT]
-        for s in firsts:
-            size = min(m, SEGMENT)
-            edits = int(EDIT_SHARE * size) if size >= EXACT_BELOW else 0
-            self.segments.append((s, size, edits, size - Q + 1 - edits * Q))
+        sizes = [(n, e) for n, e in WINDOWS if n <= m]
+        if m < LONGEST and (m, int(EDIT_SHARE * m)) not in sizes:
+            sizes.append((m, int(EDIT_SHARE * m) if m >= EXACT_BELOW else 0))
+        self.windows = [(n, e, max(1, n - Q + 1 - e * Q)) for n, e in sizes]
 
 
 class ItemIndex:
     """Places of each q-gram in a block of items, behind a bitmap."""
 
-    def __init__(self, rows: list[tuple[int, str]]) -> None:
+    def __init__(self, rows: list[tuple[int | None, str]]) -> None:
         self.items = [Item(i, t) for i, s in rows if len(t := folded(np.frombuffer(s.encode(), np.uint8))[0]) >= Q]
+        self.least = np.array([min(need for _, _, need in x.windows) for x in self.items], np.int64)
+        self.step = 1 + max((e for x in self.items for _, e, _ in x.windows), default=0)
         hashes = [gram_hashes(x.text) for x in self.items]
         every = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         order = np.argsort(every, kind="stable")
@@ -138,47 +148,121 @@ def banded_edits(segment: np.ndarray, region: np.ndarray, budget: int) -> tuple[
     return int(cost[end]), int(origin[end]), end
 
 
-def find_in(text: np.ndarray, index: ItemIndex, hits: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[tuple[int, int, int, int, int]]:
-    """(item number, segment start, edits, start, end) of the best segment of each item found."""
-    at, item, place = hits
-    found = []
-    for i in np.unique(item).tolist():
-        mine = item == i
-        a, p = at[mine], place[mine]
+def window_edits(windows: np.ndarray, regions: np.ndarray) -> np.ndarray:
+    """Fewest edits of each window against any part of its region."""
+    steps = np.arange(regions.shape[1] + 1, dtype=np.int16)
+    cost = np.zeros((len(windows), len(steps)), np.int16)
+    for k in range(windows.shape[1]):
+        best = cost + np.int16(1)
+        np.minimum(best[:, 1:], cost[:, :-1] + (regions != windows[:, k : k + 1]), out=best[:, 1:])
+        cost = np.minimum.accumulate(best - steps, axis=1) + steps
+    return cost.min(1)
+
+
+def _best_window(text: np.ndarray, item: np.ndarray, places: np.ndarray, first: int, last: int, n: int, edits: int, need: int) -> tuple[int, int, int, int] | None:
+    """(window start, edits, start, end) of the best window of ``n`` on the diagonals ``first`` to ``last``, where the item's ascending ``places`` are shared."""
+    reach = n - Q
+    at = np.arange(len(places) - need + 1)
+    at = at[places[at + need - 1] - places[at] <= reach]
+    if not len(at):
+        return None
+    # The windows that hold as many shared places as the bound asks for.
+    edge = np.zeros(len(item) - n + 2, np.int64)
+    np.add.at(edge, np.maximum(places[at + need - 1] - reach, 0), 1)
+    np.add.at(edge, np.minimum(places[at], len(item) - n) + 1, -1)
+    starts = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+    # A window takes at least an edit for each q places that aren't shared, so most needn't be aligned.
+    shared = np.searchsorted(places, starts + reach, "right") - np.searchsorted(places, starts, "left")
+    floor = -(-(reach + 1 - shared) // Q)
+    order = np.argsort(floor, kind="stable")
+    starts, floor = starts[order], floor[order]
+    best, cost, lo = None, edits + 1, 0
+    while lo < len(starts) and floor[lo] < cost:
+        some = starts[lo : lo + (4 if lo == 0 else 64)]
+        where = (some + first - edits)[:, None] + np.arange(n + last - first + 2 * edits)
+        regions = np.where((where >= 0) & (where < len(text)), text[np.clip(where, 0, len(text) - 1)], 0)
+        costs = window_edits(item[some[:, None] + np.arange(n)], regions)
+        if costs.min() < cost:
+            best, cost = int(some[costs.argmin()]), int(costs.min())
+        lo += len(some)
+    if best is None:
+        return None
+    begin = max(0, first + best - edits)
+    _, x, y = banded_edits(item[best : best + n], text[begin : min(len(text), last + best + n + edits)], edits)
+    return best, cost, begin + x, begin + y
+
+
+def find_in(text: np.ndarray, item: Item, at: np.ndarray, place: np.ndarray) -> tuple[int, int, int, int] | None:
+    """(window start, edits, start, end) of the best window of the shortest length found."""
+    diagonal = at - place
+    low = int(diagonal.min())
+    for n, edits, need in item.windows:
         best = None
-        for s, size, edits, need in index.items[i].segments:
-            inside = (p >= s) & (p <= s + size - Q)
-            if np.count_nonzero(inside) < max(need, 1):
+        # Bands of width 2e + 2 that overlap by half: any e + 1 diagonals lie in one of them.
+        step = edits + 1
+        band = (diagonal - low) // step
+        for b in np.unique(band).tolist():
+            # A q-gram place of the item counts once, however often the region repeats it.
+            places = np.unique(place[(band == b) | (band == b + 1)])
+            if len(places) < need:
                 continue
-            diagonal = a[inside] - p[inside]
-            # Bands of width 2e + 1 that overlap by half: any e + 1 diagonals lie in one of them.
-            step = edits + 1
-            low = diagonal.min()
-            band = (diagonal - low) // step
-            for b in np.unique(band).tolist():
-                members = (band == b) | (band == b + 1)
-                # A q-gram place of the segment counts once, however often the region repeats it.
-                if len(np.unique(p[inside][members])) < max(need, 1):
-                    continue
-                first, last = low + b * step, low + (b + 2) * step - 1
-                lo, hi = max(0, int(first) + s - edits), min(len(text), int(last) + s + size + edits)
-                cost, x, y = banded_edits(index.items[i].text[s : s + size], text[lo:hi], edits)
-                if cost <= edits and (best is None or cost < best[2]):
-                    best = (i, s, cost, lo + x, lo + y)
+            found = _best_window(text, item.text, places, low + b * step, low + (b + 2) * step - 1, n, edits, need)
+            if found and (best is None or found[1] < best[1]):
+                best = found
+                if not best[1]:
+                    break
         if best:
-            found.append(best)
-    return found
+            return best
+    return None
+
+
+def find_leaks(buf: np.ndarray, offs: np.ndarray, index: ItemIndex) -> list[tuple[int, int, int, int, int, int]]:
+    """(item number, row, window start, edits, start and end byte in the row) of each item found in each text."""
+    text, where = folded(buf)
+    edges = np.searchsorted(where, offs)
+    at, item, place = index.hits(text)
+    row = np.searchsorted(edges, at, "right") - 1
+    whole = at + Q <= edges[row + 1]
+    at, item, place, row = at[whole], item[whole], place[whole], row[whole]
+    if not len(at):
+        return []
+    # Rows and items with too few shared q-grams on neighbouring bands of diagonals can be left out at once.
+    pair = row * len(index.items) + item
+    band = (at - place - (at - place).min()) // index.step
+    wide = int(band.max()) + 2
+    keys, which, count = np.unique(pair * wide + band, return_inverse=True, return_counts=True)
+    after = np.zeros(len(keys), np.int64)
+    follows = np.flatnonzero(np.diff(keys) == 1)
+    after[follows] = count[follows + 1]
+    good = count + after >= index.least[keys // wide % len(index.items)]
+    good[follows + 1] |= good[follows]
+    use = good[which]
+    at, item, place, row, pair = at[use], item[use], place[use], row[use], pair[use]
+    order = np.argsort(pair, kind="stable")
+    groups = np.split(order, np.flatnonzero(np.diff(pair[order])) + 1) if len(order) else []
+    out = []
+    for group in groups:
+        r, i = int(row[group[0]]), int(item[group[0]])
+        found = find_in(text[edges[r] : edges[r + 1]], index.items[i], at[group] - edges[r], place[group])
+        if found:
+            s, cost, x, y = found
+            out.append((i, r, s, cost, int(where[edges[r] + x] - offs[r]), int(where[edges[r] + max(x, y - 1)] + 1 - offs[r])))
+    return out
 
 
 def leaks(docs: DataFrame, items: DataFrame, index_bytes: int = INDEX_BYTES) -> DataFrame:
-    """A row for each document and item found in it: the best segment, its edits and byte span.
+    """A row for each document and item found in it: the best window, its edits and byte span.
 
     ``docs`` has doc_id and text, and row_id where rows of one id must be told apart;
     ``items`` has item_id and text.
     """
+    return _found(docs, items.where("item_id IS NOT NULL"), index_bytes)
+
+
+def _found(docs: DataFrame, items: DataFrame, index_bytes: int = INDEX_BYTES) -> DataFrame:
     spark = docs.sparkSession
     attach(spark)
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL AND item_id IS NOT NULL")
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-2 * total // index_bytes))
     row_id = F.col("row_id") if "row_id" in docs.columns else F.lit(None).cast("long")
@@ -189,25 +273,12 @@ def leaks(docs: DataFrame, items: DataFrame, index_bytes: int = INDEX_BYTES) ->
             index = ItemIndex(shared.value)
             for block in text_blocks(batches, "text", 4 << 20):
                 buf, offs = utf8_view(block["text"])
-                text, where = folded(buf)
-                edges = np.searchsorted(where, offs)
-                at, item, place = index.hits(text)
-                row = np.searchsorted(edges, at, "right") - 1
-                whole = at + Q <= edges[row + 1]
-                at, item, place, row = at[whole], item[whole], place[whole], row[whole]
-                out = []
-                bounds = np.searchsorted(row, np.arange(block.num_rows + 1))
-                for r in np.unique(row).tolist():
-                    part = slice(bounds[r], bounds[r + 1])
-                    own = text[edges[r] : edges[r + 1]]
-                    for i, s, cost, x, y in find_in(own, index, (at[part] - edges[r], item[part], place[part])):
-                        span = where[edges[r] + x] - offs[r], where[edges[r] + max(x, y - 1)] + 1 - offs[r]
-                        out.append((index.items[i].item_id, r, s, cost, *map(int, span)))
+                out = find_leaks(buf, offs, index)
                 if out:
-                    ids, owner, *rest = (np.array(c) for c in zip(*out))
+                    ids, owner, *rest = zip(*out)
                     take = pa.array(owner)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids), block["doc_id"].combine_chunks().take(take), block["row_id"].combine_chunks().take(take), *[pa.array(c.astype(np.int32)) for c in rest]],
+                        [pa.array([index.items[i].item_id for i in ids], pa.int64()), block["doc_id"].combine_chunks().take(take), block["row_id"].combine_chunks().take(take), *[pa.array(c, pa.int32()) for c in rest]],
                         ["item_id", "doc_id", "row_id", "segment", "edits", "start", "end"],
                     )
 
@@ -228,6 +299,6 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     names = docs.columns
     rows = written(docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)]).withColumn("row_id", F.monotonically_increasing_id()), "decontam")
     at = {c: f"c{k}" for k, c in enumerate(names)}
-    found = leaks(rows.select(F.col(at["doc_id"]).alias("doc_id"), "row_id", F.col(at["text"]).alias("text")), items)
+    found = _found(rows.select(F.col(at["doc_id"]).alias("doc_id"), "row_id", F.col(at["text"]).alias("text")), items)
     kept = rows.join(found.select("row_id").distinct(), "row_id", "left_anti")
     return kept.select(*[F.col(at[c]).alias(c) for c in names])

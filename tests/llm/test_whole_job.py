@@ -1,6 +1,11 @@
 """Cases that the operators once cut off."""
 
-from loftline.llm import secrets
+import random
+
+import pyarrow as pa
+
+from loftline.llm import decontam, secrets
+from loftline.llm.kernels import utf8_view
 
 
 def by_id(df):
@@ -14,3 +19,49 @@ def test_hex_runs_end_with_their_row(spark):
     assert {i: [(x["kind"], x["start"], x["end"]) for x in r["spans"]] for i, r in got.items() if r["spans"]} == {1: [("hex", 0, 32)], 5: [("hex", 0, 16)]}
     out = by_id(secrets.redact_secrets(docs))
     assert out[1]["text"] == "[SECRET]" and out[5]["text"] == "[SECRET] and more" and out[7]["text"] == texts[7]
+
+
+def _passages(seed):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("er on th an ing re ti sh ou la ke mo".split()) for _ in range(rng.randint(2, 4)))
+    item = [word() for _ in range(60)]
+    noise = lambda: " ".join(word() for _ in range(20))
+    for size in (13, 17, 25):
+        for k in range(len(item) - size + 1):
+            passage = " ".join(item[k : k + size])
+            letters = len(passage.replace(" ", ""))
+            if letters >= decontam.SHORTEST:
+                chars = list(passage)
+                for at in rng.sample(range(len(chars)), int(decontam.EDIT_SHARE * letters)):
+                    # A letter changed, lost or added.
+                    chars[at] = rng.choice(["z", "", chars[at] + "z"]) if chars[at] != " " else " "
+                yield " ".join(item), [f"{noise()} {passage} {noise()}", f"{noise()} {''.join(chars)} {noise()}", passage]
+
+
+def test_passages_are_found_wherever_they_start():
+    every = [x for seed in (1, 2) for x in _passages(seed)]
+    for item in {i for i, _ in every}:
+        texts = [t for i, some in every if i == item for t in some]
+        buf, offs = utf8_view(pa.array([*texts, item[:40], None, *(t[::-1] for t in texts[:9])]))
+        found = decontam.find_leaks(buf, offs, decontam.ItemIndex([(5, item)]))
+        assert sorted(r for _, r, *_ in found) == list(range(len(texts)))
+
+
+def test_edits_in_the_middle_of_a_passage_are_found():
+    rng = random.Random(3)
+    item = "".join(rng.choice("abcdefghijklmno") for _ in range(300))
+    # 149 letters may have 8 edits, and 67 may have 4, though each 50 of these hold 4.
+    for size, places in ((67, (18, 27, 38, 48)), (149, (18, 27, 38, 48, 100, 112, 124, 136))):
+        for k in (0, 77, 300 - size):
+            part = list(item[k : k + size])
+            for at in places:
+                part[at] = "z"
+            buf, offs = utf8_view(pa.array(["q" * 30 + "".join(part) + "q" * 30]))
+            assert len(decontam.find_leaks(buf, offs, decontam.ItemIndex([(5, item)]))) == 1
+
+
+def test_short_passages_and_items_without_an_id(spark):
+    item = "the quick brown fox jumps over the lazy dog while seventeen grey herons watch from a wooden bridge and count every single leap it takes before dark"
+    docs = spark.createDataFrame([(1, f"so {item[22:100]} then"), (2, "nothing of it")], "doc_id long, text string")
+    assert [r["doc_id"] for r in decontam.leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()] == [1]
+    assert [r["doc_id"] for r in decontam.clean(docs, spark.createDataFrame([(None, item)], "item_id long, text string")).collect()] == [2]

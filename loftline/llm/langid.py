@@ -3,8 +3,10 @@
 Texts become normalised TF-IDF vectors of hashed byte n-grams (one to three
 letters, white space and marks folded to one boundary).  Each language has a few
 centroids, clustered by spherical k-means, and a text takes the language of the
-centroid with the largest cosine.  A text farther from its centroid than the
-language's training texts are is rejected.
+centroid with the largest cosine.  A text farther from its centroid than all but
+a ``LOST`` share of clean texts of its language and length is rejected.  These
+distances are of texts held out: each fold of the sample, cut to several lengths,
+is measured against centroids of the other folds.
 
 The classifier is fitted on a sample of labelled rows whose size is bounded by
 ``SAMPLE_PER_LANGUAGE`` (in expectation; rows are chosen by a hash of their id).
@@ -31,8 +33,13 @@ from loftline.llm.store import attach
 DIMENSIONS = 4096
 SAMPLE_PER_LANGUAGE = 500
 CENTROIDS = 4
-#: A text is rejected below this share of the cosine that all but a hundredth of the training texts reach.
-REJECT_SHARE = 0.35
+#: Share of clean texts that may be rejected.
+LOST = 0.005
+FOLDS = 4
+#: Letters (bytes) at which the cosine to reach is measured; between them it is interpolated.
+LENGTHS = np.array([2, 8, 32, 128, 512, 2048, 8192])
+#: Bytes of a sampled text that are cut to these lengths.
+HEAD = 1 << 15
 UNKNOWN = "und"
 _ROWS = 512
 
@@ -84,6 +91,12 @@ def has_letter(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return out
 
 
+def letters(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Bytes of each text that are no boundary."""
+    upto = np.concatenate([[0], np.cumsum(_FOLD[buf] != 0x20)])
+    return upto[offs[1:]] - upto[offs[:-1]]
+
+
 @dataclass
 class LanguageModel:
     languages: list[str]
@@ -109,11 +122,19 @@ class LanguageModel:
             which, none = self.owner[best], ~has_letter(some, edges)
             lang.append(np.where(none, -1, which))
             score.append(np.where(none, 0.0, top))
-            out.append(none | (top < self.floor[which]))
+            out.append(none | (top < self.least(which, letters(some, edges))))
         cat = lambda parts: np.concatenate(parts) if parts else np.zeros(0)
         return cat(lang), cat(score), cat(out)
 
 
+    def least(self, which: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The cosine that a text of a language and a number of letters must reach."""
+        out, at = np.zeros(len(which)), np.log2(np.maximum(size, 1))
+        for k in np.unique(which).tolist():
+            out[which == k] = np.interp(at[which == k], np.log2(LENGTHS), self.floor[k])
+        return out
+
+
 def in_training(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 != 1, F.lit(False))
 
@@ -131,6 +152,38 @@ def _clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
 
 
+def _floors(x: np.ndarray, langs: np.ndarray, heads: list[bytes], names: list[str], idf: np.ndarray, centroids: int) -> np.ndarray:
+    """The least cosines, a row for each language and a column for each of ``LENGTHS``."""
+    fold = np.zeros(len(x), int)
+    for name in names:
+        fold[langs == name] = np.arange(np.count_nonzero(langs == name)) % FOLDS
+    models = []
+    for f in range(FOLDS):
+        learned = {n: some for n in names if (some := (langs == n) & (fold != f)).any()}
+        parts = {n: _clusters(x[some], centroids) for n, some in learned.items()}
+        models.append((np.concatenate(list(parts.values())), np.concatenate([np.full(len(c), names.index(n)) for n, c in parts.items()])) if parts else None)
+    inked = [np.flatnonzero(_FOLD[np.frombuffer(h, np.uint8)] != 0x20) for h in heads]
+    out = np.zeros((len(names), len(LENGTHS)))
+    for j, n in enumerate(LENGTHS.tolist()):
+        score: list[list[float]] = [[] for _ in names]
+        for f, model in enumerate(models):
+            rows = [k for k in np.flatnonzero(fold == f).tolist() if len(inked[k]) >= n]
+            for at in range(0, len(rows) if model else 0, _ROWS):
+                cut = [heads[k][: inked[k][n - 1] + 1] for k in rows[at : at + _ROWS]]
+                offs = np.concatenate([[0], np.cumsum([len(c) for c in cut])])
+                near = unit_vectors(gram_counts(np.frombuffer(b"".join(cut), np.uint8), offs), idf) @ model[0].T
+                for k, top in zip(model[1][near.argmax(1)].tolist(), near.max(1).tolist()):
+                    score[k].append(top)
+        for k, own in enumerate(score):
+            if own:
+                low, mid = np.quantile(own, [LOST, 0.5])
+                # The fewer the texts, the less is known of how low clean ones go.
+                out[k, j] = max(0.0, low - (mid - low) * 20 / len(own))
+            elif j:
+                out[k, j] = out[k, j - 1]
+    return out
+
+
 def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, centroids: int = CENTROIDS) -> LanguageModel:
     """Fit on a bounded sample of the labelled training rows of ``docs`` (doc_id, text, lang)."""
     spark = docs.sparkSession
@@ -138,7 +191,7 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, centroids: int
     labelled = docs.where(F.col("lang").isNotNull() & in_training(F.col("doc_id")))
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return LanguageModel([], np.zeros(0), np.zeros((0, DIMENSIONS)), np.zeros(0, int), np.zeros(0))
+        return LanguageModel([], np.zeros(0), np.zeros((0, DIMENSIONS)), np.zeros(0, int), np.zeros((0, len(LENGTHS))))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, per_language / n) * (1 << 30)))])
     sample = labelled.where(draw < share[F.col("lang")]).select("lang", F.col("text").cast("string").alias("text"))
@@ -147,24 +200,25 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, centroids: int
         for block in text_blocks(batches, "text", 1 << 20):
             buf, offs = utf8_view(block["text"])
             counts = gram_counts(buf, offs)
-            yield pa.RecordBatch.from_arrays([block["lang"].combine_chunks(), pa.array([r.astype("<f4").tobytes() for r in counts], pa.binary())], ["lang", "counts"])
+            heads = [buf[a : min(b, a + HEAD)].tobytes() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([block["lang"].combine_chunks(), pa.array([r.astype("<f4").tobytes() for r in counts], pa.binary()), pa.array(heads, pa.binary())], ["lang", "counts", "head"])
 
-    got = sample.mapInArrow(vectors, "lang string, counts binary").collect()
+    # In one order, so that the folds don't depend on partitioning.
+    got = sorted(sample.mapInArrow(vectors, "lang string, counts binary, head binary").collect(), key=lambda r: (r["lang"], bytes(r["head"])))
     langs = np.array([r["lang"] for r in got])
     x = np.stack([np.frombuffer(r["counts"], "<f4") for r in got]) if got else np.zeros((0, DIMENSIONS), np.float32)
     keep = x.sum(1) > 0
-    langs, x = langs[keep], x[keep]
+    langs, x, heads = langs[keep], x[keep], [bytes(r["head"]) for r, k in zip(got, keep.tolist()) if k]
     idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 1).astype(np.float32)
     x = unit_vectors(x, idf)
     names = sorted(set(langs.tolist()))
-    centres, owner, floor = [], [], []
+    centres, owner = [], []
     for k, name in enumerate(names):
         own = x[langs == name]
         c = _clusters(own, centroids)
         centres.append(c)
         owner += [k] * len(c)
-        floor.append(REJECT_SHARE * np.quantile((own @ c.T).max(1), 0.01))
-    return LanguageModel(names, idf, np.concatenate(centres).astype(np.float32), np.array(owner), np.array(floor))
+    return LanguageModel(names, idf, np.concatenate(centres).astype(np.float32), np.array(owner), _floors(x, langs, heads, names, idf, centroids))
 
 
 def predict(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None) -> DataFrame:

@@ -1,11 +1,13 @@
 """Secret scans: patterns, and zstandard novelty in sensitive context (operator 1).
 
 Three base patterns find assigned secrets, access keys and long hex runs.  The
-method adds ``novel`` spans: in lines that speak of credentials, each string
+method adds ``novel`` spans: in and next to lines that speak of credentials, each string
 mixing letters and digits is compressed with zstandard, primed with a dictionary
 made of identifier words and the text around it.  What the candidate adds in
 bytes, over its length, is its novelty; strings that stay incompressible are
-reported.  A string that the surroundings repeat costs a few bytes only.
+reported.  Long strings whose symbols are equally frequent are held against what
+their own alphabet needs, as hex digits can't take a byte each.  The body of a
+private key is judged as one string and reported by line.  A string that the surroundings repeat costs a few bytes only.
 
 Defined results: a null text is an empty text and has no spans.  Rows that
 repeat an id are scanned each on its own.  Spans count code points, ends are
@@ -16,6 +18,7 @@ exclusive; ``novel`` spans never overlap base spans.  Extra columns are kept by
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +36,11 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 #: A line with one of these words is a sensitive context.
-CONTEXT = re.compile(r"(?i:passw|secret|token|api_?key|credential|bearer|private_?key|access_?key|authorization)")
+CONTEXT = re.compile(r"(?i:passw|secret|token|api[_\x20-]?key|credential|bearer|private[_\x20-]?key|access[_\x20-]?key|authorization)")
+#: Lines before and after it that belong to it.
+LINES_BEFORE, LINES_AFTER = 1, 2
+#: The body of a private key, behind its header lines.
+PEM = re.compile(r"BEGIN\x20(?:[A-Z0-9]++\x20)*?PRIVATE\x20KEY-+\s*+(?:[A-Za-z0-9-]++:[^\n]*+\n\s*+)*+((?:[A-Za-z0-9+/=]++\s++)*+[A-Za-z0-9+/=]*+)(?=-+END|\Z)")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 MIXED = re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])")
 #: Words of code and configuration: the identifier dictionary, one part of what primes the compressor.
@@ -45,6 +52,8 @@ IDENTIFIERS = " ".join(
 )
 AROUND = 512
 MIN_NOVELTY = 0.72
+#: Strings from this length on may show that their symbols are equally frequent: entropy over that of their alphabet.
+LONG, EVEN_SHARE = 40, 0.96
 _WORDS = (b"passw", b"secret", b"token", b"key", b"credential", b"bearer", b"authorization")
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("novelty", pa.float64())])
 SPAN_DDL = "array<struct<kind:string,start:bigint,end:bigint,novelty:double>>"
@@ -66,23 +75,56 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def least_novelty(candidate: str, least: float) -> float:
+    """``least``, or its share of what the alphabet needs where a long string uses all its symbols alike."""
+    n, counts = len(candidate), np.array(list(Counter(candidate).values()))
+    if n < LONG or len(counts) < 2:
+        return least
+    # Entropy with Miller and Madow's correction for short samples.
+    entropy = float(-(counts / n * np.log2(counts / n)).sum()) + (len(counts) - 1) / (2 * n * np.log(2))
+    bits = float(np.log2(len(counts)))
+    return least * bits / 8 if entropy >= EVEN_SHARE * bits else least
+
+
+def _windows(text: str) -> list[tuple[int, int]]:
+    """Disjoint ranges of whole lines in or next to which a sensitive word stands."""
+    out: list[tuple[int, int]] = []
+    for word in CONTEXT.finditer(text):
+        first, last = word.start(), word.end()
+        for k in range(LINES_BEFORE + 1):
+            first = text.rfind("\n", 0, max(0, first - (k > 0))) + 1
+        if out and first <= out[-1][1]:
+            first = out.pop()[0]
+        for k in range(LINES_AFTER + 1):
+            end = text.find("\n", min(len(text), last + (k > 0)))
+            last = len(text) if end < 0 else end
+        out.append((first, last))
+    return out
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]], least: float = MIN_NOVELTY) -> list[tuple[int, int, int, float]]:
-    """Incompressible candidates in sensitive lines, clear of the base spans."""
-    found, lines_seen = [], set()
+    """Incompressible candidates in sensitive context, clear of the base spans."""
+    found = []
     taken = sorted((s, e) for s, _, e in base)
-    for word in CONTEXT.finditer(text):
-        first = text.rfind("\n", 0, word.start()) + 1
-        if first in lines_seen:
+    clear = lambda s, e: not any(a < e and s < b for a, b in taken)
+    around = lambda s, e: (text[max(0, s - AROUND) : s], text[e : e + AROUND])
+    for key in PEM.finditer(text):
+        whole = "".join(key[1].split())
+        if len(whole) < 16:
             continue
-        lines_seen.add(first)
-        last = text.find("\n", word.end())
-        last = len(text) if last < 0 else last
+        score = novelty(whole, *around(*key.span(1)))
+        if score >= least_novelty(whole, least):
+            own = [m.span() for m in re.finditer(r"\S+", key[1])]
+            own = [(key.start(1) + s, key.start(1) + e) for s, e in own]
+            found += [(s, 3, e, score) for s, e in own if clear(s, e)]
+            taken += own
+    for first, last in _windows(text):
         for m in CANDIDATE.finditer(text, first, last):
             s, e = m.span()
-            if not MIXED.match(m[0]) or any(a < e and s < b for a, b in taken):
+            if not MIXED.match(m[0]) or not clear(s, e):
                 continue
-            score = novelty(m[0], text[max(0, s - AROUND) : s], text[e : e + AROUND])
-            if score >= least:
+            score = novelty(m[0], *around(s, e))
+            if score >= least_novelty(m[0], least):
                 found.append((s, 3, e, score))
     return found
 

@@ -191,46 +191,6 @@ def test_language_model(spark, folder, texts):
     assert not got[None]["held_out"]
 
 
-def test_suffix_tree_is_a_distribution_and_keeps_longest_suffixes():
-    rng = np.random.default_rng(5)
-    text = rng.integers(1, 4, 4000).astype(np.uint8)
-    rows = np.arange(0, 4001, 100)
-    text[rows[1:] - 1] = 0
-    codes, n = np.unique(lm.gram_codes(text, rows), return_counts=True)
-    depth, context, symbol, count = [], [], [], []
-    for d in range(lm.DEPTH + 1):
-        c, which = np.unique(codes & ((1 << (6 * (d + 1))) - 1), return_inverse=True)
-        w = np.bincount(which, weights=n)
-        keep = (w >= 3) if d else np.ones(len(w), bool)
-        depth += [d] * int(keep.sum())
-        context += (c[keep] >> 6).tolist()
-        symbol += (c[keep] & 63).tolist()
-        count += w[keep].tolist()
-    tree = lm.SuffixTree.build(*(np.array(x, np.int64) for x in (depth, context, symbol, count)))
-    p = 10.0 ** tree.log_p.reshape(-1, 64).astype(float)
-    p[:, lm._ESCAPE] *= 10.0**-lm._ESCAPE_LOG
-    assert np.allclose(p.sum(1), 1, atol=1e-4)
-    states = set(zip(depth, context))
-    closed = set(states) | {(0, 0)}
-    for d in range(lm.DEPTH, 1, -1):
-        closed |= {(d - 1, c & ((1 << (6 * (d - 1))) - 1)) for k, c in closed if k == d} | {(d - 1, c >> 6) for k, c in closed if k == d}
-    order = {s: k for k, s in enumerate(sorted(closed))}
-    expected = np.zeros(len(text))
-    for r in range(len(rows) - 1):
-        past = [0] * lm.DEPTH
-        for k in range(rows[r], rows[r + 1]):
-            for d in range(lm.DEPTH, -1, -1):
-                code = 0
-                for s in past[len(past) - d :]:
-                    code = code << 6 | int(s)
-                if (d, code) in order:
-                    break
-            expected[k] = tree.log_p.reshape(-1, 64)[order[d, code], text[k]]
-            past = [*past[1:], text[k]]
-    scores = tree.score(text, rows)
-    assert np.allclose(scores, [expected[a:b].sum() for a, b in zip(rows[:-1], rows[1:])], atol=1e-3)
-
-
 def test_leaks(spark, texts):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice(SYLLABLES) for _ in range(rng.randint(2, 4)))

@@ -8,10 +8,14 @@ code within r.  What is retrieved is ranked by the cosine of the original
 vectors in double precision.  The radius is chosen from the sample, so that it
 holds ``RECALL`` of the true neighbours there.
 
-All rows are indexed, in the partitions they are read in.  Queries go to every
-partition in blocks of bounded size, and a few results per query come back.
-
-Defined results: vectors that are null, zero, of another length than most or
+All rows are indexed once, in shards of bounded size: a shard is one row of a
+written table, with its codes, the order of its buckets and its vectors.  Queries
+are packed into blocks of bounded size likewise.  Each shard meets each block in a
+group of its own, so nothing passes through the driver, and a group's size depends
+on neither table; ``k`` results a query come back from it.
+
+Defined results: every row of ``queries`` is a query, rows that repeat an id too.
+Vectors that are null, zero, of another length than most or
 hold a null, NaN or infinite component take no part.  Rows with the query's own
 ``vec_id`` are never its neighbours.  Ties go to the smaller ``vec_id``.  A query
 with fewer candidates than ``k`` gets them all.  Extra columns are ignored.
@@ -19,9 +23,7 @@ with fewer candidates than ``k`` gets them all.  Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,8 @@ from loftline.llm.store import attach, written
 SUBSTRING_BITS = 8
 SAMPLE = 4096
 RECALL = 0.985
-QUERY_BLOCK = 8192
-BASE_BLOCK = 1 << 15
+#: Rows of a shard, and queries of a block.
+SHARD_ROWS, QUERY_BLOCK = 8192, 4096
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -84,11 +86,14 @@ def fit_codes(x: np.ndarray, k: int = 5, recall: float = RECALL, rounds: int = 3
 
 
 class Substrings:
-    """For each substring of the codes, the rows in each of its buckets."""
+    """For each substring of the codes, the rows in each of its buckets.
+
+    ``order`` are the rows by each substring, where they have been sorted before.
+    """
 
-    def __init__(self, codes: np.ndarray, radius: int) -> None:
+    def __init__(self, codes: np.ndarray, radius: int, order: np.ndarray | None = None) -> None:
         self.codes, self.radius = codes, radius
-        self.order = [np.argsort(c, kind="stable") for c in codes.T]
+        self.order = np.argsort(codes.T, axis=1, kind="stable") if order is None else order
         self.edges = [np.searchsorted(c[o], np.arange(257)) for c, o in zip(codes.T, self.order)]
         slack = radius // codes.shape[1]
         self.near = [np.flatnonzero(_POPCOUNT[np.arange(256) ^ v] <= slack) for v in range(256)]
@@ -110,68 +115,88 @@ def usable(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(wide, lambda c: c != 0), F.lit(False))
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    values = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return values.astype(np.float64).reshape(len(column), -1)
+
+
+_INDEX = "shard int, ids binary, vectors binary, codes binary, buckets binary"
+_ASKED = "block int, keys binary, ids binary, vectors binary"
+_FOUND = "key long, query_id long, vec_id long, score double"
+
+
+def _one_row(schema: str, *values: object) -> pa.Table:
+    names = [f.split()[0] for f in schema.split(", ")]
+    return pa.table([pa.array([v.tobytes() if isinstance(v, np.ndarray) else v], pa.binary() if isinstance(v, np.ndarray) else pa.int32()) for v in values], names)
+
 
+def _read(table: pa.Table, column: str, kind: str) -> np.ndarray:
+    return np.frombuffer(table[column][0].as_buffer(), kind)
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, sample: int = SAMPLE, query_block: int = QUERY_BLOCK) -> DataFrame:
+
+def _search(index: pa.Table, asked: pa.Table, model: CodeModel, dim: int, k: int) -> pa.Table:
+    """The ``k`` nearest rows of a shard to each query of a block."""
+    own, x = _read(index, "ids", "<i8"), _read(index, "vectors", "<f8").reshape(-1, dim)
+    codes = _read(index, "codes", "u1").reshape(len(x), -1)
+    buckets = Substrings(codes, model.radius, _read(index, "buckets", "<i4").reshape(-1, len(x)))
+    keys, ids, q = _read(asked, "keys", "<i8"), _read(asked, "ids", "<i8"), _read(asked, "vectors", "<f8").reshape(-1, dim)
+    norm, size, probes = np.linalg.norm(x, axis=1), np.linalg.norm(q, axis=1), model.codes(q)
+    out = []
+    for j in range(len(ids)):
+        rows = buckets.within(probes[j])
+        rows = rows[own[rows] != ids[j]]
+        if len(rows) < k:
+            rows = np.flatnonzero(own != ids[j])
+        # Row by row in one order, so that equal vectors score exactly the same.
+        score = (x[rows] * q[j]).sum(1) / (norm[rows] * size[j])
+        if len(rows) > 4 * k:
+            tight = score >= np.partition(score, -k)[-k]
+            rows, score = rows[tight], score[tight]
+        first = np.lexsort((own[rows], -score))[:k]
+        out.append((np.full(len(first), keys[j]), np.full(len(first), ids[j]), own[rows[first]], score[first]))
+    return pa.table([pa.array(np.concatenate(c)) for c in zip(*out)], [f.split()[0] for f in _FOUND.split(", ")])
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, sample: int = SAMPLE, shard_rows: int = SHARD_ROWS, query_block: int = QUERY_BLOCK) -> DataFrame:
     """The ``k`` nearest of ``vectors`` to each of ``queries`` (both vec_id, embedding)."""
     spark = vectors.sparkSession
     attach(spark)
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    clean = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where(usable(F.col("v")) & F.col("vec_id").isNotNull())
-    base = clean(vectors)
+    number = F.monotonically_increasing_id()
+    clean = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), number.alias("key")).where(usable(F.col("v")) & F.col("vec_id").isNotNull())
+    base, asked = clean(vectors), clean(queries)
     lengths = base.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
     if not lengths:
         return empty
     dim, total = lengths[0]["dim"], lengths[0]["count"]
-    base = base.where(F.size("v") == dim)
+    base, asked = base.where(F.size("v") == dim), asked.where(F.size("v") == dim)
+    n_asked = asked.count()
+    if not n_asked:
+        return empty
     limit = int(min(1.0, sample / total) * (1 << 30))
-    drawn = base.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) <= limit).limit(2 * sample)
+    drawn = base.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) <= limit).select("v").limit(2 * sample)
     model = spark.sparkContext.broadcast(fit_codes(np.array([r["v"] for r in drawn.collect()] or [[1.0] * dim]), k))
-
-    asked = written(clean(queries).where(F.size("v") == dim).withColumn("block", F.monotonically_increasing_id()), "ann-queries")
-    # Ids are numbered per partition, so blocks of even size come from ranking within hash groups.
-    blocks = max(1, -(-2 * asked.count() // query_block))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", "block"), F.lit(blocks)))
-
-    def search(block: object):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, q = block.value
-            codes = model.value.codes(q)
-            size = np.linalg.norm(q, axis=1)
-            for batch in batches:
-                for at in range(0, batch.num_rows, BASE_BLOCK):
-                    part = batch.slice(at, BASE_BLOCK)
-                    own, x = part.column("vec_id").to_numpy(), _matrix(part.column("v"), dim)
-                    index, norm = Substrings(model.value.codes(x), model.value.radius), np.linalg.norm(x, axis=1)
-                    out_q, out_v, out_s = [], [], []
-                    for j in range(len(ids)):
-                        rows = index.within(codes[j])
-                        rows = rows[own[rows] != ids[j]]
-                        if len(rows) < k:
-                            rows = np.flatnonzero(own != ids[j])
-                        # Row by row in one order, so that equal vectors score exactly the same.
-                        score = (x[rows] * q[j]).sum(1) / (norm[rows] * size[j])
-                        if len(rows) > 4 * k:
-                            tight = score >= np.partition(score, -k)[-k]
-                            rows, score = rows[tight], score[tight]
-                        first = np.lexsort((own[rows], -score))[:k]
-                        out_q.append(np.full(len(first), ids[j]))
-                        out_v.append(own[rows[first]])
-                        out_s.append(score[first])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (out_q, out_v, out_s)], ["query_id", "vec_id", "score"])
-
-        return run
-
-    found = []
-    for b in range(blocks):
-        rows = asked.where(F.col("block") == b).select("vec_id", "v").collect()
-        if rows:
-            shared = spark.sparkContext.broadcast((np.array([r["vec_id"] for r in rows]), np.array([r["v"] for r in rows])))
-            found.append(base.mapInArrow(search(shared), "query_id long, vec_id long, score double"))
-    if not found:
-        return empty
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    every = reduce(DataFrame.unionAll, found)
-    return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    shards, blocks = -(-total // shard_rows), -(-n_asked // query_block)
+
+    def index(key: tuple, table: pa.Table) -> pa.Table:
+        x = _matrix(table["v"])
+        codes = model.value.codes(x)
+        return _one_row(_INDEX, key[0].as_py(), table["vec_id"].to_numpy(), x, codes, np.argsort(codes.T, axis=1, kind="stable").astype("<i4"))
+
+    def pack(key: tuple, table: pa.Table) -> pa.Table:
+        return _one_row(_ASKED, key[0].as_py(), table["key"].to_numpy(), table["vec_id"].to_numpy(), _matrix(table["v"]))
+
+    dealt = lambda n: F.pmod(F.xxhash64("key", F.lit(1)), F.lit(n)).cast("int")
+    indexed = written(base.withColumn("shard", dealt(shards)).groupBy("shard").applyInArrow(index, _INDEX), "ann-index")
+    packed = written(asked.withColumn("block", dealt(blocks)).groupBy("block").applyInArrow(pack, _ASKED), "ann-queries")
+    left = indexed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).groupBy("shard", "block")
+    right = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).groupBy("shard", "block")
+
+    def search(some: pa.Table, them: pa.Table) -> pa.Table:
+        if not some.num_rows or not them.num_rows:
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64())], [f.split()[0] for f in _FOUND.split(", ")])
+        return _search(some, them, model.value, dim, k)
+
+    found = left.cogroup(right).applyInArrow(search, _FOUND)
+    order = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

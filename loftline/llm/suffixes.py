@@ -3,15 +3,16 @@
 The text of a shard is sorted as bytes: suffixes are classified, the leftmost
 smaller (LMS) substrings are sorted by inducing from their first bytes, named,
 and sorted as a shorter string by recursion; the order of all suffixes is then
-induced from theirs.  Over bytes a bucket is induced at a time in numpy; the
-recursion, over names, steps through plain lists.
+induced from theirs.  Over bytes a bucket is induced at a time in numpy.  In the
+recursion, over names, substrings are sorted in numpy and suffixes are induced by
+steps through plain lists.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-from loftline.llm.kernels import mix64
+_WIDE = 7
 
 
 def _types(t: np.ndarray) -> np.ndarray:
@@ -55,7 +56,7 @@ def _named(t: np.ndarray, lms: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray,
     return names[lms], bool(new.all())
 
 
-def _induce_small(t: np.ndarray, rising: np.ndarray, lms: np.ndarray, edges: list[int]) -> np.ndarray:
+def _induce_small(t: np.ndarray, rising: np.ndarray, lms: np.ndarray, edges: np.ndarray) -> np.ndarray:
     """All suffixes from ordered LMS ones, a suffix at a time.
 
     Empty places hold 0, the suffix that has none before it.
@@ -63,19 +64,19 @@ def _induce_small(t: np.ndarray, rising: np.ndarray, lms: np.ndarray, edges: lis
     falls, rises = np.where(rising, -1, t).tolist(), np.where(rising, t, -1).tolist()
     # Nothing precedes suffix 0: the look-up at -1 must find nothing.
     rises[-1] = -1
-    sa = [0] * len(t)
-    tail = edges[1:]
-    for i, c in zip(lms[::-1].tolist(), t[lms[::-1]].tolist()):
-        tail[c] = at = tail[c] - 1
-        sa[at] = i
-    head = edges[:-1]
+    # The ordered LMS suffixes fill the ends of their buckets.
+    first = t[lms]
+    placed = np.zeros(len(t), np.int64)
+    placed[edges[first + 1] - np.searchsorted(first, first, "right") + np.arange(len(lms))] = lms
+    sa = placed.tolist()
+    head = edges[:-1].tolist()
     for i in sa:
         c = falls[i - 1]
         if c >= 0:
             at = head[c]
             sa[at] = i - 1
             head[c] = at + 1
-    tail = edges[1:]
+    tail = edges[1:].tolist()
     for i in reversed(sa):
         c = rises[i - 1]
         if c >= 0:
@@ -84,13 +85,44 @@ def _induce_small(t: np.ndarray, rising: np.ndarray, lms: np.ndarray, edges: lis
     return np.array(sa)
 
 
+#: Symbols up to which LMS substrings of names are sorted column by column; they seldom have more than a few.
+_COLUMNS = 64
+
+
+def _named_small(t: np.ndarray, rising: np.ndarray, lms: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, bool]:
+    """The string of names of the LMS substrings of ``t``, and whether all differ.
+
+    A symbol and its type tell where a substring ends, so substrings that agree so
+    far have all ended or all go on.  Those that agree are sorted by their next symbol.
+    """
+    kind, size = 2 * t + rising, np.append(np.diff(lms) + 1, 1)
+    order = np.argsort(kind[lms], kind="stable")
+    # A substring's rank is the place of the first one that equals it.
+    rank, key = np.zeros(len(lms), np.int64), kind[lms][order]
+    rank[order] = np.searchsorted(key, key)
+    tied = np.flatnonzero(np.bincount(rank, minlength=len(lms))[rank] > 1)
+    for k in range(1, _COLUMNS):
+        tied = tied[size[tied] > k]
+        if not len(tied):
+            break
+        key = rank[tied] * (2 * len(edges)) + kind[lms[tied] + k]
+        by = np.argsort(key, kind="stable")
+        tied, key, old = tied[by], key[by], rank[tied[by]]
+        rank[tied] = old + np.searchsorted(key, key) - np.searchsorted(old, old)
+        tied = tied[np.searchsorted(key, key, "right") - np.searchsorted(key, key) > 1]
+    else:
+        return _named(t, lms, _induce_small(t, rising, lms[np.argsort(t[lms], kind="stable")], edges))
+    names = np.unique(rank, return_inverse=True)[1]
+    return names, int(names.max()) + 1 == len(names)
+
+
 def _suffixes_small(t: np.ndarray) -> np.ndarray:
     """Suffix array of names whose last, 0, occurs only there."""
     if len(t) == 1:
         return np.zeros(1, np.int64)
     rising = _types(t)
-    lms, edges = _lms(rising), np.concatenate([[0], np.cumsum(np.bincount(t))]).tolist()
-    short, done = _named(t, lms, _induce_small(t, rising, lms, edges))
+    lms, edges = _lms(rising), np.concatenate([[0], np.cumsum(np.bincount(t))])
+    short, done = _named_small(t, rising, lms, edges)
     order = np.argsort(short) if done else _suffixes_small(short)
     return _induce_small(t, rising, lms[order], edges)
 
@@ -156,7 +188,7 @@ class _Induction:
 
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
-    """Suffix array of symbols below 2**15 whose last, 0, occurs only there."""
+    """Suffix array of symbols below 2**9 whose last, 0, occurs only there."""
     if len(t) == 1:
         return np.zeros(1, np.int64)
     work = _Induction(t)
@@ -178,15 +210,14 @@ def common_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     fresh = (before <= 0) | (place == 0) | (t[np.maximum(place, 1) - 1] != t[prior])
     at = np.flatnonzero(fresh & (before >= 0))
     size = np.zeros(n, np.int64)
-    # Eight symbols at a time, as one word.
-    wide = np.concatenate([t.astype(np.uint64), np.zeros(8, np.uint64)])
-    word = np.zeros(n, np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(8):
-            word = mix64(word * np.uint64(0x9E3779B97F4A7C15) + wide[k : k + n])
+    # Seven symbols of at most nine bits at a time, as one word.
+    wide = np.concatenate([t.astype(np.int64), np.zeros(_WIDE, np.int64)])
+    word = wide[:n].copy()
+    for k in range(1, _WIDE):
+        word = (word << 9) + wide[k : k + n]
     todo = at
     # A run that goes on from a fresh place may need what lies further back.
-    limit = most + 8
+    limit = most + _WIDE
     runs = np.diff(np.append(at, n)) if len(at) else at
     need = np.zeros(n, np.int64)
     need[at] = limit + runs
@@ -195,10 +226,10 @@ def common_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
         ok = (i < n) & (j < n)
         ok[ok] = word[i[ok]] == word[j[ok]]
         todo = todo[ok]
-        size[todo] += 8
+        size[todo] += _WIDE
         todo = todo[size[todo] < need[todo]]
     todo = at
-    for _ in range(8):
+    for _ in range(_WIDE):
         i, j = todo + size[todo], before[todo] + size[todo]
         ok = (i < n) & (j < n)
         ok[ok] = t[i[ok]] == t[j[ok]]

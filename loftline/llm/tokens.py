@@ -4,7 +4,9 @@ A text is cut where the tokenizer's own pattern always begins a token, such as
 before the space ahead of a word, so pieces can be encoded apart and a piece
 that occurs often is encoded once.  Pieces of
 letters alone need no further splitting; they skip the pattern and go straight
-to the merges.  Every other piece takes the tokenizer's own path.
+to the merges.  Every other piece takes the tokenizer's own path.  The strings
+of added tokens, such as ``<|endoftext|>``, are kept whole, and what lies between
+them is cut as texts of its own, as the library does.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ _NEWLINE = _BYTE_CHARS[10]
 
 
 def load(name: str) -> tuple:
-    """The tokenizer, and a copy that splits only at the stand-in of a newline."""
+    """The tokenizer, a copy that splits only at the stand-in of a newline, that one's id, and a pattern of the added tokens."""
     if name not in _loaded:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
@@ -43,10 +45,10 @@ def load(name: str) -> tuple:
 
         path = name if os.path.sep in name else public_tokenizers.path(name)
         plain, bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        plain.encode_special_tokens = bare.encode_special_tokens = True
         bare.pre_tokenizer = pre_tokenizers.Split(_NEWLINE, "isolated")
         mark = bare.token_to_id(_NEWLINE)
-        _loaded[name] = plain, bare, mark
+        added = sorted((a.content.encode() for a in plain.get_added_tokens_decoder().values()), key=len, reverse=True)
+        _loaded[name] = plain, bare, mark, re.compile(b"|".join(map(re.escape, added))) if added else None
     return _loaded[name]
 
 
@@ -101,7 +103,7 @@ def piece_starts(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 def _encode_pieces(pieces: list[str], name: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of each piece, end to end, and their counts."""
-    plain, bare, mark = load(name)
+    plain, bare, mark, _ = load(name)
     quick = [k for k, p in enumerate(pieces) if _LETTERS(p)]
     rest = sorted(set(range(len(pieces))).difference(quick))
     parts, owners = [], []
@@ -153,15 +155,33 @@ class _Seen:
         self.hashes, self.ids = every[order], np.concatenate([self.ids, ids])
 
 
+def added_tokens(raw: memoryview, offs: np.ndarray, pattern: re.Pattern | None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the strings of added tokens; none reaches over two texts."""
+    found, at = [], 0
+    while pattern and (m := pattern.search(raw, at)):
+        s, e = m.span()
+        whole = e <= offs[np.searchsorted(offs, s, "right")]
+        if whole:
+            found.append((s, e))
+        at = e if whole else s + 1
+    return tuple(np.array(found, np.int64).reshape(-1, 2).T)
+
+
 def encode_block(buf: np.ndarray, offs: np.ndarray, end_id: int, name: str = DEFAULT_TOKENIZER) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts end to end, each followed by ``end_id``, and each text's offset."""
-    starts = piece_starts(buf, offs)
+    raw = memoryview(buf.tobytes() if not buf.flags.c_contiguous else buf)
+    special, past = added_tokens(raw, offs, load(name)[3])
+    if len(special):
+        starts = piece_starts(buf, np.unique(np.concatenate([offs, special, past])))
+        inside = np.searchsorted(special, starts, "left") - 1
+        starts = starts[(inside < 0) | (starts >= past[inside])]
+    else:
+        starts = piece_starts(buf, offs)
     ends = np.append(starts[1:], len(buf)) if len(starts) else starts
     hashes, first, which = np.unique(span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
     seen = _Seen.by_name.setdefault(name, _Seen())
     where, known = seen.find(hashes)
     new = first[~known]
-    raw = memoryview(buf.tobytes() if not buf.flags.c_contiguous else buf)
     pieces = [str(raw[s:e], "utf-8") for s, e in zip(starts[new].tolist(), ends[new].tolist())]
     ids, (new_at, new_count) = _encode_pieces(pieces, name)
     at, count = np.empty(len(hashes), np.int64), np.empty(len(hashes), np.int64)

@@ -1,8 +1,10 @@
 import random
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 
 from loftline.llm import decontam, kernels, packing, suffixes, tokens
 
@@ -28,10 +30,10 @@ def test_blocks_keep_rows(limit):
 
 def test_pieces_encode_as_whole_texts():
     rng = random.Random(5)
-    parts = ["a", "B", "é", " ", "  ", "\n", "\t", " ", "　", "'s", "'", "ll", "1", "23", ".", "!!", "ß", "中", "x", "word", "\x1c", "🙂", "Ġ", "\x85", "<|endoftext|>"]
-    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(1500)] + ["", None, " ", "\n\nx", "long " * 2000]
+    parts = ["a", "B", "é", " ", "  ", "\n", "\t", " ", "　", "'s", "'", "ll", "1", "23", ".", "!!", "ß", "中", "x", "word", "\x1c", "🙂", "Ġ", "\x85", "<|endoftext|>", "<|endoftext|>", "<|endof", "text|>", "<|"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(1500)] + ["", None, " ", "\n\nx", "long " * 2000, "a <|endof", "text|> b", "hello <|endoftext|> world"]
     ids, rows = tokens.encode_block(*kernels.utf8_view(pa.array(texts, pa.string())), 2)
-    plain = tokens.load(tokens.DEFAULT_TOKENIZER)[0]
+    plain = Tokenizer.from_file(public_tokenizers.path(tokens.DEFAULT_TOKENIZER))
     for k, t in enumerate(texts):
         assert ids[rows[k] : rows[k + 1]].tolist() == plain.encode(t or "", add_special_tokens=False).ids + [2]
 

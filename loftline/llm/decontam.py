@@ -14,9 +14,9 @@ than ``LONGEST`` are also sought as a whole.
 All items are taken against all documents, in blocks of items whose q-gram index
 has a bounded size; one scan of the documents serves a block.
 
-Defined results: null or empty texts match nothing; so do items of fewer than q
-letters and digits.  Items of under ``EXACT_BELOW`` letters and digits must occur
-exactly.  Repeated documents are reported each; items that repeat an id are taken
+Defined results: null or empty texts match nothing; so do items without letters
+and digits.  Items of under ``EXACT_BELOW`` letters and digits must occur exactly,
+those of fewer than q must be all that the document has.  Repeated documents are reported each; items that repeat an id are taken
 as one item with several texts.  Items without an id can't be named and aren't
 reported, but ``clean`` drops the documents that hold them.  Extra columns are
 ignored, and kept by ``clean``.
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loftline.llm.kernels import mix64, text_blocks, utf8_view
-from loftline.llm.store import attach
+from loftline.llm.store import attach, lean, written
 
 Q = 10
 #: Letters and digits of the shortest passage of a longer item that is sought.
@@ -100,7 +100,13 @@ class ItemIndex:
     """Places of each q-gram in a block of items, behind a bitmap."""
 
     def __init__(self, rows: list[tuple[int | None, str]]) -> None:
-        self.items = [Item(i, t) for i, s in rows if len(t := folded(np.frombuffer(s.encode(), np.uint8))[0]) >= Q]
+        every = [(i, folded(np.frombuffer(s.encode(), np.uint8))[0]) for i, s in rows]
+        self.items = [Item(i, t) for i, t in every if len(t) >= Q]
+        #: Items of fewer than q characters, by these.
+        self.tiny: dict[bytes, list[int | None]] = {}
+        for i, t in every:
+            if 0 < len(t) < Q:
+                self.tiny.setdefault(t.tobytes(), []).append(i)
         self.least = np.array([min(need for _, _, need in x.windows) for x in self.items], np.int64)
         self.step = 1 + max((e for x in self.items for _, e, _ in x.windows), default=0)
         hashes = [gram_hashes(x.text) for x in self.items]
@@ -217,15 +223,19 @@ def find_in(text: np.ndarray, item: Item, at: np.ndarray, place: np.ndarray) ->
 
 
 def find_leaks(buf: np.ndarray, offs: np.ndarray, index: ItemIndex) -> list[tuple[int, int, int, int, int, int]]:
-    """(item number, row, window start, edits, start and end byte in the row) of each item found in each text."""
+    """(item id, row, window start, edits, start and end byte in the row) of each item found in each text."""
     text, where = folded(buf)
     edges = np.searchsorted(where, offs)
+    out = []
+    for r in np.flatnonzero((np.diff(edges) > 0) & (np.diff(edges) < Q)).tolist() if index.tiny else []:
+        a, b = int(edges[r]), int(edges[r + 1])
+        out += [(i, r, 0, 0, int(where[a] - offs[r]), int(where[b - 1] + 1 - offs[r])) for i in index.tiny.get(text[a:b].tobytes(), [])]
     at, item, place = index.hits(text)
     row = np.searchsorted(edges, at, "right") - 1
     whole = at + Q <= edges[row + 1]
     at, item, place, row = at[whole], item[whole], place[whole], row[whole]
     if not len(at):
-        return []
+        return out
     # Rows and items with too few shared q-grams on neighbouring bands of diagonals can be left out at once.
     pair = row * len(index.items) + item
     band = (at - place - (at - place).min()) // index.step
@@ -240,33 +250,31 @@ def find_leaks(buf: np.ndarray, offs: np.ndarray, index: ItemIndex) -> list[tupl
     at, item, place, row, pair = at[use], item[use], place[use], row[use], pair[use]
     order = np.argsort(pair, kind="stable")
     groups = np.split(order, np.flatnonzero(np.diff(pair[order])) + 1) if len(order) else []
-    out = []
     for group in groups:
         r, i = int(row[group[0]]), int(item[group[0]])
         found = find_in(text[edges[r] : edges[r + 1]], index.items[i], at[group] - edges[r], place[group])
         if found:
             s, cost, x, y = found
-            out.append((i, r, s, cost, int(where[edges[r] + x] - offs[r]), int(where[edges[r] + max(x, y - 1)] + 1 - offs[r])))
+            out.append((index.items[i].item_id, r, s, cost, int(where[edges[r] + x] - offs[r]), int(where[edges[r] + max(x, y - 1)] + 1 - offs[r])))
     return out
 
 
 def leaks(docs: DataFrame, items: DataFrame, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """A row for each document and item found in it: the best window, its edits and byte span.
 
-    ``docs`` has doc_id and text, and row_id where rows of one id must be told apart;
-    ``items`` has item_id and text.
+    ``docs`` has doc_id and text, ``items`` has item_id and text; each row of ``docs`` is searched by itself.
     """
     return _found(docs, items.where("item_id IS NOT NULL"), index_bytes)
 
 
-def _found(docs: DataFrame, items: DataFrame, index_bytes: int = INDEX_BYTES) -> DataFrame:
+def _found(docs: DataFrame, items: DataFrame, index_bytes: int = INDEX_BYTES, key: str | None = None) -> DataFrame:
     spark = docs.sparkSession
     attach(spark)
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-2 * total // index_bytes))
-    row_id = F.col("row_id") if "row_id" in docs.columns else F.lit(None).cast("long")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_id.alias("row_id"), F.col("text").cast("string").alias("text"))
+    row_id = F.col(key) if key else F.lit(None)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_id.cast("long").alias("row_id"), F.col("text").cast("string").alias("text"))
 
     def search(shared: object):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,7 +286,7 @@ def _found(docs: DataFrame, items: DataFrame, index_bytes: int = INDEX_BYTES) ->
                     ids, owner, *rest = zip(*out)
                     take = pa.array(owner)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([index.items[i].item_id for i in ids], pa.int64()), block["doc_id"].combine_chunks().take(take), block["row_id"].combine_chunks().take(take), *[pa.array(c, pa.int32()) for c in rest]],
+                        [pa.array(ids, pa.int64()), block["doc_id"].combine_chunks().take(take), block["row_id"].combine_chunks().take(take), *[pa.array(c, pa.int32()) for c in rest]],
                         ["item_id", "doc_id", "row_id", "segment", "edits", "start", "end"],
                     )
 
@@ -288,17 +296,15 @@ def _found(docs: DataFrame, items: DataFrame, index_bytes: int = INDEX_BYTES) ->
     for b in range(blocks):
         some = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         index = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in some.collect()])
-        found.append(rows.mapInArrow(search(index), LEAK))
+        found.append(rows.mapInArrow(lean(search(index)), LEAK))
     return reduce(DataFrame.unionAll, found)
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that hold no item, with their own columns."""
-    from loftline.llm.store import written
-
     names = docs.columns
     rows = written(docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)]).withColumn("row_id", F.monotonically_increasing_id()), "decontam")
     at = {c: f"c{k}" for k, c in enumerate(names)}
-    found = _found(rows.select(F.col(at["doc_id"]).alias("doc_id"), "row_id", F.col(at["text"]).alias("text")), items)
+    found = _found(rows.select(F.col(at["doc_id"]).alias("doc_id"), "row_id", F.col(at["text"]).alias("text")), items, key="row_id")
     kept = rows.join(found.select("row_id").distinct(), "row_id", "left_anti")
     return kept.select(*[F.col(at[c]).alias(c) for c in names])

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from loftline.llm.components import connected_components
 from loftline.llm.kernels import mix64, span_hashes, text_blocks, utf8_view, word_spans
-from loftline.llm.store import attach, written
+from loftline.llm.store import attach, lean, written
 
 #: All samples go into the sketch; the first ``BANDS`` times ``BAND_ROWS`` are banded.
 PERMUTATIONS, BANDS, BAND_ROWS = 256, 32, 4
@@ -128,7 +128,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 ["row_id", "doc_id", "n", "cid", "bands", "sketch"],
             )
 
-    return written(docs.select("row_id", "doc_id", "text").mapInArrow(sign, "row_id long, doc_id long, n long, cid binary, bands array<long>, sketch binary"), "signatures")
+    return written(docs.select("row_id", "doc_id", "text").mapInArrow(lean(sign), "row_id long, doc_id long, n long, cid binary, bands array<long>, sketch binary"), "signatures")
 
 
 def full_sets(docs: DataFrame, need: DataFrame, words: int) -> DataFrame:
@@ -142,7 +142,7 @@ def full_sets(docs: DataFrame, need: DataFrame, words: int) -> DataFrame:
     ids = need.select(F.col("doc_id").alias("needed")).distinct()
     # Ids grow with the documents: they are dealt by key at every size, never broadcast.
     some = docs.select("doc_id", "text").join(ids.hint("merge"), F.col("doc_id").eqNullSafe(F.col("needed")), "left_semi").select("text")
-    return written(some.mapInArrow(fill, "cid binary, shingles binary"), "sets")
+    return written(some.mapInArrow(lean(fill), "cid binary, shingles binary"), "sets")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -162,7 +162,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     # Both joins deal rows by class; no class has more rows than pairs it is in.
     left = pairs.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x")), "a")
     both = left.join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
-    return both.mapInArrow(check, "a binary, b binary").distinct()
+    return both.mapInArrow(lean(check), "a binary, b binary").distinct()
 
 
 def _tiled(df: DataFrame, tiles: Column) -> DataFrame:
@@ -240,14 +240,14 @@ def _links(least: float, percent: int):
     return link
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str | None = None) -> DataFrame:
     """row_id, doc_id, n_shingles, component_id and ``first`` (the row that stands for its group).
 
-    ``docs`` has doc_id and text, and row_id where the caller keeps its own.
+    ``docs`` has doc_id and text; ``key`` names a column of distinct integers that becomes row_id, if the caller has one.
     """
     spark = docs.sparkSession
     attach(spark)
-    row_id = F.col("row_id") if "row_id" in docs.columns else F.monotonically_increasing_id()
+    row_id = F.col(key) if key else F.monotonically_increasing_id()
     docs = docs.select(row_id.alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = signatures(docs, words)
     least = percent / 100 - MARGIN
@@ -291,5 +291,5 @@ def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
     names = docs.columns
     rows = written(docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)]).withColumn("row_id", F.monotonically_increasing_id()), "neardup")
     at = {c: f"c{k}" for k, c in enumerate(names)}
-    found = near_duplicates(rows.select("row_id", F.col(at["doc_id"]).alias("doc_id"), F.col(at["text"]).alias("text")), words, percent)
+    found = near_duplicates(rows.select("row_id", F.col(at["doc_id"]).alias("doc_id"), F.col(at["text"]).alias("text")), words, percent, "row_id")
     return rows.join(found.where("first").select("row_id"), "row_id", "left_semi").select(*[F.col(at[c]).alias(c) for c in names])

@@ -2,28 +2,34 @@
 
 Everything here is DataFrame functions; no Python runs on the executors.
 
-Entities (e-mail, ip, card and phone numbers) are found by pattern.  Their words
-nearby are then weighed over the whole corpus: a term that stands by an entity
-far more often than its frequency explains discloses it.  With n(t) the term's
-occurrences in the corpus and n(t, k) those beside an entity of kind k, the
-disclosure is log2 of P(k | t) over P(k), in bits.  Terms at or above the
-thresholds are removed, or generalised to a placeholder where they are less
-certain; entities are replaced by their kind.
+Entities (e-mail, ip, card and phone numbers) are found by pattern.  The terms
+around them are then weighed over the whole corpus.  With n(t) the occurrences
+of a term and n(t, e) those beside an entity e, the share n(t, e) / n(t) estimates
+how surely the term reveals e; its lower confidence bound (Wilson) must reach
+``MIN_SHARE``, and it must be ``MIN_BITS`` above what e's frequency explains.  e is
+an entity by its value, such as one address, and also its kind, so that both a
+surname and a label are weighed.  A term above the thresholds is reported
+wherever it stands, in texts without any entity too.  ``sanitise`` removes the
+surest terms, generalises the others to what they reveal, and replaces entities
+by their kind.
 
 Patterns use possessive runs and a left edge, so that each text is scanned in
 linear time; they find what the plain leftmost patterns find.
 
 Defined results: a null text is an empty text.  Rows that repeat an id are
-treated each on its own.  Spans count code points, ends are exclusive.  Extra
-columns are ignored; ``sanitise`` returns ``doc_id`` and ``text``.
+treated each on its own.  Spans count code points, ends are exclusive; terms that
+overlap an entity aren't reported.  Extra columns are ignored; ``sanitise``
+returns ``doc_id`` and ``text``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loftline.llm.store import written
+from loftline.llm.store import discard, written
 
 #: In the order in which spans are listed.
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -36,27 +42,61 @@ PATTERNS = {
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _IP_PARTS = rf"^{_PART}(?:\.{_PART}){{3}}$"
 TERM = r"\p{L}[\p{L}\p{N}_]++"
-#: Code points looked at on either side of an entity, and the terms taken from them.
-AROUND, NEAR_TERMS = 64, 3
-#: A term is sensitive from so many bits and so many occurrences beside one kind of entity, with this share of its own occurrences there.
-MIN_BITS, MIN_NEAR, MIN_SHARE = 4.0, 20, 0.5
+#: Code points on either side of an entity whose terms stand beside it.
+AROUND = 96
+#: Least bits, and least lower bound (at ``_Z`` standard errors) of the share of a term's occurrences beside what it reveals.
+MIN_BITS, MIN_SHARE = 4.0, 0.5
+_Z = 1.645
 REMOVE_SHARE = 0.9
+#: Telling terms are broadcast up to this number, and joined by shuffle beyond it.
+BROADCAST_TERMS = 100_000
+#: Places are summed in runs of so many matches.
+_RUN = 256
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of ``value``, which is computed once however often it is used there."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _matches(text: Column, pattern: str, around: bool = False) -> Column:
+    """Start, end and string of each match, in code points, as an array of structs.
+
+    The gaps between matches give their places.  Their sums are taken in runs, and
+    within a run, so that a text with very many matches takes little more than linear time.
+    ``around`` adds what stands before and after, up to the next match or ``AROUND``.
+    """
+    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
+
+    def placed(found: Column, gap: Column, step: Column) -> Column:
+        run = F.sequence(F.lit(0), F.floor(F.size(step) / _RUN).cast("int"))
+        sums = F.transform(run, lambda r: total(F.slice(step, r * _RUN + 1, F.lit(_RUN))))
 
+        def at(before: Column) -> Column:
+            def one(match: Column, i: Column) -> Column:
+                r = F.floor(i / _RUN).cast("int")
+                start = F.element_at(before, r + 1) + total(F.slice(step, r * _RUN + 1, i - r * _RUN + 1))
+                fields = [start.cast("long").alias("start"), (start + F.length(match)).cast("long").alias("end"), match.alias("match")]
+                if around:
+                    left, right = F.element_at(gap, i + 1), F.element_at(gap, i + 2)
+                    # A word that the edge of what is looked at may have cut doesn't count.
+                    fields += [
+                        F.when(F.length(left) > AROUND, F.regexp_replace(F.right(left, F.lit(AROUND)), r"^[\p{L}\p{N}_]+", "")).otherwise(left).alias("before"),
+                        F.when(F.length(right) > AROUND, F.regexp_replace(F.left(right, F.lit(AROUND)), r"[\p{L}\p{N}_]+$", "")).otherwise(right).alias("after"),
+                    ]
+                return F.struct(*fields)
 
-def _matches(text: Column, pattern: str) -> Column:
-    """Start, end and string of each match, in code points, as an array of structs."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    # The gaps between matches give their places: one more gap than matches.
-    gap = F.transform(F.split(text, pattern, -1), lambda s: F.length(s))
-    size = F.transform(found, lambda s: F.length(s))
-    zero = F.lit(0)
-    add = lambda a, x: a + x
+            return F.transform(found, one)
 
-    def at(match: Column, i: Column) -> Column:
-        start = F.aggregate(F.slice(gap, 1, i + 1), zero, add) + F.aggregate(F.slice(size, 1, i), zero, add)
-        return F.struct(start.cast("long").alias("start"), (start + F.length(match)).cast("long").alias("end"), match.alias("match"))
+        return _let(sums, lambda s: _let(F.transform(s, lambda _, r: total(F.slice(s, F.lit(1), r))), at))
 
-    return F.transform(found, at)
+    def steps(found: Column, gap: Column) -> Column:
+        # From the start of one match to that of the next: its own length and the gap behind it.
+        size = F.concat(F.array(F.lit(0)), F.transform(found, lambda m: F.length(m)))
+        step = F.zip_with(F.transform(gap, lambda x: F.length(x)), size, lambda x, y: x + y)
+        return _let(step, lambda s: placed(found, gap, s))
+
+    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: _let(F.split(text, pattern, -1), lambda gap: steps(found, gap)))
 
 
 def _digits(match: Column) -> Column:
@@ -88,94 +128,119 @@ _MAY = {
     "card": lambda t: t.rlike(r"(?:[0-9][\x20-]?){15}[0-9]"),
     "phone": lambda t: t.contains("+"),
 }
-_ENTITIES = "array<struct<kind:string,start:bigint,end:bigint>>"
+_ENTITIES = "array<struct<kind:string,start:bigint,end:bigint,entity:bigint,before:string,after:string>>"
 
 
 def entities(text: Column) -> Column:
-    """Valid entities of a text, by kind and then start: array of (kind, start, end)."""
+    """Valid entities of a text, by kind and then start: kind, start, end, entity (a hash of its value), and what stands before and after."""
 
     def of(kind: str) -> Column:
-        valid = F.filter(_matches(text, PATTERNS[kind]), lambda m: _VALID[kind](m["match"]))
-        spans = F.transform(valid, lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
+        valid = F.filter(_matches(text, PATTERNS[kind], around=True), lambda m: _VALID[kind](m["match"]))
+        value = (lambda m: F.lower(m)) if kind == "email" else (lambda m: m) if kind == "ip" else _digits
+        spans = F.transform(valid, lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), F.xxhash64(F.lit(kind), value(m["match"])).alias("entity"), m["before"].alias("before"), m["after"].alias("after")))
         return F.when(_MAY[kind](text), spans).otherwise(F.array().cast(_ENTITIES))
 
     return F.concat(*[of(k) for k in PATTERNS])
 
 
-def _terms_beside(text: Column, span: Column, every: Column) -> Column:
-    """The nearest terms on each side of ``span`` that overlap no entity."""
-    begin = F.greatest(span["start"] - AROUND, F.lit(0))
-    left = F.substring(text, (begin + 1).cast("int"), (span["start"] - begin).cast("int"))
-    right = F.substring(text, (span["end"] + 1).cast("int"), F.lit(AROUND))
-    place = lambda base: lambda m: F.struct(span["kind"].alias("kind"), F.lower(m["match"]).alias("term"), (base + m["start"]).alias("start"), (base + m["end"]).alias("end"))
-    clear = lambda m: ~F.exists(every, lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"]))
-    # A word that the edge of what is looked at may have cut doesn't count.
-    before = F.filter(F.transform(_matches(left, TERM), place(begin)), lambda m: (m["start"] > begin) | (begin == 0))
-    after = F.filter(F.transform(_matches(right, TERM), place(span["end"])), lambda m: (m["end"] < span["end"] + AROUND) | (m["end"] == F.length(text)))
-    near = F.concat(F.slice(F.reverse(before), 1, NEAR_TERMS), F.slice(after, 1, NEAR_TERMS))
-    return F.filter(near, clear)
+def _terms_beside(span: Column) -> Column:
+    """The terms near an entity; words of other addresses are none."""
+    plain = F.regexp_replace(F.concat(span["before"], F.lit(" "), span["after"]), PATTERNS["email"], " ")
+    terms = F.regexp_extract_all(F.lower(plain), F.lit(TERM), F.lit(0))
+    return F.transform(terms, lambda t: F.struct(span["kind"].alias("kind"), span["entity"].alias("entity"), t.alias("term")))
 
 
-def find_entities(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """Written table: row_id, doc_id, spans, near terms (and text)."""
+def _texts(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    found = rows.withColumn("spans", entities(F.col("text")))
-    near = F.flatten(F.transform("spans", lambda s: _terms_beside(F.col("text"), s, F.col("spans"))))
-    empty = F.array().cast("array<struct<kind:string,term:string,start:bigint,end:bigint>>")
-    found = found.withColumn("near", F.when(F.size("spans") > 0, near).otherwise(empty))
-    return written(found if with_text else found.drop("text"), "entities")
+    # An id and a hash of the text name a row; rows that agree in both have the same terms.
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), text.alias("text"))
+
+
+def find_entities(docs: DataFrame, with_text: bool = False) -> DataFrame:
+    """Written table: doc_id, hash, spans, near terms (and text)."""
+    def both(every: Column) -> Column:
+        spans = F.transform(every, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+        return F.struct(spans.alias("spans"), F.flatten(F.transform(every, _terms_beside)).alias("near"))
+
+    found = _texts(docs).withColumn("found", _let(entities(F.col("text")), both))
+    # Entities are found once: the table is written with both in one column.
+    out = written(found if with_text else found.drop("text"), "entities")
+    return out.select("doc_id", "hash", *(["text"] if with_text else []), "found.spans", "found.near")
+
+
+def _words(text: Column) -> Column:
+    plain = F.when(text.contains("@"), F.regexp_replace(text, PATTERNS["email"], " ")).otherwise(text)
+    return F.regexp_extract_all(F.lower(plain), F.lit(TERM), F.lit(0))
 
 
 def disclosure(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Per kind and term: occurrences, those beside an entity, share, bits; sensitive ones only."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit(TERM), F.lit(0))
-    # Both counts combine before they are shuffled, so a frequent word is a row per task.
-    counts = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
-    beside = found.select(F.explode("near").alias("x")).groupBy(F.col("x.term").alias("term"), F.col("x.kind").alias("kind")).agg(F.count("*").alias("n_near")).where(F.col("n_near") >= MIN_NEAR)
-    by_kind = found.select(F.explode("spans").alias("s")).groupBy("s.kind").agg((2.0 * NEAR_TERMS * F.count("*")).alias("places"))
-    total = counts.agg(F.sum("n").alias("words"))
-    share = F.least(F.col("n_near") / F.col("n"), F.lit(1.0))
-    return (
-        beside.join(counts, "term")
-        .join(F.broadcast(by_kind), "kind")
-        .join(F.broadcast(total))
-        .select("kind", "term", "n", "n_near", share.alias("share"), (F.log2(share) - F.log2(F.col("places") / F.col("words"))).alias("bits"))
-        .where((F.col("bits") >= MIN_BITS) & (F.col("share") >= MIN_SHARE))
-    )
+    """Written table of the telling terms: term, kind of what it reveals, share (its lower bound), bits."""
+    # Every count combines before it is shuffled, so a frequent word is a row per task.
+    pairs = found.select(F.explode("near").alias("x")).select("x.term", "x.kind", F.explode(F.array("x.entity", F.xxhash64("x.kind"))).alias("target"))
+    beside = written(pairs.groupBy("term", "kind", "target").agg(F.count("*").alias("n_near")), "beside")
+    counts = _texts(docs).select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    total = written(counts, "terms")
+    words = total.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    k, n = F.least("n_near", "n"), F.col("n")
+    p = k / n
+    low = (p + _Z**2 / (2 * n) - _Z * F.sqrt(p * (1 - p) / n + _Z**2 / (4 * n * n))) / (1 + _Z**2 / n)
+    sure = beside.join(total, "term").withColumn("share", low).where(F.col("share") >= MIN_SHARE)
+    places = beside.groupBy("target").agg(F.sum("n_near").alias("places"))
+    bits = F.log2(p) - F.log2(F.col("places") / F.lit(max(1, words)))
+    telling = sure.join(places, "target").withColumn("bits", bits).where(F.col("bits") >= MIN_BITS)
+    best = telling.groupBy("term").agg(F.max(F.struct("share", "bits", "kind")).alias("b")).select("term", "b.kind", "b.share", "b.bits")
+    out = written(best, "telling")
+    discard(beside, total)
+    return out
+
+
+def _telling_spans(docs: DataFrame, found: DataFrame, telling: DataFrame) -> DataFrame:
+    """doc_id, hash and terms (start, end, share, reveals) of the rows that hold telling terms."""
+    texts = _texts(docs)
+    some = F.broadcast(telling) if telling.count() <= BROADCAST_TERMS else telling
+    known = texts.select("doc_id", "hash", F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).join(some.select("term", "share", "kind"), "term")
+    # A row's terms are bounded by its text.
+    known = written(known.distinct().groupBy("doc_id", "hash").agg(F.map_from_entries(F.collect_list(F.struct("term", F.struct("share", "kind")))).alias("known")), "telling-rows")
+    a, b = texts.alias("a"), known.alias("b")
+    held = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.hash") == F.col("b.hash"))).select("a.doc_id", "a.hash", "text", "known").dropDuplicates(["doc_id", "hash"])
+    match = F.filter(F.transform(_matches(F.col("text"), TERM), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.col("known")[F.lower(m["match"])].alias("of"))), lambda m: m["of"].isNotNull())
+    terms = held.select("doc_id", "hash", F.explode(match).alias("m")).select("doc_id", "hash", "m.start", "m.end", F.col("m.of.share").alias("share"), F.col("m.of.kind").alias("reveals"))
+    a, b = found.alias("a"), known.alias("b")
+    taken = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.hash") == F.col("b.hash"))).select("a.doc_id", "a.hash", F.explode("spans").alias("s")).select("doc_id", "hash", "s.start", "s.end", F.lit(None).cast("double").alias("share"), F.lit(None).cast("string").alias("reveals"))
+    # One sweep over a text: a term is clear of entities that begin before it and of the next one.
+    order = Window.partitionBy("doc_id", "hash").orderBy("start", F.col("share").isNotNull())
+    entity = F.col("share").isNull()
+    before = F.max(F.when(entity, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first(F.when(entity, F.col("start")), ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    swept = terms.unionByName(taken).select("*", before.alias("before"), after.alias("after"))
+    clear = swept.where(~entity & (F.coalesce("before", F.lit(0)) <= F.col("start")) & F.coalesce(F.col("after") >= F.col("end"), F.lit(True)))
+    return clear.groupBy("doc_id", "hash").agg(F.sort_array(F.collect_list(F.struct("start", "end", "share", "reveals"))).alias("terms"))
 
 
 def find_pii(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """row_id, doc_id and spans (kind, start, end, share) by kind and start; terms come last.
+    """doc_id and spans (kind, start, end, share, reveals) by kind and start; terms come last.
 
-    ``share`` is how surely a term stands beside its entity; of entities it is null.
+    ``share`` is how surely a term reveals an entity of the kind ``reveals``; of entities both are null.
     """
     found = find_entities(docs, with_text)
-    telling = disclosure(docs, found)
-    terms = (
-        found.select("row_id", F.explode("near").alias("x"))
-        .select("row_id", "x.kind", "x.term", "x.start", "x.end")
-        .join(telling.select("kind", "term", "share"), ["kind", "term"])
-        .groupBy("row_id", "start", "end")
-        .agg(F.max("share").alias("share"))
-        .groupBy("row_id")
-        .agg(F.sort_array(F.collect_list(F.struct("start", "end", "share"))).alias("terms"))
-    )
-    span = "array<struct<kind:string,start:bigint,end:bigint,share:double>>"
-    listed = F.transform("terms", lambda t: F.struct(F.lit("term").alias("kind"), t["start"].alias("start"), t["end"].alias("end"), t["share"].alias("share")))
-    base = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit(None).cast("double").alias("share")))
-    every = F.concat(base, F.coalesce(listed, F.array().cast(span)))
-    return found.join(terms, "row_id", "left").select("row_id", "doc_id", *(["text"] if with_text else []), every.alias("spans"))
+    terms = _telling_spans(docs, found, disclosure(docs, found))
+    listed = F.transform("terms", lambda t: F.struct(F.lit("term").alias("kind"), t["start"].alias("start"), t["end"].alias("end"), t["share"].alias("share"), t["reveals"].alias("reveals")))
+    none = lambda t: F.lit(None).cast(t)
+    base = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), none("double").alias("share"), none("string").alias("reveals")))
+    span = "array<struct<kind:string,start:bigint,end:bigint,share:double,reveals:string>>"
+    a, b = found.alias("a"), terms.alias("b")
+    both = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.hash") == F.col("b.hash")), "left")
+    return both.select("a.doc_id", *(["text"] if with_text else []), F.concat(base, F.coalesce(listed, F.array().cast(span))).alias("spans"))
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and ``text`` with entities replaced by their kind and telling terms generalised or removed."""
+    """``doc_id`` and ``text`` with entities replaced by their kind and telling terms removed or generalised to what they reveal."""
     found = find_pii(docs, with_text=True)
-    ordered = F.sort_array(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["share"].alias("share"))))
+    ordered = F.sort_array(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["share"].alias("share"), s["reveals"].alias("reveals"))))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def put(acc: Column, s: Column) -> Column:
-        mask = F.when(s["kind"] != "term", F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))).when(s["share"] >= REMOVE_SHARE, F.lit("")).otherwise(F.lit("<TERM>"))
+        mask = F.when(s["kind"] != "term", F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))).when(s["share"] >= REMOVE_SHARE, F.lit("")).otherwise(F.concat(F.lit("<"), F.upper(s["reveals"]), F.lit(" TERM>")))
         gap = F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
         new = F.struct(s["end"].alias("at"), F.concat(acc["out"], gap, mask).alias("out"))
         return F.when(s["start"] >= acc["at"], new).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from loftline.llm import ann, decontam, langid, lm, neardup, packing, pii, secrets, suffixdedup, tokenbin
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """The columns that an operator works on; others, whatever their names, stay out."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
 def _listed(spans: Column) -> Column:
@@ -24,7 +25,7 @@ def _count(spans: str, kind: str) -> Column:
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan_secrets(_table(spark, sf_dir, "documents"))
+    found = secrets.scan_secrets(_table(spark, sf_dir, "documents", "doc_id", "text"))
     base = F.filter("spans", lambda s: s["kind"] != "novel")
     return found.select(
         "doc_id",
@@ -35,50 +36,51 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.find_pii(_table(spark, sf_dir, "documents"))
+    found = pii.find_pii(_table(spark, sf_dir, "documents", "doc_id", "text"))
     base = F.filter("spans", lambda s: s["kind"] != "term")
     return found.select(
         "doc_id",
         *[_count("spans", k).alias(f"n_{k}") for k in pii.KINDS],
         F.sha2(_listed(base), 256).alias("base_sha256"),
         _listed(F.col("spans")).alias("spans"),
+        F.size(base).cast("long").alias("n_entities"),
     )
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     return langid.predict(docs, langid.fit(docs)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+    return packing.pack_documents(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenbin.token_digests(tokenbin.token_files(_table(spark, sf_dir, "documents")))
+    return tokenbin.token_digests(tokenbin.token_files(_table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score(_table(spark, sf_dir, "documents"))
+    return lm.score(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    found = decontam.leaks(_table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "benchmark", "item_id", "text"))
     return found.select("doc_id", "item_id", "edits", "start", "end")
 
 
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = _table(spark, sf_dir, "embeddings")
+    vectors = _table(spark, sf_dir, "embeddings", "vec_id", "embedding")
     return ann.nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixdedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return suffixdedup.remove_repeats(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = neardup.near_duplicates(_table(spark, sf_dir, "documents"), words=2, percent=80)
+    found = neardup.near_duplicates(_table(spark, sf_dir, "documents", "doc_id", "text"), words=2, percent=80)
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 

@@ -8,8 +8,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from loftline.llm import ann, decontam, langid, lm, neardup, packing, pii, queries, secrets, suffixdedup, tokenbin, tokens
 
@@ -35,7 +39,7 @@ def texts():
         out.append(" ".join(w))
     out += [
         'api_key = "Zx9' + "aB3dE5fG7hJ9kL" + '" rest', "token: short", "AKIA" + "ABCDEF0123456789ZZ", "deadbeef" * 4 + " é " + "0123456789abcdef", "the secret here: see Qw8Zr5Ty2Lm9Xc4Vb7Np now",
-        "mail bob.x@example.co.uk, a@b@c.de and 10.0.0.256 or 10.0.0.1.9", "card 4111 1111 1111 1111 phone +1 (555) 010-9999 end", "+12 3",
+        "hello <|endoftext|> world", "mail bob.x@example.co.uk, a@b@c.de and 10.0.0.256 or 10.0.0.1.9", "card 4111 1111 1111 1111 phone +1 (555) 010-9999 end", "+12 3",
     ]
     return list(enumerate(out))
 
@@ -57,6 +61,20 @@ def nothing(spark, tmp_path_factory):
     return str(path)
 
 
+@pytest.mark.parametrize("value", ["'mine'", "1", "cast(null as bigint)"])
+def test_extra_columns_with_clashing_names(spark, texts, tmp_path, value):
+    some = [t for t in texts if t[0] % 4 == 0]
+    docs = spark.createDataFrame([(i, t, ("en", "fr")[i % 2]) for i, t in some], "doc_id long, text string, lang string")
+    items = spark.createDataFrame([(7, texts[8][1])], "item_id long, text string")
+    vectors = spark.createDataFrame([(i, [1.0 + i, 2.0, -i * 0.5]) for i in range(60)], "vec_id long, embedding array<double>")
+    out = []
+    for folder, extra in (("plain", []), ("more", ["row_id", "spans", "score", "key", "word", "n", "first", "shard", "block", "doc", "kind", "term", "_text", "cid", "c0", "label"])):
+        for name, table in (("documents", docs), ("benchmark", items), ("embeddings", vectors)):
+            table.select("*", *[F.expr(f"{value} AS {c}") for c in extra]).coalesce(1).write.parquet(f"{tmp_path}/{folder}/{name}.parquet")
+        out.append({n: Counter(map(str, q(spark, f"{tmp_path}/{folder}").collect())) for n, q in queries.QUERIES.items()})
+    assert out[0] == out[1]
+
+
 def by_id(df):
     return {r["doc_id"]: r for r in df.collect()}
 
@@ -129,6 +147,32 @@ def test_telling_terms_are_generalised(spark):
     assert got[100]["text"] == rows[30][1]
 
 
+def test_a_name_beside_its_address_is_found_anywhere(spark):
+    rng = random.Random(8)
+    filler = lambda n: " ".join(rng.choice(["some", "plain", "words", "go", "here", "and", "there", "now"]) for _ in range(n))
+    rows = [(i, f"{filler(30)} write to Quillfeather at q.f@mail.org {filler(5)}") for i in range(8)]
+    rows += [(10, f"{filler(60)} quillfeather left {filler(40)}"), (11, f"Quillfeather, q.f@mail.org; quillfeather@mail.org {filler(3)}"), (12, filler(8000)), (10, f"{filler(60)} again")]
+    rows += [(20 + i, f"{filler(30)} write to someone at u{i}@mail.org {filler(5)}") for i in range(3)] + [(None, "Quillfeather"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("hash", F.lit("mine"))
+    got = pii.find_pii(docs, with_text=True).collect()
+    assert len(got) == len(rows)
+    terms = {r["text"]: [r["text"][s["start"] : s["end"]].lower() for s in r["spans"] if s["kind"] == "term"] for r in got}
+    for _, t in rows:
+        alone = re.sub(r"[\w.]+@[\w.]+", "", t or "").lower()
+        assert [x for x in terms[t or ""] if x == "quillfeather"] == ["quillfeather"] * alone.count("quillfeather")
+        assert not {"some", "plain", "words"} & set(terms[t or ""])
+    out = [r["text"] for r in pii.sanitise(docs).collect()]
+    assert len(out) == len(rows) and not any("uillfeather" in x for x in out)
+    share = {r["term"]: r["share"] for r in pii.disclosure(docs, pii.find_entities(docs)).collect()}
+    assert 0.5 <= share["quillfeather"] < 0.9 and any("<EMAIL TERM>" in x for x in out)
+
+
+def test_texts_with_very_many_entities(spark):
+    text = "\n".join(f"10.{k % 256}.{k // 256 % 256}.1 é" for k in range(40_000))
+    [r] = pii.find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert [f"{s['kind']}:{s['start']}:{s['end']}" for s in r["spans"]] == personal(text)
+
+
 def test_language(spark):
     rng = random.Random(4)
     sounds = {"en": ["the", "ing", "wh", "and", "ed"], "de": ["sch", "ung", "ü", "der", "keit"], "fr": ["eau", "é", "que", "les", "ç"]}
@@ -147,7 +191,7 @@ def test_language(spark):
 
 def test_packing(spark, folder, texts):
     got = queries.op4_packing(spark, folder).collect()
-    plain = tokens.load(tokens.DEFAULT_TOKENIZER)[0]
+    plain = Tokenizer.from_file(public_tokenizers.path(tokens.DEFAULT_TOKENIZER))
     ids = {i: plain.encode(t or "", add_special_tokens=False).ids + [1] for i, t in [*texts, (None, "no id here at all")]}
     pieces, windows = defaultdict(list), defaultdict(list)
     for r in got:
@@ -168,7 +212,7 @@ def test_packing(spark, folder, texts):
 
 def test_token_files(spark, folder, texts, tmp_path):
     got = {r["doc_id"]: r for r in queries.op5_token_ids(spark, folder).collect()}
-    plain, before = tokens.load(tokens.DEFAULT_TOKENIZER)[0], 0
+    plain, before = Tokenizer.from_file(public_tokenizers.path(tokens.DEFAULT_TOKENIZER)), 0
     for i, t in [(None, "no id here at all"), *texts]:
         ids = plain.encode(t or "", add_special_tokens=False).ids + [2]
         assert (got[i]["start"], got[i]["n_tokens"], got[i]["ids_crc32"]) == (before, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
@@ -206,6 +250,8 @@ def test_leaks(spark, texts):
     for size in (decontam.INDEX_BYTES, 300):
         got = decontam.leaks(df, items, size).collect()
         assert Counter((r["doc_id"], r["item_id"]) for r in got) == Counter({(500, 1): 2, (501, 1): 1, (502, 1): 1})
+    tiny = spark.createDataFrame([(1, "T i-ny!"), (2, "tiny thing"), (3, "so tiny"), (4, "")], "doc_id long, text string")
+    assert [(r["doc_id"], r["item_id"], r["start"], r["end"]) for r in decontam.leaks(tiny, items).collect()] == [(1, 4, 0, 6)]
     kept = decontam.clean(df.withColumn("row_id", F.lit("mine")).withColumn("c0", F.lit(1)), items)
     assert kept.columns == ["doc_id", "text", "row_id", "c0"] and kept.count() == len(docs) - 4
 
@@ -232,6 +278,44 @@ def test_nearest(spark, tmp_path):
     assert [(r["query_id"], r["vec_id"]) for r in ann.nearest(few, few.where("vec_id = 0")).collect()] == [(0, 1)]
 
 
+def test_repeated_vectors_and_small_shards(spark):
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(300, 16)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), "mine") for i, v in enumerate(x)] * 2, "vec_id long, embedding array<float>, key string").repartition(3)
+    y = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    for shard, block in ((ann.SHARD_ROWS, ann.QUERY_BLOCK), (64, 5)):
+        got = ann.nearest(df, df.where("vec_id % 50 = 0"), shard_rows=shard, query_block=block).collect()
+        assert len(got) == 12 * 5
+        hits = 0
+        for q in range(0, 300, 50):
+            near = y @ y[q]
+            near[q] = -9
+            want = np.repeat(np.lexsort((np.arange(300), -near))[:3], 2)[:5].tolist()
+            own = [sorted(r["vec_id"] for r in got if (r["query_id"], r["rank"]) == (q, k)) for k in (1, 2, 3, 4, 5)]
+            # Both rows of a query get the same answer, in which every vector stands twice.
+            assert all(a == b for a, b in own) and own[0] == own[1] and own[2] == own[3] != own[0]
+            hits += sum(w in (a for a, _ in own) for w in want)
+        assert hits >= 0.9 * 30
+
+
+def test_recall_on_many_vectors(spark, tmp_path):
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(40, 64))
+    x = (centres[rng.integers(0, 40, 50_000)] + 1.5 * rng.normal(size=(50_000, 64))).astype(np.float32)
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.FixedSizeListArray.from_arrays(x.ravel(), 64).cast(pa.list_(pa.float32()))}), f"{tmp_path}/v.parquet")
+    df = spark.read.parquet(f"{tmp_path}/v.parquet").repartition(4)
+    got = defaultdict(set)
+    for r in ann.nearest(df, df.where("vec_id % 500 = 0")).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    y = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    hits = 0
+    for q in range(0, len(x), 500):
+        near = y @ y[q]
+        near[q] = -9
+        hits += len(got[q] & set(np.argpartition(-near, 5)[:5].tolist()))
+    assert len(got) == 100 and hits >= 0.9 * 500
+
+
 def test_code_index_finds_all_within_radius():
     rng = np.random.default_rng(9)
     codes = rng.integers(0, 256, (500, 4), dtype=np.uint8)
@@ -258,10 +342,12 @@ def without_repeats(docs, length):
 def test_repeats(spark, texts, tile, monkeypatch):
     monkeypatch.setattr(suffixdedup, "TILE", tile)
     docs = [*texts, (None, texts[3][1]), (3, texts[3][1]), (900, "ab" * 500), (901, (texts[5][1] or "") * 3)]
+    # Passages of 250 to 400 bytes, at the end of a row too, and repeats that only the next row would continue.
+    docs += [(910 + k, f"{'xyz'[k]} {texts[12][1][k * 7 : k * 7 + 330 + k]}") for k in range(3)] + [(920 + k, texts[13][1][-300:]) for k in range(2)] + [(930 + k, f"{k}{texts[14][1][:280]}é{k}") for k in range(3)]
     got = suffixdedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     raw = [(t or "").encode() for _, t in docs]
-    want = Counter((i, *r) for (i, _), r in zip(docs, without_repeats(raw, 400)))
-    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == want
+    want = Counter((i, *r, p[2]) for (i, _), r, p in zip(docs, without_repeats(raw, 400), without_repeats(raw, 250)))
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], r["n_passages"]) for r in got) == want
 
 
 def components(docs, size, percent):

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that a task works on at a time.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 
 _rng = np.random.default_rng(20260101)
 _BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -134,3 +134,11 @@ def ragged(values: np.ndarray, firsts: np.ndarray, counts: np.ndarray) -> np.nda
     index = np.repeat((firsts - at).astype(np.int32 if len(values) < 2**31 and total < 2**31 else np.int64), counts)
     index += np.arange(total, dtype=index.dtype)
     return values[index]
+
+
+def runs(mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and past-last places of the runs of true values."""
+    edge = np.zeros(len(mark) + 2, np.int8)
+    edge[1:-1] = mark
+    at = np.flatnonzero(np.diff(edge))
+    return at[::2], at[1::2]

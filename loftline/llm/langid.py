@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loftline.llm.kernels import text_blocks, utf8_view
-from loftline.llm.store import attach
+from loftline.llm.store import attach, lean
 
 DIMENSIONS = 4096
 SAMPLE_PER_LANGUAGE = 500
@@ -41,7 +41,7 @@ LENGTHS = np.array([2, 8, 32, 128, 512, 2048, 8192])
 #: Bytes of a sampled text that are cut to these lengths.
 HEAD = 1 << 15
 UNKNOWN = "und"
-_ROWS = 512
+_ROWS = 256
 
 _FOLD = np.full(256, 0x20, np.uint8)
 _FOLD[0x61:0x7B] = np.arange(0x61, 0x7B)
@@ -204,7 +204,7 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, centroids: int
             yield pa.RecordBatch.from_arrays([block["lang"].combine_chunks(), pa.array([r.astype("<f4").tobytes() for r in counts], pa.binary()), pa.array(heads, pa.binary())], ["lang", "counts", "head"])
 
     # In one order, so that the folds don't depend on partitioning.
-    got = sorted(sample.mapInArrow(vectors, "lang string, counts binary, head binary").collect(), key=lambda r: (r["lang"], bytes(r["head"])))
+    got = sorted(sample.mapInArrow(lean(vectors), "lang string, counts binary, head binary").collect(), key=lambda r: (r["lang"], bytes(r["head"])))
     langs = np.array([r["lang"] for r in got])
     x = np.stack([np.frombuffer(r["counts"], "<f4") for r in got]) if got else np.zeros((0, DIMENSIONS), np.float32)
     keep = x.sum(1) > 0
@@ -238,7 +238,7 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None
             yield pa.RecordBatch.from_arrays([*columns, pa.array(names[lang.astype(int)].tolist(), pa.string()), pa.array(score), pa.array(rejected)], [*keep, "lang_pred", "score", "rejected"])
 
     schema = ", ".join(f"`{n}` {t}" for n, t in rows.drop("_text").dtypes)
-    return rows.mapInArrow(classify, f"{schema}, lang_pred string, score double, rejected boolean")
+    return rows.mapInArrow(lean(classify), f"{schema}, lang_pred string, score double, rejected boolean")
 
 
 def accepted(docs: DataFrame, model: LanguageModel) -> DataFrame:

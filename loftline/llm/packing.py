@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loftline.llm.kernels import text_blocks, utf8_view
-from loftline.llm.store import attach, written
+from loftline.llm.store import attach, lean, written
 from loftline.llm.tokens import DEFAULT_TOKENIZER, encode_block
 
 END_ID = 1
@@ -62,7 +62,7 @@ def cut_documents(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, t
             yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(cut, PIECES + (", ids array<int>" if with_ids else ""))
+    return rows.mapInArrow(lean(cut), PIECES + (", ids array<int>" if with_ids else ""))
 
 
 class OpenWindows:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loftline.llm.kernels import text_blocks, utf8_view
-from loftline.llm.store import attach, new_path
+from loftline.llm.store import attach, lean, new_path
 from loftline.llm.tokens import DEFAULT_TOKENIZER, encode_block
 
 END_ID = 2
@@ -53,7 +53,7 @@ def write_token_ids(docs: DataFrame, path: str, end_id: int = END_ID, tokenizer:
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         .repartitionByRange("doc_id")
         .sortWithinPartitions("doc_id")
-        .mapInArrow(encode, FILE_SCHEMA)
+        .mapInArrow(lean(encode), FILE_SCHEMA)
         .write.option("orc.bloom.filter.columns", "doc_id")
         .option("orc.bloom.filter.fpp", "0.01")
         .option("orc.stripe.size", str(stripe_bytes))
@@ -85,7 +85,7 @@ def token_digests(files: DataFrame) -> DataFrame:
                 ["doc_id", "shard", "shard_start", "n_tokens", "ids_crc32"],
             )
 
-    per_doc = files.mapInArrow(digest, "doc_id long, shard int, shard_start long, n_tokens long, ids_crc32 long")
+    per_doc = files.mapInArrow(lean(digest), "doc_id long, shard int, shard_start long, n_tokens long, ids_crc32 long")
     totals = files.groupBy("shard").agg(F.max(F.col("shard_start") + F.size("ids")).alias("n"))
     upto = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("shard", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("base"))

@@ -3,11 +3,13 @@
 Three base patterns find assigned secrets, access keys and long hex runs.  The
 method adds ``novel`` spans: in and next to lines that speak of credentials, each string
 mixing letters and digits is compressed with zstandard, primed with a dictionary
-made of identifier words and the text around it.  What the candidate adds in
+of identifiers that the corpus uses in such places and with the text around it.
+What the candidate adds in
 bytes, over its length, is its novelty; strings that stay incompressible are
 reported.  Long strings whose symbols are equally frequent are held against what
 their own alphabet needs, as hex digits can't take a byte each.  The body of a
-private key is judged as one string and reported by line.  A string that the surroundings repeat costs a few bytes only.
+private key is judged as one string and reported by line.  A string that its text
+repeats costs a few bytes only.
 
 Defined results: a null text is an empty text and has no spans.  Rows that
 repeat an id are scanned each on its own.  Spans count code points, ends are
@@ -18,8 +20,10 @@ exclusive; ``novel`` spans never overlap base spans.  Extra columns are kept by
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +31,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loftline.llm.kernels import text_blocks, utf8_view
-from loftline.llm.store import attach
+from loftline.llm.kernels import runs, text_blocks, utf8_view
+from loftline.llm.store import attach, lean
 
 #: In the order in which spans with the same start are listed.
 KINDS = ("assign", "access", "hex", "novel")
@@ -43,14 +47,18 @@ LINES_BEFORE, LINES_AFTER = 1, 2
 PEM = re.compile(r"BEGIN\x20(?:[A-Z0-9]++\x20)*?PRIVATE\x20KEY-+\s*+(?:[A-Za-z0-9-]++:[^\n]*+\n\s*+)*+((?:[A-Za-z0-9+/=]++\s++)*+[A-Za-z0-9+/=]*+)(?=-+END|\Z)")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 MIXED = re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])")
-#: Words of code and configuration: the identifier dictionary, one part of what primes the compressor.
+#: Words of code and configuration: what the identifier dictionary holds before anything is learned.
 IDENTIFIERS = " ".join(
     "password passwd secret token api_key apikey access_key private_key public_key client_id client_secret authorization bearer credential username user_id "
     "session_id database hostname localhost endpoint connection configuration environment application development production response request content-type "
     "application/json default function return import export const string integer boolean undefined https://www. http:// .com .org sha256 base64 utf-8 "
     "BEGIN PRIVATE KEY END CERTIFICATE 0123456789 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ".split()
 )
-AROUND = 512
+#: An identifier of the corpus has no digits, so that no secret becomes one; the dictionary takes the most frequent ones.
+IDENTIFIER = re.compile(r"(?<![A-Za-z0-9])[A-Za-z_][A-Za-z_.-]{2,40}(?![A-Za-z0-9])")
+DICTIONARY_WORDS = 2000
+#: Code points on either side of a candidate that prime the compressor: zstandard's window, in effect.
+AROUND = 1 << 14
 MIN_NOVELTY = 0.72
 #: Strings from this length on may show that their symbols are equally frequent: entropy over that of their alphabet.
 LONG, EVEN_SHARE = 40, 0.96
@@ -59,10 +67,10 @@ _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int6
 SPAN_DDL = "array<struct<kind:string,start:bigint,end:bigint,novelty:double>>"
 
 
-def novelty(candidate: str, before: str, after: str) -> float:
+def novelty(candidate: str, before: str, after: str, identifiers: str = IDENTIFIERS) -> float:
     """Bytes that ``candidate`` adds to its surroundings when compressed, over its own bytes."""
     raw = candidate.encode()
-    primer = zstandard.ZstdCompressionDict(f"{IDENTIFIERS}\n{after}\n{before}".encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    primer = zstandard.ZstdCompressionDict(f"{identifiers}\n{after}\n{before}".encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     press = zstandard.ZstdCompressor(level=19, dict_data=primer, write_checksum=False, write_content_size=False, write_dict_id=False)
     return (len(press.compress(raw)) - len(press.compress(b""))) / max(1, len(raw))
 
@@ -102,28 +110,45 @@ def _windows(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def novel_spans(text: str, base: list[tuple[int, int, int]], least: float = MIN_NOVELTY) -> list[tuple[int, int, int, float]]:
+def _surroundings(text: str, s: int, e: int) -> tuple[str, str]:
+    """What stands before and after; first of all another place of the same string, however far it is."""
+    before, after = text[max(0, s - AROUND) : s], text[e : e + AROUND]
+    other = text.find(text[s:e])
+    if other == s:
+        other = text.find(text[s:e], e)
+    if other >= 0 and not s - AROUND <= other < e + AROUND:
+        before = f"{text[other : other + e - s]}\n{before}"
+    return before, after
+
+
+def novel_spans(text: str, base: list[tuple[int, int, int]], least: float = MIN_NOVELTY, identifiers: str = IDENTIFIERS) -> list[tuple[int, int, int, float]]:
     """Incompressible candidates in sensitive context, clear of the base spans."""
     found = []
     taken = sorted((s, e) for s, _, e in base)
-    clear = lambda s, e: not any(a < e and s < b for a, b in taken)
-    around = lambda s, e: (text[max(0, s - AROUND) : s], text[e : e + AROUND])
+    starts, reach = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
+
+    def clear(s: int, e: int) -> bool:
+        """Whether no span that begins before ``e`` reaches beyond ``s``."""
+        k = bisect_left(starts, e)
+        return not k or reach[k - 1] <= s
+
     for key in PEM.finditer(text):
         whole = "".join(key[1].split())
         if len(whole) < 16:
             continue
-        score = novelty(whole, *around(*key.span(1)))
+        score = novelty(whole, *_surroundings(text, *key.span(1)), identifiers)
         if score >= least_novelty(whole, least):
             own = [m.span() for m in re.finditer(r"\S+", key[1])]
             own = [(key.start(1) + s, key.start(1) + e) for s, e in own]
             found += [(s, 3, e, score) for s, e in own if clear(s, e)]
-            taken += own
+            taken = sorted([*taken, *own])
+            starts, reach = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
     for first, last in _windows(text):
         for m in CANDIDATE.finditer(text, first, last):
             s, e = m.span()
             if not MIXED.match(m[0]) or not clear(s, e):
                 continue
-            score = novelty(m[0], *around(s, e))
+            score = novelty(m[0], *_surroundings(text, s, e), identifiers)
             if score >= least_novelty(m[0], least):
                 found.append((s, 3, e, score))
     return found
@@ -142,25 +167,48 @@ def _rows_to_scan(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
             # One find in a row is enough.
             at = where.find(word, int(offs[row]) if row < len(offs) else len(where))
     digit = (buf >= 0x30) & (buf <= 0x39) | (buf >= 0x61) & (buf <= 0x66)
-    # Runs end where their row does.
-    begins, stops = digit.copy(), digit.copy()
-    begins[1:] &= ~digit[:-1]
-    first = offs[:-1][offs[:-1] < offs[1:]]
-    begins[first] = digit[first]
-    stops[:-1] &= ~digit[1:] | begins[1:]
-    starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+    # A mark between two rows keeps their runs apart.
+    shift = np.arange(len(offs) - 1)
+    apart = np.zeros(len(buf) + len(shift), bool)
+    keep = np.ones(len(apart), bool)
+    keep[offs[1:] + shift] = False
+    apart[keep] = digit
+    starts, ends = runs(apart)
     long = starts[ends - starts >= 16]
-    return np.unique(np.concatenate([np.array(hits, np.int64), np.searchsorted(offs, long, "right") - 1]))
+    return np.unique(np.concatenate([np.array(hits, np.int64), np.searchsorted(offs[1:] + shift, long, "right")]))
 
 
-def _scan(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+def identifiers_of(docs: DataFrame, words: int = DICTIONARY_WORDS) -> str:
+    """The identifiers that stand most often in sensitive contexts of all texts, the commonest last, behind ``IDENTIFIERS``."""
+    attach(docs.sparkSession)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+        for block in text_blocks(batches, "text"):
+            buf, offs = utf8_view(block["text"])
+            for row in _rows_to_scan(buf, offs).tolist():
+                text = buf[offs[row] : offs[row + 1]].tobytes().decode()
+                for first, last in _windows(text):
+                    held.update(m[0] for m in IDENTIFIER.finditer(text, first, last))
+            if len(held) > 100_000:
+                yield pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+                held.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+
+    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(lean(count), "word string, n long")
+    top = found.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(words).collect()
+    # The compressor reaches what comes last most cheaply.
+    return " ".join([IDENTIFIERS, *(r["word"] for r in reversed(top))])
+
+
+def _scan(batches: Iterator[pa.RecordBatch], least: float, identifiers: str) -> Iterator[pa.RecordBatch]:
     for block in text_blocks(batches, "text"):
         buf, offs = utf8_view(block["text"])
         spans: list[list[dict]] = [[] for _ in range(block.num_rows)]
         for row in _rows_to_scan(buf, offs).tolist():
             text = buf[offs[row] : offs[row + 1]].tobytes().decode()
             base = base_spans(text)
-            every = sorted([(*s, 1.0) for s in base] + novel_spans(text, base, least))
+            every = sorted([(*s, 1.0) for s in base] + novel_spans(text, base, least, identifiers))
             spans[row] = [{"kind": KINDS[k], "start": s, "end": e, "novelty": v} for s, k, e, v in every]
         columns = [block[c].combine_chunks() for c in block.column_names]
         yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, pa.list_(_SPAN))], [*block.column_names, "spans"])
@@ -168,9 +216,9 @@ def _scan(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Record
 
 def scan_secrets(docs: DataFrame, least: float = MIN_NOVELTY, with_text: bool = False) -> DataFrame:
     """``doc_id`` and ``spans`` of each document, by start and then kind."""
-    attach(docs.sparkSession)
+    identifiers = identifiers_of(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = rows.mapInArrow(lambda batches: _scan(batches, least), f"doc_id long, text string, spans {SPAN_DDL}")
+    out = rows.mapInArrow(lean(lambda batches: _scan(batches, least, identifiers)), f"doc_id long, text string, spans {SPAN_DDL}")
     return out if with_text else out.drop("text")
 
 
@@ -179,7 +227,7 @@ def redact_secrets(docs: DataFrame, least: float = MIN_NOVELTY, mask: str = "[SE
 
     Documents without secrets are unchanged, and none is dropped.
     """
-    attach(docs.sparkSession)
+    identifiers = identifiers_of(docs)
     schema = docs.schema
 
     def redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +238,7 @@ def redact_secrets(docs: DataFrame, least: float = MIN_NOVELTY, mask: str = "[SE
                 text = buf[offs[row] : offs[row + 1]].tobytes().decode()
                 base = base_spans(text)
                 at, parts = 0, []
-                for s, e in sorted((x[0], x[2]) for x in [*base, *novel_spans(text, base, least)]):
+                for s, e in sorted((x[0], x[2]) for x in [*base, *novel_spans(text, base, least, identifiers)]):
                     if e > at:
                         if s >= at:
                             parts += [text[at:s], mask]
@@ -210,4 +258,4 @@ def redact_secrets(docs: DataFrame, least: float = MIN_NOVELTY, mask: str = "[SE
                 columns.append(column)
             yield pa.RecordBatch.from_arrays(columns, block.column_names)
 
-    return docs.mapInArrow(redact, schema)
+    return docs.mapInArrow(lean(redact), schema)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loftline.llm.kernels import text_blocks, utf8_view
-from loftline.llm.store import attach, lean
+from loftline.llm.store import attach, give_back, lean
 
 DIMENSIONS = 4096
 SAMPLE_PER_LANGUAGE = 500
@@ -203,12 +203,15 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, centroids: int
             heads = [buf[a : min(b, a + HEAD)].tobytes() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())]
             yield pa.RecordBatch.from_arrays([block["lang"].combine_chunks(), pa.array([r.astype("<f4").tobytes() for r in counts], pa.binary()), pa.array(heads, pa.binary())], ["lang", "counts", "head"])
 
+    got = sample.mapInArrow(lean(vectors), "lang string, counts binary, head binary").toArrow()
+    langs, heads = got["lang"].to_pylist(), got["head"].to_pylist()
+    x = np.frombuffer(b"".join(got["counts"].to_pylist()), "<f4").reshape(-1, DIMENSIONS)
     # In one order, so that the folds don't depend on partitioning.
-    got = sorted(sample.mapInArrow(lean(vectors), "lang string, counts binary, head binary").collect(), key=lambda r: (r["lang"], bytes(r["head"])))
-    langs = np.array([r["lang"] for r in got])
-    x = np.stack([np.frombuffer(r["counts"], "<f4") for r in got]) if got else np.zeros((0, DIMENSIONS), np.float32)
-    keep = x.sum(1) > 0
-    langs, x, heads = langs[keep], x[keep], [bytes(r["head"]) for r, k in zip(got, keep.tolist()) if k]
+    order = [k for k in sorted(range(len(heads)), key=lambda k: (langs[k], heads[k])) if x[k].any()]
+    if not order:
+        return LanguageModel([], np.zeros(0), np.zeros((0, DIMENSIONS)), np.zeros(0, int), np.zeros((0, len(LENGTHS))))
+    langs, heads, x = np.array(langs)[order], [heads[k] for k in order], x[order]
+    del got
     idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 1).astype(np.float32)
     x = unit_vectors(x, idf)
     names = sorted(set(langs.tolist()))
@@ -218,7 +221,11 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, centroids: int
         c = _clusters(own, centroids)
         centres.append(c)
         owner += [k] * len(c)
-    return LanguageModel(names, idf, np.concatenate(centres).astype(np.float32), np.array(owner), _floors(x, langs, heads, names, idf, centroids))
+    model = LanguageModel(names, idf, np.concatenate(centres).astype(np.float32), np.array(owner), _floors(x, langs, heads, names, idf, centroids))
+    # The sample is of no more use to the driver.
+    del x, heads, own, centres
+    give_back()
+    return model
 
 
 def predict(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None) -> DataFrame:

@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -243,12 +244,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for text, ranges in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist()):
-                size, lo, hi = np.array([(r["length"], r["lo"], r["hi"]) for r in ranges], np.int64).T
-                gone = covered(len(text), length, lo[size == length], hi[size == length])
-                left = np.frombuffer(text, np.uint8)[~gone].tobytes()
-                short = covered(len(text), size.min(), lo[size < length], hi[size < length]) if size.min() < length else gone
-                out.append((int(gone.sum()), len(runs(gone)[0]), hashlib.sha256(left).hexdigest(), len(runs(short)[0]), left))
+            every = batch.column("ranges").flatten()
+            sizes, los, his = (every.field(k).to_numpy() for k in range(3))
+            stops = np.cumsum(pc.list_value_length(batch.column("ranges")).to_numpy())
+            for text, a, b in zip(batch.column("text"), [0, *stops.tolist()], stops.tolist()):
+                raw, size, lo, hi = np.frombuffer(text.as_buffer(), np.uint8), sizes[a:b], los[a:b], his[a:b]
+                gone = covered(len(raw), length, lo[size == length], hi[size == length])
+                left = raw[~gone].tobytes()
+                short = covered(len(raw), int(size.min()), lo[size < length], hi[size < length]) if size.min() < length else gone
+                out.append((int(gone.sum()), len(runs(gone)[0]), hashlib.sha256(left).hexdigest(), len(runs(short)[0]), left if with_text else None))
             cols = list(zip(*out)) or [()] * 5
             columns = [batch.column("doc"), *[pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.int64()))]]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(cols[4], pa.binary())] * with_text, [f.split()[0] for f in fields.split(", ")])

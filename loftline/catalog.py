@@ -313,10 +313,10 @@ def fully_processed(spark: SparkSession, d: str) -> DataFrame:
     return joins.unprocessed(key("orders", "o_orderkey"), key("customer", "c_custkey"), key("lineitem", "l_orderkey"))
 
 
-@register("SELECT zpid, 'missing' AS side FROM (SELECT p_partkey AS zpid FROM part WHERE p_partkey % 30 < 20) a WHERE zpid NOT IN (SELECT s_suppkey * 2 FROM supplier) UNION ALL SELECT s_suppkey * 2, 'extra' FROM supplier WHERE s_suppkey * 2 NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 30 < 20)")
+@register("SELECT zpid, 'missing' AS side FROM (SELECT p_partkey AS zpid FROM part) a WHERE zpid NOT IN (SELECT s_suppkey * 30 FROM supplier) UNION ALL SELECT s_suppkey * 30, 'extra' FROM supplier WHERE s_suppkey * 30 NOT IN (SELECT p_partkey FROM part)")
 def id_reconciliation(spark: SparkSession, d: str) -> DataFrame:
-    batch = table(spark, d, "part").where("p_partkey % 30 < 20").select(F.col("p_partkey").alias("zpid"))
-    missing, extra = joins.reconciled(batch, table(spark, d, "supplier").select((F.col("s_suppkey") * 2).alias("zpid")))
+    batch = table(spark, d, "part").select(F.col("p_partkey").alias("zpid"))
+    missing, extra = joins.reconciled(batch, table(spark, d, "supplier").select((F.col("s_suppkey") * 30).alias("zpid")))
     return missing.withColumn("side", F.lit("missing")).unionByName(extra.withColumn("side", F.lit("extra")))
 
 
@@ -373,6 +373,13 @@ def asof_interp(spark: SparkSession, d: str) -> DataFrame:
 
 # --- rankings --------------------------------------------------------------------------------
 
+_RANKED_ALL = "ranked AS (SELECT p_partkey AS zpid, cast(p_size * 40 + p_partkey % 37 as int) AS rank FROM part)"
+
+
+def _ranked_all(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select(F.col("p_partkey").alias("zpid"), (F.col("p_size") * 40 + F.col("p_partkey") % 37).cast("int").alias("rank"))
+
+
 _RANKED = "ranked AS (SELECT p_partkey AS zpid, cast(p_size * 40 + p_partkey % 37 as int) AS rank FROM part WHERE p_partkey % 4 <> 0), fresh AS (SELECT p_partkey AS zpid, cast(p_size * 37 as int) AS rank FROM part WHERE p_partkey % 4 = 0)"
 
 
@@ -387,15 +394,15 @@ def merge_ranks(spark: SparkSession, d: str) -> DataFrame:
     return ranks.merged_ranks(*_ranked(spark, d))
 
 
-@register(f"WITH {_RANKED} SELECT zpid, cast(row_number() OVER (ORDER BY rank, zpid) as int) AS rank FROM ranked WHERE zpid IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 48)")
+@register(f"WITH {_RANKED_ALL} SELECT zpid, cast(row_number() OVER (ORDER BY rank, zpid) as int) AS rank FROM ranked WHERE zpid IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 48)")
 def prune_compact(spark: SparkSession, d: str) -> DataFrame:
     valid = table(spark, d, "lineitem").where("l_quantity > 48").select(F.col("l_partkey").alias("zpid"))
-    return ranks.compacted(_ranked(spark, d)[0], valid)
+    return ranks.compacted(_ranked_all(spark, d), valid)
 
 
-@register(f"WITH {_RANKED}, o AS (SELECT zpid, rank, row_number() OVER (ORDER BY rank, zpid) - 1 AS i, count(*) OVER () AS n FROM ranked) SELECT zpid, rank FROM o WHERE n <= 30 OR i IN (SELECT cast(floor(k * n / 30e0) as bigint) FROM (SELECT unnest(range(30)) AS k) CROSS JOIN (SELECT count(*) AS n FROM ranked))")
+@register(f"WITH {_RANKED_ALL}, o AS (SELECT zpid, rank, row_number() OVER (ORDER BY rank, zpid) - 1 AS i, count(*) OVER () AS n FROM ranked) SELECT zpid, rank FROM o WHERE n <= 30 OR i IN (SELECT cast(floor(k * n / 30e0) as bigint) FROM (SELECT unnest(range(30)) AS k) CROSS JOIN (SELECT count(*) AS n FROM ranked))")
 def spaced_sample(spark: SparkSession, d: str) -> DataFrame:
-    return ranks.spaced_sample(_ranked(spark, d)[0], 30)
+    return ranks.spaced_sample(_ranked_all(spark, d), 30)
 
 
 _ITEMS = "items AS (SELECT p_partkey AS zpid, p_retailprice AS score FROM part)"
@@ -439,9 +446,9 @@ def incremental_rank(spark: SparkSession, d: str) -> DataFrame:
     return tournament.refreshed(items, ranked, tournament.score_judge("score"))
 
 
-@register(f"WITH {_RANKED} SELECT min(rank) AS first_rank, max(rank) AS last_rank, count(*) AS n_ranked FROM ranked")
+@register(f"WITH {_RANKED_ALL} SELECT min(rank) AS first_rank, max(rank) AS last_rank, count(*) AS n_ranked FROM ranked")
 def rank_report(spark: SparkSession, d: str) -> DataFrame:
-    return tournament.rank_report(_ranked(spark, d)[0])
+    return tournament.rank_report(_ranked_all(spark, d))
 
 
 @register("SELECT count(*) AS n FROM events")

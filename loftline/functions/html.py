@@ -13,6 +13,8 @@ DROPPED_TAGS = ("script", "style", "nav", "header", "footer")
 #: What image addresses of a listing contain.
 IMAGE_SIZES = ("_1536", "_1024", "cc_ft_", "uncropped_scaled_within", "p_f")
 SQFT_PER_ACRE = 43560.0
+#: Phrases of pages that hold a challenge and no listing.
+CHALLENGES = ("access to this page has been denied", "verify you're a human", "press & hold", "unusual traffic", "captcha", "perimeterx")
 
 
 def _found(text: Column, pattern: str, group: int = 1) -> Column:
@@ -92,6 +94,12 @@ def text_lines(html: Column) -> Column:
     return F.array_join(lines, "\n")
 
 
+def is_challenge(html: Column) -> Column:
+    """Whether the title or the visible text has a phrase of a challenge page, which has no listing to parse."""
+    shown = F.lower(F.concat_ws("\n", title(html), text_lines(html)))
+    return F.coalesce(shown.rlike("|".join(map(re.escape, CHALLENGES)).replace(r"\ ", " ")), F.lit(False))
+
+
 def image_urls(urls: Column, host: str) -> Column:
     """Distinct addresses of listing images, without their query strings."""
     sizes = "|".join(map(re.escape, IMAGE_SIZES))

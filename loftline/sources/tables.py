@@ -85,6 +85,11 @@ def load_checkpoint(spark: SparkSession, path: str) -> tuple[int, int] | None:
     return (row["page"], row["index"]) if row else None
 
 
+def clear_checkpoint(spark: SparkSession, path: str) -> None:
+    """Forget where a crawl stands: the next one begins anew."""
+    spark.createDataFrame([], "page int, index int, saved_at timestamp").coalesce(1).write.mode("overwrite").json(path)
+
+
 def resumed(links: DataFrame, page: int, index: int) -> DataFrame:
     """What is left of ordered links (page, pos): later pages, and from ``index`` on this page."""
     return links.where((F.col("page") > page) | (F.col("page") == page) & (F.col("pos") >= index))

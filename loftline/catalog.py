@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from loftline.functions import bins, html, scoring, text
 from loftline.operators import filters, joins, merge, pairs, ranks
 from loftline.plans import enrichment, learning, listings, tournament
+from loftline.sources.lineage import stored
 from loftline.sources.tables import table
 from loftline.spec import DEFAULT_WEIGHTS, QuerySpec, ScoringParams, normalised_weights
 
@@ -139,7 +140,11 @@ def _r(*names: str) -> str:
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.scored(_base(spark, d))
+    return scoring.scored(_base(spark, d), prices=_prices(spark, d))
+
+
+def _prices(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").select(F.col("o_totalprice").alias("price"))
 
 
 TOTAL_SQL = f"{SCORED_SQL},\ntotals AS (SELECT *, {_total_sql(normalised_weights(DEFAULT_WEIGHTS))} AS total_score FROM scored)"
@@ -188,7 +193,7 @@ _SIGNED = {"price": 20, "beds": -3, "baths": 0, "home_size_sqft": 7, "drive_time
 
 @register(f"WITH {SCORED_SQL} SELECT zpid, round({_total_sql(normalised_weights(_SIGNED))}, 6) AS total_score FROM scored")
 def penalty_weights(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(scoring.scored(_base(spark, d), _SIGNED), ["zpid"], ["total_score"])
+    return _rounded(scoring.scored(_base(spark, d), _SIGNED, prices=_prices(spark, d)), ["zpid"], ["total_score"])
 
 
 @register(f"WITH {SCORED_SQL} SELECT ns.zpid, round(ns.price_score, 6) AS price_score, bf.rating FROM scored ns JOIN base bf ON ns.zpid = bf.zpid")
@@ -259,13 +264,13 @@ def distinct_statuses(spark: SparkSession, d: str) -> DataFrame:
 @register(f"WITH {TOTAL_SQL} SELECT zpid, row_number() OVER (ORDER BY floor(total_score * 1000e0) DESC NULLS LAST, zpid) AS pos FROM totals")
 def rank_score(spark: SparkSession, d: str) -> DataFrame:
     df = _scored(spark, d).select("zpid", (-F.floor(F.col("total_score") * 1000.0)).alias("_s"))
-    return ranks.ordinal(df, "_s", ["zpid"], "pos").select("zpid", F.col("pos").cast("long").alias("pos"))
+    return ranks.ordinal(stored(df), "_s", ["zpid"], "pos").select("zpid", F.col("pos").cast("long").alias("pos"))
 
 
 @register(f"WITH {TOTAL_SQL} SELECT zpid, row_number() OVER (ORDER BY ai_rank ASC NULLS LAST, floor(total_score * 1000e0) DESC NULLS LAST, zpid) AS pos FROM totals")
 def rank_ai(spark: SparkSession, d: str) -> DataFrame:
-    df = _scored(spark, d).select("zpid", "ai_rank", F.floor(F.col("total_score") * 1000.0).alias("_s"))
-    return ranks.ordinal(df, "ai_rank", [F.desc_nulls_last("_s"), "zpid"], "pos").select("zpid", F.col("pos").cast("long").alias("pos"))
+    df = _scored(spark, d).select("zpid", "ai_rank", (-F.floor(F.col("total_score") * 1000.0)).alias("_s"))
+    return ranks.ordinal(stored(df), "ai_rank", ["zpid"], "pos", second="_s").select("zpid", F.col("pos").cast("long").alias("pos"))
 
 
 _QUICK = " + ".join(
@@ -348,7 +353,8 @@ def hinge_loss(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "supplier").select(
         F.col("s_suppkey").alias("pos"), (F.col("s_acctbal") / 100.0).alias("price_score"), (F.col("s_nationkey") * 4.0).alias("beds_score"), (F.col("s_suppkey") % 50).cast("double").alias("drive_time_score")
     ).select("pos", pairs.learner_score(_LEARN).alias("score"))
-    return pairs.hinge_loss(pairs.preference_pairs(_rated(spark, d), "pos", "value"), s, "pos", learning.LearnParams.of(0.4).margin).withColumn("loss", F.round("loss", 4))
+    rated = _rated(spark, d).select("pos", "value").join(s, "pos")
+    return pairs.summed_hinge(rated, "value", learning.LearnParams.of(0.4).margin).withColumn("loss", F.round("loss", 4))
 
 
 _ASOF = "new AS (SELECT p_partkey AS zpid, p_partkey AS mini FROM part WHERE p_partkey % 7 <> 3), refs AS (SELECT p_partkey AS mini, cast(p_partkey * 3 + p_size as int) AS global_rank FROM part WHERE p_partkey % 7 = 3)"

@@ -9,6 +9,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loftline.functions.quantiles import exact_quantiles
 from loftline.spec import DEFAULT_WEIGHTS, ScoringParams, normalised_weights
 
 RISKS = [f"{r}_risk_severity" for r in ("flood", "fire", "wind", "heat", "air")]
@@ -113,18 +114,19 @@ def total_score(weights: Mapping[str, float]) -> Column:
     return (reduce(add, gain) if gain else F.lit(0.0)) - (reduce(add, loss) if loss else F.lit(0.0))
 
 
-def price_stats(listings: DataFrame, p: ScoringParams) -> DataFrame:
-    """One row: exact quantiles of the prices that there are."""
-    return listings.where(F.col("price").isNotNull()).agg(
-        F.percentile(F.col("price").cast("double"), p.price_floor_quantile).alias("price_floor"),
-        F.percentile(F.col("price").cast("double"), p.price_ceiling_quantile).alias("price_ceiling"),
-    )
+def price_stats(prices: DataFrame, p: ScoringParams) -> tuple[float | None, float | None]:
+    """Exact quantiles of the prices that there are: floor and ceiling."""
+    floor, ceiling = exact_quantiles(prices, F.col("price"), [p.price_floor_quantile, p.price_ceiling_quantile])
+    return floor, ceiling
 
 
-def scored(listings: DataFrame, weights: Mapping[str, float] | None = None, p: ScoringParams = ScoringParams()) -> DataFrame:
+def scored(listings: DataFrame, weights: Mapping[str, float] | None = None, p: ScoringParams = ScoringParams(), prices: DataFrame | None = None) -> DataFrame:
     """``listings`` with all sub-scores and ``total_score``.
 
-    The quantiles are one row, whatever the size, and meet every row by broadcast.
+    ``prices`` holds the prices of the same listings, where they can be read without
+    the joins that made ``listings``.
     """
-    with_stats = listings.crossJoin(F.broadcast(price_stats(listings, p)))
+    floor, ceiling = price_stats(listings if prices is None else prices, p)
+    number = lambda x: F.lit(x).cast("double")
+    with_stats = listings.withColumns({"price_floor": number(floor), "price_ceiling": number(ceiling)})
     return with_stats.withColumns(sub_scores(p)).withColumn("total_score", total_score(normalised_weights(weights or DEFAULT_WEIGHTS))).drop("price_floor", "price_ceiling")

@@ -112,11 +112,15 @@ def id_of_url(url: Column) -> Column:
 
 def kept_lines(text: Column, most: int = 200) -> Column:
     """Lines of over 15 characters and two words, without short boilerplate; all such lines if that leaves none."""
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda s: F.trim(s)), lambda s: s != "")
-    long = F.filter(lines, lambda s: (F.length(s) > 15) & (F.size(F.split(s, r"\s+")) > 2))
+    # Lines of over 15 characters after trimming, three words at least, found in one pass over the text.
+    long = F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"[^\n]{16,}"), F.lit(0)), lambda s: F.trim(s)), lambda s: (F.length(s) > 15) & s.rlike(r"\s\S+\s"))
     blocked = "|".join(map(re.escape, BLOCKED)).replace(r"\ ", " ")
-    good = F.filter(long, lambda s: ~(F.lower(s).rlike(blocked) & (F.length(s) < 120)))
-    return F.array_join(F.slice(F.when(F.size(good) > 0, good).otherwise(long), 1, most), "\n")
+
+    def kept(own: Column) -> Column:
+        good = F.filter(own, lambda s: (F.length(s) >= 120) | ~s.rlike(f"(?i)(?:{blocked})"))
+        return F.element_at(F.transform(F.array(good), lambda g: F.when(F.size(g) > 0, g).otherwise(own)), 1)
+
+    return F.array_join(F.slice(F.element_at(F.transform(F.array(long), kept), 1), 1, most), "\n")
 
 
 def preview(text: Column, most: int = 220) -> Column:

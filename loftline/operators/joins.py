@@ -78,9 +78,10 @@ def reconciled(batch: DataFrame, returned: DataFrame, key: str = "zpid") -> tupl
     return batch.select(key).join(returned, key, "left_anti"), returned.select(key).join(batch, key, "left_anti")
 
 
-def cut_points(df: DataFrame, key: str, parts: int = 64) -> list[float]:
-    """At most ``parts`` - 1 ascending values that cut ``key`` into about even ranges."""
-    row = df.agg(F.percentile_approx(F.col(key).cast("double"), [i / parts for i in range(1, parts)], 2000).alias("q")).first()
+def cut_points(df: DataFrame, key: str, parts: int | None = None) -> list[float]:
+    """At most ``parts`` - 1 ascending values that cut ``key`` into about even ranges; as many as shuffles have, 64 at least."""
+    parts = parts or min(2000, max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    row = df.agg(F.percentile_approx(F.col(key).cast("double"), [i / parts for i in range(1, parts)], 32 * parts).alias("q")).first()
     return sorted(set(row["q"] or []))
 
 
@@ -88,8 +89,16 @@ def range_of(key: Column, cuts: Sequence[float]) -> Column:
     """Number of the range a key is in; nulls are in the last."""
     if not cuts:
         return F.lit(0)
-    above = F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < key.cast("double"))
-    return F.when(key.isNull(), F.lit(len(cuts))).otherwise(F.size(above))
+    value = key.cast("double")
+
+    def within(lo: int, hi: int) -> Column:
+        """How many of the cuts are below the value, as a search by halves."""
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(value > F.lit(float(cuts[mid])), within(mid + 1, hi)).otherwise(within(lo, mid))
+
+    return F.when(key.isNull(), F.lit(len(cuts))).otherwise(within(0, len(cuts)))
 
 
 def asof(points: DataFrame, refs: DataFrame, key: str, value: str, cuts: Sequence[float] | None = None) -> DataFrame:

@@ -6,9 +6,11 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loftline.operators.joins import cut_points, range_of
+
 RATING_VALUES = {"yes": 2, "maybe": 1, "no": 0}
 #: Features that the learner turns round, as their scores are already inverted.
 TURNED = ("avg_risk_severity", "avg_crime_severity", "avg_school_distance", "drive_time")
@@ -40,3 +42,34 @@ def hinge_loss(pairs: DataFrame, scores: DataFrame, pos: str, margin: float) ->
     b = scores.select(F.col(pos).alias("j"), F.col("score").alias("sj"))
     each = F.greatest(F.lit(0.0), -F.col("diff") * (F.col("si") - F.col("sj")) + F.lit(margin))
     return pairs.join(a, "i").join(b, "j").agg(F.coalesce(F.sum(each), F.lit(0.0)).alias("loss"), F.count("*").alias("n_pairs"))
+
+
+def summed_hinge(scores: DataFrame, value: str, margin: float, levels: Sequence[int] = (0, 1, 2)) -> DataFrame:
+    """One row: ``loss``, the hinge loss over all pairs of different levels, and ``n_pairs``; no pair is listed.
+
+    ``scores`` has ``value`` and ``score``, and is read several times.  A row of a higher
+    level loses to those of a lower level, d levels down, whose score is above its own
+    less margin / d: of those only their number and sum count, and running sums tell
+    both.  They run in ranges of the score, each continued from a row per range.
+    """
+    marks = []
+    for high in levels:
+        for low in levels:
+            if high > low:
+                step, pair = float(high - low), F.lit(high * (max(levels) + 1) + low).alias("pair")
+                up = scores.where(F.col(value) == high).select(pair, F.lit(step).alias("step"), (F.col("score") - margin / step).alias("at"), F.lit(0).alias("is_low"))
+                down = scores.where(F.col(value) == low).select(pair, F.lit(step).alias("step"), F.col("score").alias("at"), F.lit(1).alias("is_low"))
+                marks += [up, down]
+    every = reduce(DataFrame.unionByName, marks)
+    every = every.withColumn("part", range_of(F.col("at"), cut_points(scores, "score")))
+    low_at = F.when(F.col("is_low") == 1, F.col("at")).otherwise(0.0)
+    totals = every.groupBy("pair", "part").agg(F.sum("is_low").alias("n"), F.sum(low_at).alias("s"))
+    beyond = Window.partitionBy("pair").orderBy("part").rowsBetween(1, Window.unboundedFollowing)
+    carried = totals.select("pair", "part", F.coalesce(F.sum("n").over(beyond), F.lit(0)).alias("more_n"), F.coalesce(F.sum("s").over(beyond), F.lit(0.0)).alias("more_s"))
+    # Equal marks lose nothing to each other, so their order doesn't matter.
+    above = Window.partitionBy("pair", "part").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = every.withColumns({"n": F.sum("is_low").over(above), "s": F.sum(low_at).over(above)}).where("is_low = 0").join(F.broadcast(carried), ["pair", "part"])
+    loss = F.col("step") * ((F.col("s") + F.col("more_s")) - (F.col("n") + F.col("more_n")) * F.col("at"))
+    sizes = scores.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    n_all = sizes.where(F.col("v").isin(list(levels))).agg(((F.pow(F.sum("n"), 2) - F.sum(F.col("n") * F.col("n"))) / 2).cast("long").alias("n_pairs"))
+    return run.agg(F.coalesce(F.sum(loss), F.lit(0.0)).alias("loss")).crossJoin(F.broadcast(n_all)).select("loss", F.coalesce("n_pairs", F.lit(0).cast("long")).alias("n_pairs"))

@@ -8,18 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loftline.operators import ranks
+from loftline.sources.lineage import stored
 
 Judge = Callable[[DataFrame], DataFrame]
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut lineage between passes with a checkpoint in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/loftline")
-    return df.checkpoint()
-
-
 def score_judge(score: str) -> Judge:
     return lambda df: ranks.judge_by_score(df, score)
 
@@ -32,29 +25,29 @@ def tournament(df: DataFrame, judge: Judge, batch_size: int = 30, passes: int =
     """
     n = df.count()
     n_batches = max(1, -(-n // batch_size))
-    rows = _cut(ranks.shuffled(df, "zpid", seed, "start"))
+    rows = stored(ranks.shuffled(df, "zpid", seed, "start"))
     done = None
     for k in range(passes):
         if done is None:
             seated = ranks.batches(rows.withColumn("pos", F.col("start")), batch_size)
         else:
-            seeded = _cut(ranks.ordinal(rows.join(done, "zpid"), "sum_rank", ["start"], "pos"))
+            seeded = stored(ranks.ordinal(rows.join(done, "zpid"), "sum_rank", ["start"], "pos"))
             seated = ranks.round_robin(seeded.drop("sum_rank"), n_batches)
         ranked = ranks.tier_ranks(judge(seated), f"{seed}{k + 1}").select("zpid", "rank")
         both = ranked if done is None else ranked.unionByName(done.select("zpid", F.col("sum_rank").alias("rank")))
-        done = _cut(both.groupBy("zpid").agg(F.sum("rank").alias("sum_rank")))
+        done = stored(both.groupBy("zpid").agg(F.sum("rank").alias("sum_rank")))
     final = rows.select("zpid", "start").join(done, "zpid")
     return ranks.ordinal(final, "sum_rank", ["start"], "rank").select("zpid", "rank")
 
 
 def incremental(ranked: DataFrame, new: DataFrame, judge: Judge, attributes: DataFrame, n_refs: int = 30, batch_size: int = 30, passes: int = 2, seed: str = "s") -> DataFrame:
     """Insert new rows by a tournament among them and references spaced along the ranking."""
-    refs = _cut(ranks.spaced_sample(ranked, n_refs))
+    refs = stored(ranks.spaced_sample(ranked, n_refs))
     field = attributes.join(refs.select("zpid").unionByName(new.select("zpid")), "zpid", "left_semi")
-    mini = _cut(tournament(_cut(field), judge, batch_size, passes, seed).withColumnRenamed("rank", "mini"))
+    mini = stored(tournament(stored(field), judge, batch_size, passes, seed).withColumnRenamed("rank", "mini"))
     marks = mini.join(refs.select("zpid", F.col("rank").alias("global_rank")), "zpid").select("mini", "global_rank")
     placed = ranks.mapped_ranks(mini.join(new.select("zpid"), "zpid", "left_semi"), marks, ranked.count())
-    return ranks.merged_ranks(ranked, _cut(placed.select("zpid", "rank")))
+    return ranks.merged_ranks(ranked, stored(placed.select("zpid", "rank")))
 
 
 def refreshed(listings: DataFrame, ranked: DataFrame, judge: Judge, full: bool = False, **options: object) -> DataFrame:
@@ -63,7 +56,7 @@ def refreshed(listings: DataFrame, ranked: DataFrame, judge: Judge, full: bool =
     new = listings.join(ranked, "zpid", "left_anti")
     if full or not kept.take(1):
         return tournament(listings, judge, **options)
-    kept = _cut(ranks.compacted(ranked, listings))
+    kept = stored(ranks.compacted(ranked, listings))
     return incremental(kept, new, judge, listings, **options) if new.take(1) else kept
 
 

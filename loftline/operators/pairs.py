@@ -44,32 +44,57 @@ def hinge_loss(pairs: DataFrame, scores: DataFrame, pos: str, margin: float) ->
     return pairs.join(a, "i").join(b, "j").agg(F.coalesce(F.sum(each), F.lit(0.0)).alias("loss"), F.count("*").alias("n_pairs"))
 
 
-def summed_hinge(scores: DataFrame, value: str, margin: float, levels: Sequence[int] = (0, 1, 2)) -> DataFrame:
-    """One row: ``loss``, the hinge loss over all pairs of different levels, and ``n_pairs``; no pair is listed.
+def _against_all(scores: DataFrame, value: str, margin: float, columns: Sequence[str], levels: Sequence[int]) -> DataFrame:
+    """Rows as marks, each with what the rows of another level hold against it; no pair is listed.
 
-    ``scores`` has ``value`` and ``score``, and is read several times.  A row of a higher
-    level loses to those of a lower level, d levels down, whose score is above its own
-    less margin / d: of those only their number and sum count, and running sums tell
-    both.  They run in ranges of the score, each continued from a row per range.
+    A row of a higher level loses to those of a lower level, d levels down, whose score
+    is above its own less margin / d.  Its mark stands there, theirs at their score.
+    Out come ``step`` (d), ``at``, ``is_low``, the number ``n`` and sum ``s`` of low marks
+    from this one on, the number ``under`` of high marks below it, and ``columns``.  Running
+    sums tell all three, in ranges of the score, each continued from a row per range;
+    scores that are all alike make one range.
     """
     marks = []
     for high in levels:
         for low in levels:
             if high > low:
                 step, pair = float(high - low), F.lit(high * (max(levels) + 1) + low).alias("pair")
-                up = scores.where(F.col(value) == high).select(pair, F.lit(step).alias("step"), (F.col("score") - margin / step).alias("at"), F.lit(0).alias("is_low"))
-                down = scores.where(F.col(value) == low).select(pair, F.lit(step).alias("step"), F.col("score").alias("at"), F.lit(1).alias("is_low"))
+                up = scores.where(F.col(value) == high).select(pair, F.lit(step).alias("step"), (F.col("score") - margin / step).alias("at"), F.lit(0).alias("is_low"), *columns)
+                down = scores.where(F.col(value) == low).select(pair, F.lit(step).alias("step"), F.col("score").alias("at"), F.lit(1).alias("is_low"), *columns)
                 marks += [up, down]
     every = reduce(DataFrame.unionByName, marks)
     every = every.withColumn("part", range_of(F.col("at"), cut_points(scores, "score")))
-    low_at = F.when(F.col("is_low") == 1, F.col("at")).otherwise(0.0)
-    totals = every.groupBy("pair", "part").agg(F.sum("is_low").alias("n"), F.sum(low_at).alias("s"))
+    low_at, is_high = F.when(F.col("is_low") == 1, F.col("at")).otherwise(0.0), 1 - F.col("is_low")
+    totals = every.groupBy("pair", "part").agg(F.sum("is_low").alias("n"), F.sum(low_at).alias("s"), F.sum(is_high).alias("h"))
     beyond = Window.partitionBy("pair").orderBy("part").rowsBetween(1, Window.unboundedFollowing)
-    carried = totals.select("pair", "part", F.coalesce(F.sum("n").over(beyond), F.lit(0)).alias("more_n"), F.coalesce(F.sum("s").over(beyond), F.lit(0.0)).alias("more_s"))
+    upto = Window.partitionBy("pair").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    carried = totals.select(
+        "pair", "part", F.coalesce(F.sum("n").over(beyond), F.lit(0)).alias("more_n"), F.coalesce(F.sum("s").over(beyond), F.lit(0.0)).alias("more_s"), F.sum("h").over(upto).alias("upto_h")
+    )
     # Equal marks lose nothing to each other, so their order doesn't matter.
     above = Window.partitionBy("pair", "part").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = every.withColumns({"n": F.sum("is_low").over(above), "s": F.sum(low_at).over(above)}).where("is_low = 0").join(F.broadcast(carried), ["pair", "part"])
-    loss = F.col("step") * ((F.col("s") + F.col("more_s")) - (F.col("n") + F.col("more_n")) * F.col("at"))
+    run = every.withColumns({"n": F.sum("is_low").over(above), "s": F.sum(low_at).over(above), "h": F.sum(is_high).over(above)}).join(F.broadcast(carried), ["pair", "part"])
+    return run.select("step", "at", "is_low", (F.col("n") + F.col("more_n")).alias("n"), (F.col("s") + F.col("more_s")).alias("s"), (F.col("upto_h") - F.col("h")).alias("under"), *columns)
+
+
+def _loss() -> Column:
+    total = F.sum(F.when(F.col("is_low") == 0, F.col("step") * (F.col("s") - F.col("n") * F.col("at"))))
+    return F.coalesce(total, F.lit(0.0)).alias("loss")
+
+
+def summed_hinge(scores: DataFrame, value: str, margin: float, levels: Sequence[int] = (0, 1, 2)) -> DataFrame:
+    """One row: ``loss``, the hinge loss over all pairs of different levels, and ``n_pairs``; no pair is listed.
+
+    ``scores`` has ``value`` and ``score``, and is read several times.
+    """
+    run = _against_all(scores, value, margin, [], levels)
     sizes = scores.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
     n_all = sizes.where(F.col("v").isin(list(levels))).agg(((F.pow(F.sum("n"), 2) - F.sum(F.col("n") * F.col("n"))) / 2).cast("long").alias("n_pairs"))
-    return run.agg(F.coalesce(F.sum(loss), F.lit(0.0)).alias("loss")).crossJoin(F.broadcast(n_all)).select("loss", F.coalesce("n_pairs", F.lit(0).cast("long")).alias("n_pairs"))
+    return run.agg(_loss()).crossJoin(F.broadcast(n_all)).select("loss", F.coalesce("n_pairs", F.lit(0).cast("long")).alias("n_pairs"))
+
+
+def hinge_pulls(scores: DataFrame, value: str, margin: float, columns: Sequence[str], levels: Sequence[int] = (0, 1, 2)) -> DataFrame:
+    """One row: ``loss`` as in ``summed_hinge`` and, for each of ``columns``, its sum over rows times the loss's slope by their score."""
+    run = _against_all(scores, value, margin, columns, levels)
+    slope = F.col("step") * F.when(F.col("is_low") == 0, -F.col("n")).otherwise(F.col("under"))
+    return run.agg(_loss(), *[F.coalesce(F.sum(slope * F.col(c)), F.lit(0.0)).alias(c) for c in columns])

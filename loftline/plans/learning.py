@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Mapping
 from dataclasses import dataclass, replace
+from functools import reduce
+from operator import add
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -11,12 +14,13 @@ from pyspark.sql import functions as F
 
 from loftline.functions.scoring import scored
 from loftline.operators import filters
-from loftline.operators.pairs import RATING_VALUES, TURNED
+from loftline.operators.pairs import RATING_VALUES, TURNED, hinge_pulls
 from loftline.plans.listings import listing_view
+from loftline.sources.lineage import stored
 from loftline.spec import DEFAULT_WEIGHTS, QuerySpec
 
 MAX_WEIGHT, MIN_RATINGS = 50.0, 10
-#: Rated rows that are collected; ratings are given one by one by people.
+#: Rated rows up to which the loss is minimised in the driver; more of them stay in Spark.
 MAX_RATED = 20_000
 
 
@@ -40,27 +44,61 @@ def _scores(w: np.ndarray, x: np.ndarray, turned: np.ndarray) -> np.ndarray:
 class PairLoss:
     """Loss and subgradient over all pairs of different rating, without listing the pairs."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, names: list[str], w0: np.ndarray, p: LearnParams) -> None:
-        self.x, self.y, self.w0, self.p = x, y, w0, p
+    def __init__(self, names: list[str], sizes: Mapping[int, int], w0: np.ndarray, p: LearnParams) -> None:
+        self.names, self.w0, self.p = names, w0, p
         self.turned = np.array([n in TURNED for n in names])
-        self.n_pairs = int(sum((y == a).sum() * (y == b).sum() for a in range(3) for b in range(a)))
+        levels = sorted(RATING_VALUES.values())
+        self.n_pairs = sum(sizes.get(a, 0) * sizes.get(b, 0) for a in levels for b in levels if b < a)
+
+    def pulls(self, w: np.ndarray) -> tuple[float, np.ndarray, float]:
+        """The summed loss, and the sums of the features and of 1 over rows times the slope by their score."""
+        raise NotImplementedError
 
     def __call__(self, w: np.ndarray) -> tuple[float, np.ndarray]:
+        loss, by_feature, by_one = self.pulls(w)
+        slope = np.where(self.turned == (w > 0), 100.0 * by_one - by_feature, by_feature) * np.where(w < 0, -1.0, 1.0)
+        pull = self.p.l2 * self.n_pairs
+        return loss + pull * float(((w - self.w0) ** 2).sum()), slope + 2 * pull * (w - self.w0)
+
+
+class CollectedLoss(PairLoss):
+    """Of rows in the driver."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, names: list[str], w0: np.ndarray, p: LearnParams) -> None:
+        super().__init__(names, Counter(y.tolist()), w0, p)
+        self.x, self.y = x, y
+
+    def pulls(self, w: np.ndarray) -> tuple[float, np.ndarray, float]:
         s = _scores(w, self.x, self.turned)
         coef, loss = np.zeros(len(s)), 0.0
         for a in range(3):
             for b in range(a):
-                up, down = np.flatnonzero(self.y == a), np.flatnonzero(self.y == b)
-                for block in np.array_split(up, max(1, len(up) * len(down) // 4_000_000)):
-                    short = self.p.margin - (a - b) * (s[block][:, None] - s[down][None, :])
-                    on = short > 0
-                    loss += float(short[on].sum())
-                    coef[block] -= (a - b) * on.sum(1)
-                    coef[down] += (a - b) * on.sum(0)
+                up, down, step = np.flatnonzero(self.y == a), np.flatnonzero(self.y == b), a - b
+                at, low = s[up] - self.p.margin / step, np.sort(s[down])
+                first = np.searchsorted(low, at, "right")
+                beyond = np.append(np.cumsum(low[::-1])[::-1], 0.0)[first]
+                loss += float((step * (beyond - (len(low) - first) * at)).sum())
+                coef[up] -= step * (len(low) - first)
+                coef[down] += step * np.searchsorted(np.sort(at), s[down], "left")
+        return loss, coef @ self.x, float(coef.sum())
+
+
+class SpreadLoss(PairLoss):
+    """Of a table: every call is one aggregate over it, of which a row comes back.
+
+    ``rows`` has the features by name and ``level``; they are read at every call.
+    """
+
+    def __init__(self, rows: DataFrame, names: list[str], w0: np.ndarray, p: LearnParams) -> None:
+        super().__init__(names, {r["level"]: r["count"] for r in rows.groupBy("level").count().collect()}, w0, p)
+        self.rows = rows
+
+    def pulls(self, w: np.ndarray) -> tuple[float, np.ndarray, float]:
         flip = self.turned == (w > 0)
-        slope = np.where(flip, 100.0 - self.x, self.x) * np.where(w < 0, -1.0, 1.0)
-        pull = self.p.l2 * self.n_pairs
-        return loss + pull * float(((w - self.w0) ** 2).sum()), coef @ slope + 2 * pull * (w - self.w0)
+        terms = [((100.0 - F.col(n)) if f else F.col(n)) * float(abs(v)) for n, f, v in zip(self.names, flip, w)]
+        scores = self.rows.withColumns({"score": reduce(add, terms), "_one": F.lit(1.0)})
+        row = hinge_pulls(scores, "level", self.p.margin, [*self.names, "_one"]).first()
+        return row["loss"], np.array([row[n] for n in self.names]), row["_one"]
 
 
 def minimise(loss: PairLoss, w0: np.ndarray, rounds: int = 100) -> np.ndarray:
@@ -88,24 +126,28 @@ def minimise(loss: PairLoss, w0: np.ndarray, rounds: int = 100) -> np.ndarray:
 def learned_weights(scores: DataFrame, ratings: DataFrame, aggressiveness: float = 0.4, defaults: Mapping[str, float] = DEFAULT_WEIGHTS) -> tuple[dict[str, float], dict[str, object]]:
     """Weights blended from the learned and the default ones, and a report.
 
-    Only rated rows are collected, at most ``MAX_RATED``; more is an error, not a sample.
+    Every rated row counts.  Up to ``MAX_RATED`` of them are collected; more stay in a
+    written table, and each step of the search is an aggregate over it.
     """
     names = [n for n in defaults if f"{n}_score" in scores.columns]
-    rated = scores.join(ratings.where(F.col("rating").isin(*RATING_VALUES)).select("zpid", "rating"), "zpid")
+    level = reduce(lambda c, r: c.when(F.col("rating") == r[0], r[1]), RATING_VALUES.items(), F).alias("level")
     columns = [F.coalesce(F.nanvl(F.col(f"{n}_score").cast("double"), F.lit(50.0)), F.lit(50.0)).alias(n) for n in names]
-    rows = rated.orderBy("zpid").select("rating", *columns).limit(MAX_RATED + 1).collect()
-    if len(rows) > MAX_RATED:
-        raise ValueError(f"more than {MAX_RATED} rated listings")
+    rated = scores.join(ratings.where(F.col("rating").isin(*RATING_VALUES)).select("zpid", "rating"), "zpid").select("zpid", level, *columns)
+    p, w0 = LearnParams.of(aggressiveness), np.array([float(defaults[n]) for n in names])
+    rows = rated.orderBy("zpid").drop("zpid").limit(MAX_RATED + 1).collect()
     if len(rows) < MIN_RATINGS:
         raise ValueError(f"at least {MIN_RATINGS} ratings are needed, not {len(rows)}")
-    x, y = np.array([r[1:] for r in rows], float), np.array([RATING_VALUES[r["rating"]] for r in rows])
-    p, w0 = LearnParams.of(aggressiveness), np.array([float(defaults[n]) for n in names])
-    loss = PairLoss(x, y, names, w0, p)
+    if len(rows) <= MAX_RATED:
+        loss: PairLoss = CollectedLoss(np.array([r[1:] for r in rows], float), np.array([r["level"] for r in rows]), names, w0, p)
+        n_rated = len(rows)
+    else:
+        table = stored(rated.drop("zpid"))
+        loss, n_rated = SpreadLoss(table, names, w0, p), table.count()
     if not loss.n_pairs:
         return dict(defaults), {"success": False, "n_pairs": 0}
     w = minimise(loss, w0)
     blended = p.rate * w + (1 - p.rate) * w0
-    info = {"success": True, "n_pairs": loss.n_pairs, "n_rated": len(rows), "loss_before": loss(w0)[0], "loss_after": loss(w)[0]}
+    info = {"success": True, "n_pairs": loss.n_pairs, "n_rated": n_rated, "loss_before": loss(w0)[0], "loss_after": loss(w)[0]}
     return {**defaults, **dict(zip(names, map(float, blended)))}, info
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from loftline.functions import quantiles
 from loftline.operators import pairs, ranks
+from loftline.plans import learning
 from loftline.sources import tables
 
 
@@ -49,6 +50,36 @@ def test_hinge_loss_from_sums_equals_that_of_pairs(spark):
         assert r["n_pairs"] == count and r["loss"] == pytest.approx(loss, abs=1e-9)
 
 
+def test_learning_in_spark_equals_that_in_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    names, n = ["beds", "drive_time", "price"], 60
+    x, y = np.round(rng.random((n, 3)) * 100, 1), rng.integers(0, 3, n)
+    w0 = np.array([3.0, -2.0, 4.0])
+    p = learning.LearnParams(0.0, 0.6, 40.0)
+    table = spark.createDataFrame([(int(v), *map(float, r)) for v, r in zip(y, x)], "level int, " + ", ".join(f"{c} double" for c in names))
+    here, there = learning.CollectedLoss(x, y, names, w0, p), learning.SpreadLoss(table, names, w0, p)
+    for w in (w0, np.array([-1.0, 2.0, 0.5])):
+        s = learning._scores(w, x, here.turned)
+        slope = np.where(here.turned == (w > 0), 100 - x, x) * np.where(w < 0, -1.0, 1.0)
+        loss, grad = 0.0, np.zeros(3)
+        for i in range(n):
+            for j in range(n):
+                d = int(y[i] - y[j])
+                if d > 0 and p.margin - d * (s[i] - s[j]) > 0:
+                    loss += p.margin - d * (s[i] - s[j])
+                    grad -= d * (slope[i] - slope[j])
+        for value, g in (here(w), there(w)):
+            assert value == pytest.approx(loss, rel=1e-9) and g == pytest.approx(grad, rel=1e-9)
+    # The whole search, with tied rows and a missing score.
+    scores = spark.createDataFrame([(k, None if k == 3 else float(k % 4) * 25, 90.0 - 5 * k) for k in range(14)], "zpid int, beds_score double, price_score double")
+    ratings = spark.createDataFrame([(k, ["yes", "maybe", "no"][k % 3]) for k in range(14)], "zpid int, rating string")
+    monkeypatch.setattr(learning, "minimise", lambda loss, w: w - 0.01 * np.sign(loss(w)[1]))
+    few, told = learning.learned_weights(scores, ratings)
+    monkeypatch.setattr(learning, "MAX_RATED", 12)
+    many, also = learning.learned_weights(scores, ratings)
+    assert many == pytest.approx(few) and also == pytest.approx(told) and also["n_rated"] == 14
+
+
 def test_cleared_checkpoint(spark, tmp_path):
     tables.save_checkpoint(spark, f"{tmp_path}/c", 3, 4)
     assert tables.load_checkpoint(spark, f"{tmp_path}/c") == (3, 4)

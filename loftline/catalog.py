@@ -699,7 +699,7 @@ def listing_view(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(rows, ["zpid", "rating", "status", "crime_icon_level"], ["total_score"])
 
 
-@register()
+@register(f"""WITH {TOTAL_SQL} SELECT '{{"zpid":' || zpid || ',"status":' || coalesce(cast(to_json(status) as varchar), 'null') || ',"total_score":' || coalesce(cast(round(total_score, 6) as varchar), 'null') || '}}' AS record FROM totals""")
 def listing_records(spark: SparkSession, d: str) -> DataFrame:
     from loftline.sources.tables import records
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loftline.llm import ann, decontam, langid, lm, neardup, packing, pii, secrets, suffixdedup, tokenbin
+from loftline.llm import ann, decontam, langid, lm, neardup, packing, pii, secrets, suffixdedup, tokenbin, wordblocks
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -84,6 +84,10 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def op11_word_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordblocks.remove_repeated_words(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_pii": op2_pii,
@@ -95,7 +99,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest": op8_nearest,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_word_repeats": op11_word_repeats,
 }
 
+_WORD_REPEATS = r"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+places AS (SELECT doc_id, words, unnest(generate_series(1, len(words))) AS p FROM docs),
+windows AS (SELECT doc_id, p, words[p] AS word, CASE WHEN p <= len(words) - 19 THEN array_to_string(words[p:p + 19], ' ') END AS w FROM places),
+later AS (SELECT doc_id, p, word, w IS NOT NULL AND row_number() OVER (PARTITION BY w ORDER BY doc_id, p) > 1 AS again FROM windows),
+covered AS (SELECT doc_id, p, word, coalesce(p - max(CASE WHEN again THEN p END) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) < 20, false) AS gone FROM later),
+kept AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (NOT gone) AS text FROM covered GROUP BY doc_id)
+SELECT doc_id, len(words) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM docs LEFT JOIN kept USING (doc_id)
+"""
+
 #: DuckDB SQL of the queries that SQL can express; the others are tested against brute force.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op11_word_repeats": _WORD_REPEATS}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loftline.llm import ann, decontam, langid, lm, neardup, packing, pii, secrets, suffixdedup, tokenbin, wordblocks
+from loftline.llm import alignment, ann, centroids, decontam, langid, lm, neardup, packing, pii, secrets, suffixdedup, tokenbin, wordblocks
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -88,6 +88,14 @@ def op11_word_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordblocks.remove_repeated_words(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(_table(spark, sf_dir, "embeddings", "vec_id", "embedding")).drop("recomputed")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_pii": op2_pii,
@@ -100,6 +108,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_near_duplicates": op10_near_duplicates,
     "op11_word_repeats": op11_word_repeats,
+    "op12_alignment": op12_alignment,
+    "op13_centroids": op13_centroids,
 }
 
 _WORD_REPEATS = r"""
@@ -112,5 +122,25 @@ kept AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, '
 SELECT doc_id, len(words) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM docs LEFT JOIN kept USING (doc_id)
 """
 
+
+def _centroids_sql(k: int = centroids.CENTROIDS, rounds: int = centroids.ROUNDS) -> str:
+    """The same clustering with a pair of tables a round."""
+    parts = [
+        f"""v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS c
+FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY mark) - 1 AS k, c AS m FROM (SELECT c, sha256('3:' || vec_id) AS mark FROM v ORDER BY mark LIMIT {k}))",
+    ]
+    for n in range(rounds + 1):
+        near = f"SELECT r, k, list_sum(list_transform(list_zip(c, m), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM v CROSS JOIN c{n}"
+        parts.append(f"a{n} AS MATERIALIZED (SELECT r, k, d FROM ({near}) QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, k) = 1)")
+        if n < rounds:
+            cells = f"SELECT k, unnest(c) AS x, generate_subscripts(c, 1) AS i FROM a{n} JOIN v USING (r)"
+            means = f"SELECT k, i, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS x FROM ({cells}) GROUP BY k, i"
+            parts.append(f"c{n + 1} AS MATERIALIZED (SELECT k, CAST(coalesce(l, m) AS BIGINT[]) AS m FROM c{n} LEFT JOIN (SELECT k, list(x ORDER BY i) AS l FROM ({means}) GROUP BY k) USING (k))")
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+sha256(array_to_string(m, ',')) AS centroid_sha256 FROM a{rounds} JOIN v USING (r) JOIN c{rounds} USING (k)"""
+
+
 #: DuckDB SQL of the queries that SQL can express; the others are tested against brute force.
-ORACLE: dict[str, str] = {"op11_word_repeats": _WORD_REPEATS}
+ORACLE: dict[str, str] = {"op11_word_repeats": _WORD_REPEATS, "op13_centroids": _centroids_sql()}

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Callable
 
 import numpy as np
 
@@ -21,7 +22,7 @@ from loftline.llm.kernels import ragged, span_hashes
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 _LETTERS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 _JOIN = 1000
-_loaded: dict[str, tuple] = {}
+_loaded: dict[tuple, tuple] = {}
 
 
 def _byte_chars() -> str:
@@ -36,9 +37,12 @@ _BYTE_CHARS = _byte_chars()
 _NEWLINE = _BYTE_CHARS[10]
 
 
-def load(name: str) -> tuple:
-    """The tokenizer, a copy that splits only at the stand-in of a newline, that one's id, and a pattern of the added tokens."""
-    if name not in _loaded:
+def load(name: str, special: bool = True) -> tuple:
+    """The tokenizer, a copy that splits only at the stand-in of a newline, that one's id, and a pattern of the added tokens.
+
+    Without ``special``, the strings of added tokens are plain text.
+    """
+    if (name, special) not in _loaded:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
         from tokenizers import Tokenizer, pre_tokenizers
@@ -47,9 +51,10 @@ def load(name: str) -> tuple:
         plain, bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
         bare.pre_tokenizer = pre_tokenizers.Split(_NEWLINE, "isolated")
         mark = bare.token_to_id(_NEWLINE)
-        added = sorted((a.content.encode() for a in plain.get_added_tokens_decoder().values()), key=len, reverse=True)
-        _loaded[name] = plain, bare, mark, re.compile(b"|".join(map(re.escape, added))) if added else None
-    return _loaded[name]
+        plain.encode_special_tokens = bare.encode_special_tokens = not special
+        added = sorted((a.content.encode() for a in plain.get_added_tokens_decoder().values()), key=len, reverse=True) if special else []
+        _loaded[name, special] = plain, bare, mark, re.compile(b"|".join(map(re.escape, added))) if added else None
+    return _loaded[name, special]
 
 
 def _classes() -> tuple[np.ndarray, np.ndarray]:
@@ -101,9 +106,9 @@ def piece_starts(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
-def _encode_pieces(pieces: list[str], name: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of each piece, end to end, and their counts."""
-    plain, bare, mark, _ = load(name)
+def _encode_pieces(pieces: list[str], name: str, special: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of each piece, end to end; each one's first place and count."""
+    plain, bare, mark, _ = load(name, special)
     quick = [k for k, p in enumerate(pieces) if _LETTERS(p)]
     rest = sorted(set(range(len(pieces))).difference(quick))
     parts, owners = [], []
@@ -133,7 +138,7 @@ class _Seen:
     """Ids of up to ``LIMIT`` pieces that this worker met before, by hash."""
 
     LIMIT = 1 << 20
-    by_name: dict[str, _Seen] = {}
+    by_name: dict[tuple, _Seen] = {}
 
     def __init__(self) -> None:
         self.hashes, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
@@ -167,31 +172,42 @@ def added_tokens(raw: memoryview, offs: np.ndarray, pattern: re.Pattern | None)
     return tuple(np.array(found, np.int64).reshape(-1, 2).T)
 
 
-def encode_block(buf: np.ndarray, offs: np.ndarray, end_id: int, name: str = DEFAULT_TOKENIZER) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts end to end, each followed by ``end_id``, and each text's offset."""
+def pieces_encoded(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seen: _Seen, encode: Callable) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, and where in them and how many the different pieces have; and each piece's number among those.
+
+    ``encode`` takes strings that ``seen`` doesn't hold.
+    """
     raw = memoryview(buf.tobytes() if not buf.flags.c_contiguous else buf)
-    special, past = added_tokens(raw, offs, load(name)[3])
-    if len(special):
-        starts = piece_starts(buf, np.unique(np.concatenate([offs, special, past])))
-        inside = np.searchsorted(special, starts, "left") - 1
-        starts = starts[(inside < 0) | (starts >= past[inside])]
-    else:
-        starts = piece_starts(buf, offs)
-    ends = np.append(starts[1:], len(buf)) if len(starts) else starts
     hashes, first, which = np.unique(span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
-    seen = _Seen.by_name.setdefault(name, _Seen())
     where, known = seen.find(hashes)
     new = first[~known]
     pieces = [str(raw[s:e], "utf-8") for s, e in zip(starts[new].tolist(), ends[new].tolist())]
-    ids, (new_at, new_count) = _encode_pieces(pieces, name)
+    ids, (new_at, new_count) = encode(pieces)
     at, count = np.empty(len(hashes), np.int64), np.empty(len(hashes), np.int64)
     at[~known], count[~known] = new_at, new_count
     at[known], count[known] = seen.at[where[known]] + len(ids), seen.count[where[known]]
-    every = np.concatenate([ids, seen.ids, np.array([end_id], np.uint32)])
+    every = np.concatenate([ids, seen.ids])
     seen.add(hashes[~known], ids, new_at, new_count)
+    return every, at, count, which
+
+
+def encode_block(buf: np.ndarray, offs: np.ndarray, end_id: int, name: str = DEFAULT_TOKENIZER, special: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts end to end, each followed by ``end_id``, and each text's offset."""
+    raw = memoryview(buf.tobytes() if not buf.flags.c_contiguous else buf)
+    added, past = added_tokens(raw, offs, load(name, special)[3])
+    if len(added):
+        starts = piece_starts(buf, np.unique(np.concatenate([offs, added, past])))
+        inside = np.searchsorted(added, starts, "left") - 1
+        starts = starts[(inside < 0) | (starts >= past[inside])]
+    else:
+        starts = piece_starts(buf, offs)
+    ends = np.append(starts[1:], len(buf)) if len(starts) else starts
+    seen = _Seen.by_name.setdefault((name, special), _Seen())
+    every, at, count, which = pieces_encoded(buf, starts, ends, seen, lambda pieces: _encode_pieces(pieces, name, special))
+    every = np.append(every, np.uint32(end_id))
     at, count = np.append(at, len(every) - 1), np.append(count, 1)
     stops = np.searchsorted(starts, offs[1:])
-    which = np.insert(which.astype(np.int32), stops, len(hashes))
+    which = np.insert(which.astype(np.int32), stops, len(at) - 1)
     upto = np.concatenate([[0], np.cumsum(count[which])])
     rows = upto[np.concatenate([[0], stops + np.arange(1, len(stops) + 1)])]
     return ragged(every, at[which], count[which]), rows

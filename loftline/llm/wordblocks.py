@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loftline.llm.kernels import _Powers, mix64, runs, span_hashes, text_blocks, utf8_view, word_spans
-from loftline.llm.store import attach, discard, lean, written
+from loftline.llm.store import attach, lean, written
 
 WINDOW = 20
 BLOCK = 10
@@ -46,6 +46,7 @@ BLOCK = 10
 SHARD_BYTES = 12 << 20
 _PACK = 4 << 20
 _FIRST = -(2**63)
+_LEVEL = 6
 _PACKED = "block long, doc_ids array<long>, n_bytes long, sizes array<int>, texts binary"
 
 
@@ -53,7 +54,7 @@ def packed(docs: DataFrame) -> DataFrame:
     """Written blocks of whole documents, ascending by id within a block, with their texts compressed."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId() << 32
+        part, zstd = TaskContext.get().partitionId() << 32, pa.Codec("zstd", _LEVEL)
         for seq, block in enumerate(text_blocks(batches, "text", _PACK)):
             block = block.take(pc.sort_indices(block, [("doc_id", "ascending")], null_placement="at_start"))
             buf, offs = utf8_view(block["text"])
@@ -64,7 +65,7 @@ def packed(docs: DataFrame) -> DataFrame:
                     one(block["doc_id"].to_pylist(), pa.list_(pa.int64())),
                     one(len(buf), pa.int64()),
                     one(np.diff(offs), pa.list_(pa.int32())),
-                    one(pa.compress(pa.py_buffer(np.ascontiguousarray(buf)), "zstd", asbytes=True), pa.binary()),
+                    one(zstd.compress(pa.py_buffer(np.ascontiguousarray(buf)), asbytes=True), pa.binary()),
                 ],
                 [x.split()[0] for x in _PACKED.split(", ")],
             )
@@ -169,6 +170,11 @@ def _later(table: pa.Table) -> pa.Table:
             out_blocks.append(int(blocks[k]))
             found_n.append(len(found))
             places.append(_bytes(np.sort(found)))
+    for block, n, within in zip(blocks.tolist(), table["n_within"].to_pylist(), table["within"].to_pylist()):
+        if n:
+            out_blocks.append(block)
+            found_n.append(n)
+            places.append(within)
     return pa.table([pa.array(out_blocks, pa.int64()), pa.array(found_n, pa.int32()), pa.array(places, pa.binary())], ["block", "n", "at"])
 
 
@@ -176,6 +182,7 @@ def _repeat_starts(table: DataFrame, window: int, block: int) -> DataFrame:
     """By packed block, places of words where a window starts that has an earlier equal one."""
     size = table.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     shards = max(1, -(-size // SHARD_BYTES))
+    fields = "shard int, block long, n int, windows binary, docs binary, at binary, n_within int, within binary"
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, _, _ in _blocks(batches):
@@ -188,8 +195,8 @@ def _repeat_starts(table: DataFrame, window: int, block: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((),) * 4, (pa.int32(), pa.int64(), pa.int32(), pa.binary()))], ["shard", "block", "base", "grams"])
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["shard", "block", "n", "windows", "docs", "at"]
-        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        names = [x.split()[0] for x in fields.split(", ")]
+        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.binary())
         for b, batch, k in _blocks(batches):
             starts, hashes, which, _ = b.hashed().probes(block)
             hit = np.zeros(len(hashes), bool)
@@ -205,17 +212,16 @@ def _repeat_starts(table: DataFrame, window: int, block: int) -> DataFrame:
             ids = pc.fill_null(b.ids, _FIRST).to_numpy()[row]
             local = np.ones(len(candidate), bool)
             local[first] = False
-            rows = [(s, b.number, part.stop - part.start, windows[part].tobytes(), _bytes(ids[part]), _bytes(places[part])) for s, part in _dealt(windows, shards)]
-            rows += [(None, b.number, int(local.sum()), None, None, _bytes(candidate[local].astype(np.uint32)))] if local.any() else []
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((),) * 6, kinds)], names)
+            # Places that an earlier one in the block settles travel with the block's first shard.
+            rows = [[s, b.number, part.stop - part.start, windows[part].tobytes(), _bytes(ids[part]), _bytes(places[part]), 0, None] for s, part in _dealt(windows, shards)]
+            if local.any():
+                rows[0][-2:] = [int(local.sum()), _bytes(candidate[local].astype(np.uint32))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((),) * 8, kinds)], names)
 
     hits = table.mapInArrow(lean(probe), "shard int, block long, base int, grams binary").groupBy("shard").applyInArrow(_hits, "block long, places binary")
     hits = hits.groupBy("block").agg(F.collect_list("places").alias("places"))
-    extended = written(table.select("block", "doc_ids", "n_bytes", "sizes", "texts").join(hits, "block").mapInArrow(lean(extend), "shard int, block long, n int, windows binary, docs binary, at binary"), "windows")
-    found = extended.where("shard IS NOT NULL").groupBy("shard").applyInArrow(_later, "block long, n int, at binary")
-    found = written(found.unionByName(extended.where("shard IS NULL").select("block", "n", "at")), "window-repeats")
-    discard(extended)
-    return found
+    extended = table.select("block", "doc_ids", "n_bytes", "sizes", "texts").join(hits, "block").mapInArrow(lean(extend), fields)
+    return extended.groupBy("shard").applyInArrow(_later, "block long, n int, at binary")
 
 
 def _stripped(docs: DataFrame, window: int, block: int, fields: str, rows_of: Callable) -> DataFrame:

@@ -3,8 +3,8 @@
 A byte-level tokenizer (A) and a piece tokenizer (B) encode the same text, with a
 space before it.  Both tile its bytes, so a token is an interval.  Each task loads
 a stretch's intervals into DuckDB: an as-of join finds the B token that holds an A
-token's first byte, a range join those that begin inside it, and window sums over
-the ends that both share number the groups.  Pairs are counted there for the
+token's first byte, a range join those that begin inside it, and a window's running
+count of the ends that both share numbers the groups.  Pairs are counted there for the
 stretch's block of texts; the partial counts are merged in Spark, and only a
 block's own different pairs come back to it.
 
@@ -37,8 +37,8 @@ from loftline.llm.tokens import _BYTE_CHARS, DEFAULT_TOKENIZER, _Seen, encode_bl
 
 PIECES = "piece_bpe_32k.model"
 #: Bytes of text in a block and of a stretch that DuckDB joins at a time.
-BLOCK_BYTES = 3 << 20
-STRETCH = 3 << 20
+BLOCK_BYTES = 2 << 20
+STRETCH = 2 << 20
 _NO_ID = 0xFFFFFFFF
 _BLOCKS = "block long, doc_ids array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, sha array<string>, links binary, a array<int>, b array<int>, n array<long>"
 
@@ -48,8 +48,8 @@ UNION ALL
 SELECT a.at, a.id AS a, b.id AS b FROM (SELECT * FROM b ANTI JOIN a USING (lo)) b JOIN a ON b.lo > a.lo AND b.lo < a.hi
 """
 _GROUPS = """
-SELECT t.at, coalesce(sum(CASE WHEN o.hi IS NULL THEN 0 ELSE 1 END) OVER (ORDER BY t.lo ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g
-FROM {} t LEFT JOIN {} o USING (hi)
+SELECT a.at AS last_a, b.at AS last_b, count(*) OVER (ORDER BY a.hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS g
+FROM a JOIN b USING (hi) ORDER BY g
 """
 
 
@@ -134,7 +134,9 @@ class _Side:
         self.group = np.zeros(len(self.id), np.int64)
 
     def table(self, part: slice) -> pa.Table:
-        return pa.table({"at": np.arange(part.start, part.stop), "id": self.id[part], "lo": self.lo[part], "hi": self.hi[part]})
+        base = self.lo[part.start]
+        columns = {"at": np.arange(part.stop - part.start), "id": self.id[part], "lo": self.lo[part] - base, "hi": self.hi[part] - base}
+        return pa.table({k: v.astype(np.int32) for k, v in columns.items()})
 
 
 def _stretches(a: _Side, b: _Side, size: int) -> Iterator[tuple[slice, slice]]:
@@ -161,10 +163,13 @@ def _texts_of_groups(a: _Side, b: _Side, n_docs: int) -> list[str]:
     for side, slot, head in ((a, slot_a, 1), (b, slot_b, 2)):
         new = np.diff(side.group, prepend=-1) > 0
         ids[slot], mark[slot], doc[slot] = side.id, np.where(new, head, 0), side.doc
-    ids, mark = ids.astype(np.int64), mark.astype(np.int64)
     first = np.flatnonzero(np.diff(doc, prepend=-1))
     mark[first] = 3
-    names, which = np.unique(ids * 4 + mark, return_inverse=True)
+    ids = ids * 4 + mark
+    names = np.flatnonzero(np.bincount(ids)) if total else ids
+    which = np.zeros(int(names[-1]) + 1 if total else 0, np.int64)
+    which[names] = np.arange(len(names))
+    which = which[ids]
     data, at, size = _joined([(",", ";", "|", "")[k & 3].encode() + str(k >> 2).encode() for k in names.tolist()])
     raw = ragged(data, at[which], size[which]).tobytes()
     edge = np.concatenate([[0], np.cumsum(size[which])])[np.append(first, total)]
@@ -192,14 +197,16 @@ def _aligned_block(con, texts: pa.ChunkedArray, tokenizer: str, pieces: str) ->
         con.register("a", a.table(part_a))
         con.register("b", b.table(part_b))
         found = con.execute(_OVERLAPS).fetchnumpy()
-        links.append((found["at"], found["a"].astype(np.int64) << 32 | found["b"].astype(np.int64)))
-        for side, names in ((a, ("a", "b")), (b, ("b", "a"))):
-            numbered = con.execute(_GROUPS.format(*names)).fetchnumpy()
-            side.group[numbered["at"]] = base + numbered["g"].astype(np.int64)
+        links.append((part_a.start + found["at"].astype(np.int64), found["a"].astype(np.int64) << 32 | found["b"].astype(np.int64)))
+        # A group ends with a token of each side, at an end that both share.
+        numbered = con.execute(_GROUPS).fetchnumpy()
+        for side, part, last in ((a, part_a, "last_a"), (b, part_b, "last_b")):
+            side.group[part] = np.repeat(base + numbered["g"], np.diff(numbered[last].astype(np.int64), prepend=-1))
         base = int(a.group[part_a.stop - 1]) + 1
     at, key = (np.concatenate(x) for x in zip(*links)) if links else (np.zeros(0, np.int64),) * 2
     doc = a.doc[at]
-    order = np.argsort(doc, kind="stable")
+    # Numbers of 16 bits are sorted by radix.
+    order = np.argsort(doc.astype(np.uint16) if len(filled) <= 1 << 16 else doc, kind="stable")
     con.register("links", pa.table({"k": key}))
     pairs = con.execute("SELECT k, count(*) AS n FROM links GROUP BY k ORDER BY k").fetchnumpy()
     place = np.searchsorted(pairs["k"], key[order]).astype(np.uint32)

@@ -2,28 +2,89 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 from operator import add
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loftline.operators.joins import cut_points, range_of
-
 RATING_VALUES = {"yes": 2, "maybe": 1, "no": 0}
 #: Features that the learner turns round, as their scores are already inverted.
 TURNED = ("avg_risk_severity", "avg_crime_severity", "avg_school_distance", "drive_time")
 
 
-def preference_pairs(rated: DataFrame, pos: str, value: str, levels: Sequence[int] = (0, 1, 2)) -> DataFrame:
-    """Pairs i < j of different value: i, j, diff.
+#: Rated rows whose positions may be sent to every task; more of them are joined by level.
+MAX_SENT = 1 << 22
+
+
+class Unranking:
+    """Numbers all pairs i < j of different value, and makes any stretch of them.
+
+    Rows stand in the order of their positions.  Row r has a pair with each later row
+    of another value, so running counts of those tell which row a number belongs to,
+    and the rows that don't have its value, in order, hold the partner.
+    """
 
-    The condition becomes an equi-join: each row asks for each other level.
+    def __init__(self, pos: np.ndarray, value: np.ndarray) -> None:
+        order = np.argsort(pos, kind="stable")
+        self.pos, value = pos[order], value[order]
+        self.kinds, self.kind = np.unique(value, return_inverse=True)
+        self.others = [np.flatnonzero(self.kind != k) for k in range(len(self.kinds))]
+        # How many rows of another value stand before each row.
+        self.passed = np.empty(len(pos), np.int64)
+        for k, rows in enumerate(self.others):
+            own = np.flatnonzero(self.kind == k)
+            self.passed[own] = np.searchsorted(rows, own)
+        later = np.array([len(rows) for rows in self.others], np.int64)[self.kind] - self.passed if len(pos) else self.passed
+        self.upto = np.concatenate([[0], np.cumsum(later)])
+
+    @property
+    def total(self) -> int:
+        return int(self.upto[-1])
+
+    def pairs(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Both positions and the difference of the values of the pairs with these numbers."""
+        row = np.searchsorted(self.upto, numbers, "right") - 1
+        place = self.passed[row] + numbers - self.upto[row]
+        partner = np.empty(len(row), np.int64)
+        for k, rows in enumerate(self.others):
+            mine = self.kind[row] == k
+            partner[mine] = rows[place[mine]]
+        return self.pos[row], self.pos[partner], self.kinds[self.kind[row]] - self.kinds[self.kind[partner]]
+
+
+def preference_pairs(rated: DataFrame, pos: str, value: str, levels: Sequence[int] = (0, 1, 2), first: int = 0, stop: int | None = None) -> DataFrame:
+    """Pairs i < j of different value: i, j, diff; of all of them, those numbered from ``first`` up to ``stop``.
+
+    ``pos`` and ``value`` are whole numbers; a position occurs once.  Every task makes an
+    even stretch of the pairs by their numbers, from the positions and values of up to
+    ``MAX_SENT`` rows, which all tasks get.  Of more rows, whose pairs would fill a
+    petabyte, each row asks for each other level in an equi-join; these pairs have no numbers.
     """
-    a = rated.select(F.col(pos).alias("i"), F.col(value).alias("vi")).withColumn("want", F.explode(F.array(*[F.lit(v) for v in levels]))).where("want != vi")
-    b = rated.select(F.col(pos).alias("j"), F.col(value).alias("want"))
-    return a.join(b, "want").where("i < j").select("i", "j", (F.col("vi") - F.col("want")).alias("diff"))
+    own = rated.where(F.col(pos).isNotNull() & F.col(value).isin(list(levels))).select(F.col(pos).cast("long").alias("i"), F.col(value).cast("int").alias("v"))
+    held = own.limit(MAX_SENT + 1).toArrow()
+    if held.num_rows > MAX_SENT:
+        if first or stop is not None:
+            raise ValueError(f"pairs of more than {MAX_SENT} rows have no numbers")
+        a = own.withColumn("want", F.explode(F.array(*[F.lit(v) for v in levels]))).where("want != v")
+        b = own.select(F.col("i").alias("j"), F.col("v").alias("want"))
+        return a.join(b, "want").where("i < j").select("i", "j", (F.col("v") - F.col("want")).alias("diff"))
+    spark = rated.sparkSession
+    sent = spark.sparkContext.broadcast((held["i"].to_numpy(), held["v"].to_numpy()))
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Unranking(*sent.value)
+        for batch in batches:
+            i, j, diff = known.pairs(batch.column("id").to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(diff.astype(np.int32))], ["i", "j", "diff"])
+
+    total = Unranking(*sent.value).total
+    numbers = spark.range(min(first, total), total if stop is None else min(stop, total), 1, max(1, min(10_000, total >> 20)))
+    names = {f.name: f.dataType for f in rated.schema}
+    return numbers.mapInArrow(make, "i long, j long, diff int").select(F.col("i").cast(names[pos]).alias("i"), F.col("j").cast(names[pos]).alias("j"), "diff")
 
 
 def learner_score(weights: Mapping[str, float]) -> Column:
@@ -44,57 +105,96 @@ def hinge_loss(pairs: DataFrame, scores: DataFrame, pos: str, margin: float) ->
     return pairs.join(a, "i").join(b, "j").agg(F.coalesce(F.sum(each), F.lit(0.0)).alias("loss"), F.count("*").alias("n_pairs"))
 
 
-def _against_all(scores: DataFrame, value: str, margin: float, columns: Sequence[str], levels: Sequence[int]) -> DataFrame:
-    """Rows as marks, each with what the rows of another level hold against it; no pair is listed.
+#: Rows whose scores shape the ranges; they only decide how evenly tasks are loaded.
+SHAPE_ROWS = 2000
+_BINS = 4096
+
+
+class Ranges:
+    """Ranges of scores with about even numbers of rows, one set of them for each trial.
+
+    ``shapes`` holds some scores of each trial.  A score's fine bin is computed, and the
+    bin's range looked up, so a range's number never falls as the score rises.
+    """
+
+    def __init__(self, shapes: Sequence[np.ndarray], parts: int) -> None:
+        self.ends, self.maps = [], []
+        for scores in shapes:
+            low, high = (float(scores.min()), float(scores.max())) if len(scores) else (0.0, 1.0)
+            width = (high - low) / _BINS or 1.0
+            upto = np.searchsorted(np.sort(scores), low + width * np.arange(_BINS))
+            self.ends.append((low, width))
+            self.maps.append((upto * parts // max(1, len(scores))).tolist())
+
+    def of(self, score: Column, trial: Column) -> Column:
+        low, width = (F.element_at(F.lit([e[k] for e in self.ends]), trial + 1) for k in (0, 1))
+        bin_ = F.least(F.greatest(F.floor((score - low) / width), F.lit(0)), F.lit(_BINS - 1)).cast("int")
+        return F.element_at(F.element_at(F.lit(self.maps), trial + 1), bin_ + 1)
+
+
+def even_parts(df: DataFrame) -> int:
+    return min(2000, max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def _against_all(rows: DataFrame, value: str, margin: float, trials: Sequence[Column], ranges: Ranges, columns: Sequence[str], levels: Sequence[int]) -> DataFrame:
+    """Marks of rows, each with what the rows of another level hold against it; no pair is listed.
 
     A row of a higher level loses to those of a lower level, d levels down, whose score
-    is above its own less margin / d.  Its mark stands there, theirs at their score.
-    Out come ``step`` (d), ``at``, ``is_low``, the number ``n`` and sum ``s`` of low marks
-    from this one on, the number ``under`` of high marks below it, and ``columns``.  Running
-    sums tell all three, in ranges of the score, each continued from a row per range;
-    scores that are all alike make one range.
+    is above its own less margin / d.  Its mark stands there, theirs at their score; each
+    of ``trials`` is a score of its own.  Equal marks are summed before anything else, so
+    scores that are all alike are one row.  Out come ``trial``, ``step`` (d), ``at``,
+    ``is_low``, ``times`` (rows of the mark), the number ``n`` and sum ``s`` of low marks
+    above it, the number ``under`` of high marks below it, and the sums of ``columns``.
+    Running sums tell these, in ranges of the score, each continued from a row per range.
     """
-    marks = []
+    scored = rows.select(F.col(value).alias("_v"), *columns, F.posexplode(F.array(*trials)).alias("trial", "score"))
+    sides = []
     for high in levels:
         for low in levels:
             if high > low:
-                step, pair = float(high - low), F.lit(high * (max(levels) + 1) + low).alias("pair")
-                up = scores.where(F.col(value) == high).select(pair, F.lit(step).alias("step"), (F.col("score") - margin / step).alias("at"), F.lit(0).alias("is_low"), *columns)
-                down = scores.where(F.col(value) == low).select(pair, F.lit(step).alias("step"), F.col("score").alias("at"), F.lit(1).alias("is_low"), *columns)
-                marks += [up, down]
-    every = reduce(DataFrame.unionByName, marks)
-    every = every.withColumn("part", range_of(F.col("at"), cut_points(scores, "score")))
-    low_at, is_high = F.when(F.col("is_low") == 1, F.col("at")).otherwise(0.0), 1 - F.col("is_low")
-    totals = every.groupBy("pair", "part").agg(F.sum("is_low").alias("n"), F.sum(low_at).alias("s"), F.sum(is_high).alias("h"))
-    beyond = Window.partitionBy("pair").orderBy("part").rowsBetween(1, Window.unboundedFollowing)
-    upto = Window.partitionBy("pair").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+                pair, step = F.lit(high * (max(levels) + 1) + low).alias("pair"), float(high - low)
+                side = lambda at, is_low, pair=pair, step=step: F.struct(pair, F.lit(step).alias("step"), at.alias("at"), F.lit(is_low).alias("is_low"))
+                sides.append(F.when(F.col("_v") == high, side(F.col("score") - margin / step, 0)).when(F.col("_v") == low, side(F.col("score"), 1)))
+    marks = scored.select("trial", *columns, F.explode(F.array_compact(F.array(*sides))).alias("m"))
+    every = marks.groupBy("trial", "m.pair", "m.step", "m.at", "m.is_low").agg(F.count(F.lit(1)).alias("times"), *[F.sum(c).alias(c) for c in columns])
+    every = every.withColumn("part", ranges.of(F.col("at"), F.col("trial")))
+    low_n, high_n = F.col("is_low") * F.col("times"), (1 - F.col("is_low")) * F.col("times")
+    low_at = low_n * F.col("at")
+    group = ("trial", "pair")
+    totals = every.groupBy(*group, "part").agg(F.sum(low_n).alias("n"), F.sum(low_at).alias("s"), F.sum(high_n).alias("h"))
+    beyond = Window.partitionBy(*group).orderBy("part").rowsBetween(1, Window.unboundedFollowing)
+    upto = Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     carried = totals.select(
-        "pair", "part", F.coalesce(F.sum("n").over(beyond), F.lit(0)).alias("more_n"), F.coalesce(F.sum("s").over(beyond), F.lit(0.0)).alias("more_s"), F.sum("h").over(upto).alias("upto_h")
+        *group, "part", F.coalesce(F.sum("n").over(beyond), F.lit(0)).alias("more_n"), F.coalesce(F.sum("s").over(beyond), F.lit(0.0)).alias("more_s"), F.sum("h").over(upto).alias("upto_h")
     )
-    # Equal marks lose nothing to each other, so their order doesn't matter.
-    above = Window.partitionBy("pair", "part").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = every.withColumns({"n": F.sum("is_low").over(above), "s": F.sum(low_at).over(above), "h": F.sum(is_high).over(above)}).join(F.broadcast(carried), ["pair", "part"])
-    return run.select("step", "at", "is_low", (F.col("n") + F.col("more_n")).alias("n"), (F.col("s") + F.col("more_s")).alias("s"), (F.col("upto_h") - F.col("h")).alias("under"), *columns)
+    # Of equal marks the high one stands above: neither counts the other.
+    above = Window.partitionBy(*group, "part").orderBy(F.desc("at"), "is_low").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = every.withColumns({"n": F.sum(low_n).over(above), "s": F.sum(low_at).over(above), "h": F.sum(high_n).over(above)}).join(F.broadcast(carried), [*group, "part"])
+    return run.select("trial", "step", "at", "is_low", "times", (F.col("n") + F.col("more_n")).alias("n"), (F.col("s") + F.col("more_s")).alias("s"), (F.col("upto_h") - F.col("h")).alias("under"), *columns)
 
 
 def _loss() -> Column:
-    total = F.sum(F.when(F.col("is_low") == 0, F.col("step") * (F.col("s") - F.col("n") * F.col("at"))))
+    total = F.sum(F.when(F.col("is_low") == 0, F.col("times") * F.col("step") * (F.col("s") - F.col("n") * F.col("at"))))
     return F.coalesce(total, F.lit(0.0)).alias("loss")
 
 
 def summed_hinge(scores: DataFrame, value: str, margin: float, levels: Sequence[int] = (0, 1, 2)) -> DataFrame:
     """One row: ``loss``, the hinge loss over all pairs of different levels, and ``n_pairs``; no pair is listed.
 
-    ``scores`` has ``value`` and ``score``, and is read several times.
+    ``scores`` has ``value`` and ``score``, and is read twice.
     """
-    run = _against_all(scores, value, margin, [], levels)
+    shape = scores.select(F.col("score").cast("double")).where("score IS NOT NULL").limit(SHAPE_ROWS).toArrow()["score"].to_numpy()
+    run = _against_all(scores, value, margin, [F.col("score")], Ranges([shape], even_parts(scores)), [], levels)
     sizes = scores.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
     n_all = sizes.where(F.col("v").isin(list(levels))).agg(((F.pow(F.sum("n"), 2) - F.sum(F.col("n") * F.col("n"))) / 2).cast("long").alias("n_pairs"))
     return run.agg(_loss()).crossJoin(F.broadcast(n_all)).select("loss", F.coalesce("n_pairs", F.lit(0).cast("long")).alias("n_pairs"))
 
 
-def hinge_pulls(scores: DataFrame, value: str, margin: float, columns: Sequence[str], levels: Sequence[int] = (0, 1, 2)) -> DataFrame:
-    """One row: ``loss`` as in ``summed_hinge`` and, for each of ``columns``, its sum over rows times the loss's slope by their score."""
-    run = _against_all(scores, value, margin, columns, levels)
+def hinge_pulls(rows: DataFrame, value: str, margin: float, trials: Sequence[Column], ranges: Ranges, columns: Sequence[str], levels: Sequence[int] = (0, 1, 2)) -> DataFrame:
+    """A row for each of ``trials`` that has a pair: ``loss`` as in ``summed_hinge`` and, for each of ``columns``, its sum over rows times the loss's slope by their score.
+
+    All trials are computed in one pass over ``rows``.
+    """
+    run = _against_all(rows, value, margin, trials, ranges, columns, levels)
     slope = F.col("step") * F.when(F.col("is_low") == 0, -F.col("n")).otherwise(F.col("under"))
-    return run.agg(_loss(), *[F.coalesce(F.sum(slope * F.col(c)), F.lit(0.0)).alias(c) for c in columns])
+    return run.groupBy("trial").agg(_loss(), *[F.coalesce(F.sum(slope * F.col(c)), F.lit(0.0)).alias(c) for c in columns])

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 from operator import add
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from loftline.functions.scoring import scored
 from loftline.operators import filters
-from loftline.operators.pairs import RATING_VALUES, TURNED, hinge_pulls
+from loftline.operators.pairs import RATING_VALUES, SHAPE_ROWS, TURNED, Ranges, even_parts, hinge_pulls
 from loftline.plans.listings import listing_view
 from loftline.sources.lineage import stored
 from loftline.spec import DEFAULT_WEIGHTS, QuerySpec
@@ -50,15 +50,21 @@ class PairLoss:
         levels = sorted(RATING_VALUES.values())
         self.n_pairs = sum(sizes.get(a, 0) * sizes.get(b, 0) for a in levels for b in levels if b < a)
 
-    def pulls(self, w: np.ndarray) -> tuple[float, np.ndarray, float]:
-        """The summed loss, and the sums of the features and of 1 over rows times the slope by their score."""
+    def pulls(self, trials: Sequence[np.ndarray]) -> list[tuple[float, np.ndarray, float]]:
+        """For each trial the summed loss, and the sums of the features and of 1 over rows times the slope by their score."""
         raise NotImplementedError
 
+    def many(self, trials: Sequence[np.ndarray]) -> list[tuple[float, np.ndarray]]:
+        """Loss and subgradient at each of ``trials``, in one pass over the rows."""
+        out = []
+        for w, (loss, by_feature, by_one) in zip(trials, self.pulls(trials)):
+            slope = np.where(self.turned == (w > 0), 100.0 * by_one - by_feature, by_feature) * np.where(w < 0, -1.0, 1.0)
+            pull = self.p.l2 * self.n_pairs
+            out.append((loss + pull * float(((w - self.w0) ** 2).sum()), slope + 2 * pull * (w - self.w0)))
+        return out
+
     def __call__(self, w: np.ndarray) -> tuple[float, np.ndarray]:
-        loss, by_feature, by_one = self.pulls(w)
-        slope = np.where(self.turned == (w > 0), 100.0 * by_one - by_feature, by_feature) * np.where(w < 0, -1.0, 1.0)
-        pull = self.p.l2 * self.n_pairs
-        return loss + pull * float(((w - self.w0) ** 2).sum()), slope + 2 * pull * (w - self.w0)
+        return self.many([w])[0]
 
 
 class CollectedLoss(PairLoss):
@@ -68,7 +74,10 @@ class CollectedLoss(PairLoss):
         super().__init__(names, Counter(y.tolist()), w0, p)
         self.x, self.y = x, y
 
-    def pulls(self, w: np.ndarray) -> tuple[float, np.ndarray, float]:
+    def pulls(self, trials: Sequence[np.ndarray]) -> list[tuple[float, np.ndarray, float]]:
+        return [self._pull(w) for w in trials]
+
+    def _pull(self, w: np.ndarray) -> tuple[float, np.ndarray, float]:
         s = _scores(w, self.x, self.turned)
         coef, loss = np.zeros(len(s)), 0.0
         for a in range(3):
@@ -84,42 +93,98 @@ class CollectedLoss(PairLoss):
 
 
 class SpreadLoss(PairLoss):
-    """Of a table: every call is one aggregate over it, of which a row comes back.
+    """Of a table: every call is one aggregate over it, of which a row for each trial comes back.
 
-    ``rows`` has the features by name and ``level``; they are read at every call.
+    ``rows`` has the features by name and ``level``; they are read at every call.  Some of
+    them, kept in the driver, shape the ranges of the trials' scores.
     """
 
     def __init__(self, rows: DataFrame, names: list[str], w0: np.ndarray, p: LearnParams) -> None:
         super().__init__(names, {r["level"]: r["count"] for r in rows.groupBy("level").count().collect()}, w0, p)
-        self.rows = rows
-
-    def pulls(self, w: np.ndarray) -> tuple[float, np.ndarray, float]:
-        flip = self.turned == (w > 0)
-        terms = [((100.0 - F.col(n)) if f else F.col(n)) * float(abs(v)) for n, f, v in zip(self.names, flip, w)]
-        scores = self.rows.withColumns({"score": reduce(add, terms), "_one": F.lit(1.0)})
-        row = hinge_pulls(scores, "level", self.p.margin, [*self.names, "_one"]).first()
-        return row["loss"], np.array([row[n] for n in self.names]), row["_one"]
-
-
-def minimise(loss: PairLoss, w0: np.ndarray, rounds: int = 100) -> np.ndarray:
-    """Projected subgradient steps with backtracking; the best weights seen."""
-    w, (value, grad), step = w0.copy(), loss(w0), 1.0
-    for _ in range(rounds):
-        size = float(np.linalg.norm(grad))
+        self.rows = rows.withColumn("_one", F.lit(1.0))
+        self.shape = np.array([tuple(r) for r in rows.select(*names).limit(SHAPE_ROWS).collect()], float).reshape(-1, len(names))
+
+    def pulls(self, trials: Sequence[np.ndarray]) -> list[tuple[float, np.ndarray, float]]:
+        scores = []
+        for w in trials:
+            flip = self.turned == (w > 0)
+            scores.append(reduce(add, [((100.0 - F.col(n)) if f else F.col(n)) * float(abs(v)) for n, f, v in zip(self.names, flip, w)]))
+        ranges = Ranges([_scores(w, self.shape, self.turned) for w in trials], even_parts(self.rows))
+        found = {r["trial"]: r for r in hinge_pulls(self.rows, "level", self.p.margin, scores, ranges, [*self.names, "_one"]).collect()}
+        none = (0.0, np.zeros(len(self.names)), 0.0)
+        return [(found[k]["loss"], np.array([found[k][n] for n in self.names]), found[k]["_one"]) if k in found else none for k in range(len(trials))]
+
+
+class Curvature:
+    """The inverse of a loss's curvature, as told by its last few steps and changes of slope."""
+
+    def __init__(self, memory: int = 8) -> None:
+        self.memory, self.steps = memory, []
+
+    def add(self, step: np.ndarray, change: np.ndarray) -> None:
+        bend = float(step @ change)
+        if bend > 1e-10 * float(np.linalg.norm(step) * np.linalg.norm(change)):
+            self.steps = [*self.steps[1 - self.memory :], (step, change)]
+
+    def descent(self, slope: np.ndarray, free: np.ndarray) -> np.ndarray:
+        """The quasi-Newton step down ``slope`` among the free coordinates."""
+        q, used = np.where(free, slope, 0.0), []
+        steps = [(np.where(free, s, 0.0), np.where(free, y, 0.0)) for s, y in self.steps]
+        steps = [(s, y) for s, y in steps if s @ y > 0]
+        for s, y in reversed(steps):
+            used.append((s @ q) / (s @ y))
+            q = q - used[-1] * y
+        if steps:
+            s, y = steps[-1]
+            q = q * (s @ y) / (y @ y)
+        for (s, y), a in zip(steps, reversed(used)):
+            q = q + (a - (y @ q) / (s @ y)) * s
+        return -q
+
+
+#: Lengths of a step that are tried in one pass, and passes over the rows at most.
+LENGTHS = (3.0, 1.0, 0.4, 0.15, 0.05, 0.01)
+PASSES = 30
+
+
+def minimise(loss: PairLoss, w0: np.ndarray, low: float = -MAX_WEIGHT, high: float = MAX_WEIGHT, passes: int = PASSES, tolerance: float = 1e-6) -> np.ndarray:
+    """Least loss on a box by limited-memory curvature and projected steps; every pass over the rows tries several lengths.
+
+    Coordinates held at a bound by their slope don't move.  Where no length helps, the
+    curvature is forgotten for the plain slope, and then the lengths shrink.  It ends when
+    a step along the plain slope gains less than ``tolerance`` of the loss, or with the passes.
+    """
+    w = np.clip(w0, low, high)
+    [(value, slope)] = loss.many([w])
+    known, reach = Curvature(), 1.0
+    for _ in range(passes - 1):
+        free = ~((w <= low) & (slope > 0) | (w >= high) & (slope < 0))
+        plain = not known.steps
+        move = known.descent(slope, free)
+        if not plain and move @ slope >= 0:
+            known, plain, move = Curvature(), True, np.where(free, -slope, 0.0)
+        size = float(np.linalg.norm(move))
         if size < 1e-12:
             break
-        for _ in range(30):
-            new = np.clip(w - step * grad / size, -MAX_WEIGHT, MAX_WEIGHT)
-            new_value, new_grad = loss(new)
-            if new_value < value - 1e-9 * abs(value):
+        if plain:
+            move = move * (reach / size)
+        trials = [np.clip(w + t * move, low, high) for t in LENGTHS]
+        found = loss.many(trials)
+        best = min(range(len(trials)), key=lambda k: found[k][0])
+        gain = value - found[best][0]
+        if gain > 0:
+            known.add(trials[best] - w, found[best][1] - slope)
+            if plain:
+                reach *= LENGTHS[best]
+            w, (value, slope) = trials[best], found[best]
+        if gain <= tolerance * max(abs(value), 1.0):
+            if plain and gain > 0:
                 break
-            step /= 2
-        else:
-            break
-        done = value - new_value < 1e-6 * abs(value)
-        w, value, grad, step = new, new_value, new_grad, step * 2
-        if done:
-            break
+            if plain:
+                reach *= LENGTHS[-1]
+                if reach < 1e-9:
+                    break
+            known = Curvature()
     return w
 
 

@@ -38,7 +38,7 @@ from loftline.llm.tokens import _BYTE_CHARS, DEFAULT_TOKENIZER, _Seen, encode_bl
 PIECES = "piece_bpe_32k.model"
 #: Bytes of text in a block and of a stretch that DuckDB joins at a time.
 BLOCK_BYTES = 2 << 20
-STRETCH = 2 << 20
+STRETCH = 512 << 10
 _NO_ID = 0xFFFFFFFF
 _BLOCKS = "block long, doc_ids array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, sha array<string>, links binary, a array<int>, b array<int>, n array<long>"
 
@@ -229,7 +229,7 @@ def _blocks(docs: DataFrame, tokenizer: str, pieces: str) -> DataFrame:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId() << 32
-        with duckdb.connect(config={"threads": 1}) as con:
+        with duckdb.connect(config={"threads": 1, "allocator_flush_threshold": "1MB", "memory_limit": "1GB"}) as con:
             for seq, block in enumerate(text_blocks(batches, "text", BLOCK_BYTES)):
                 per_text, blob, pairs = _aligned_block(con, block["text"], tokenizer, pieces)
                 longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())

@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, SparkSession
 from loftline.functions import bins, html, scoring, text
 from loftline.operators import filters, joins, merge, pairs, ranks
 from loftline.plans import enrichment, learning, listings, tournament
-from loftline.sources.lineage import stored
 from loftline.sources.tables import table
 from loftline.spec import DEFAULT_WEIGHTS, QuerySpec, ScoringParams, normalised_weights
 
@@ -264,13 +263,13 @@ def distinct_statuses(spark: SparkSession, d: str) -> DataFrame:
 @register(f"WITH {TOTAL_SQL} SELECT zpid, row_number() OVER (ORDER BY floor(total_score * 1000e0) DESC NULLS LAST, zpid) AS pos FROM totals")
 def rank_score(spark: SparkSession, d: str) -> DataFrame:
     df = _scored(spark, d).select("zpid", (-F.floor(F.col("total_score") * 1000.0)).alias("_s"))
-    return ranks.ordinal(stored(df), "_s", ["zpid"], "pos").select("zpid", F.col("pos").cast("long").alias("pos"))
+    return ranks.ordinal(df, "_s", ["zpid"], "pos").select("zpid", F.col("pos").cast("long").alias("pos"))
 
 
 @register(f"WITH {TOTAL_SQL} SELECT zpid, row_number() OVER (ORDER BY ai_rank ASC NULLS LAST, floor(total_score * 1000e0) DESC NULLS LAST, zpid) AS pos FROM totals")
 def rank_ai(spark: SparkSession, d: str) -> DataFrame:
     df = _scored(spark, d).select("zpid", "ai_rank", (-F.floor(F.col("total_score") * 1000.0)).alias("_s"))
-    return ranks.ordinal(stored(df), "ai_rank", ["zpid"], "pos", second="_s").select("zpid", F.col("pos").cast("long").alias("pos"))
+    return ranks.ordinal(df, "ai_rank", ["zpid"], "pos", second="_s").select("zpid", F.col("pos").cast("long").alias("pos"))
 
 
 _QUICK = " + ".join(

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loftline.functions.quantiles import exact_quantiles
-from loftline.operators.joins import asof, cut_points, range_of
+from loftline.operators.joins import asof
 from loftline.sources.lineage import stored
 
 #: What the quick cut weighs.
@@ -27,26 +27,19 @@ def by_ai_rank(df: DataFrame, key: str = "zpid") -> DataFrame:
     return df.orderBy(F.asc_nulls_last("ai_rank"), F.desc_nulls_last("total_score"), key)
 
 
-def ordinal(df: DataFrame, lead: str, then: Sequence[Column | str], name: str, cuts: Sequence[float] | None = None, second: str | None = None) -> DataFrame:
-    """Number rows from 1 by ``lead`` (a number, ascending, nulls last), ``second`` (likewise, if given) and ``then``.
+def ordinal(df: DataFrame, lead: str, then: Sequence[Column | str], name: str, second: str | None = None) -> DataFrame:
+    """Number rows from 1 by ``lead`` (ascending, nulls last), ``second`` (likewise, if given) and ``then``.
 
-    Rows are ranked in ranges of ``lead`` and each range starts after those before
-    it; only a row per range meets in one place.  A range of one value of ``lead``, or
-    of nulls, is cut further by ``second``.  ``df`` is read several times: it should be
-    a stored table where it is costly.
+    Rows are exchanged once, into ranges of the whole order, sorted and counted off within
+    each, and written.  A range starts after those before it; only a row per range meets
+    in one place.  Ties and nulls of ``lead`` are dealt to many ranges by what follows.
     """
-    cuts = cut_points(df, lead) if cuts is None else cuts
-    parted = df.withColumn("_part", range_of(F.col(lead), cuts)).withColumn("_sub", F.lit(0))
-    if second:
-        spans = parted.groupBy("_part").agg(F.min(lead).alias("lo"), F.max(lead).alias("hi"), F.count(lead).alias("n"), F.count("*").alias("rows"))
-        even = [r["_part"] for r in spans.collect() if r["n"] == 0 or r["n"] == r["rows"] and r["lo"] == r["hi"]]
-        parted = parted.withColumn("_sub", F.when(F.col("_part").isin(even), range_of(F.col(second), cut_points(df, second))).otherwise(0)) if even else parted
-    sizes = parted.groupBy("_part", "_sub").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_part", "_sub").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_part", "_sub", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     order = [F.asc_nulls_last(lead), *([F.asc_nulls_last(second)] if second else []), *then]
-    local = F.row_number().over(Window.partitionBy("_part", "_sub").orderBy(*order))
-    return parted.join(F.broadcast(starts), ["_part", "_sub"]).withColumn(name, (F.col("_base") + local).cast("int")).drop("_part", "_sub", "_base")
+    counted = df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_at"))
+    held = stored(counted)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = held.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    return held.join(F.broadcast(starts), "_part").withColumn(name, (F.col("_base") + F.col("_at") + 1).cast("int")).drop("_part", "_at", "_base")
 
 
 def hash_order(key: str, seed: str) -> Column:
@@ -54,13 +47,9 @@ def hash_order(key: str, seed: str) -> Column:
     return F.md5(F.concat(F.col(key).cast("string"), F.lit(seed)))
 
 
-def _hash_number(key: str, seed: str) -> Column:
-    return F.conv(F.substring(hash_order(key, seed), 1, 8), 16, 10).cast("long")
-
-
 def shuffled(df: DataFrame, key: str, seed: str, name: str = "pos") -> DataFrame:
     """Number rows from 1 in hash order."""
-    return ordinal(df.withColumn("_h", _hash_number(key, seed)), "_h", [hash_order(key, seed), key], name).drop("_h")
+    return ordinal(df.withColumn("_h", hash_order(key, seed)), "_h", [key], name).drop("_h")
 
 
 def batches(df: DataFrame, size: int, pos: str = "pos", name: str = "batch") -> DataFrame:
@@ -98,9 +87,7 @@ def judge(df: DataFrame, oracle: Callable[[pd.DataFrame], Sequence[int]], key: s
 
 def tier_ranks(df: DataFrame, seed: str, key: str = "zpid", name: str = "rank") -> DataFrame:
     """Global ranks 1..N: first of all batches, then second, ...; hash order within a tier."""
-    # The tier and the first 32 bits of the hash in one number, so that a tier is dealt to many ranges.
-    tiered = df.withColumn("_tier", F.col("batch_rank") * F.lit(1 << 32) + _hash_number(key, seed))
-    return ordinal(tiered, "_tier", [hash_order(key, seed), key], name).drop("_tier")
+    return ordinal(df, "batch_rank", [hash_order(key, seed), key], name)
 
 
 def quick_score(low: Column, high: Column) -> Column:
@@ -118,7 +105,6 @@ def quick_cut(df: DataFrame) -> DataFrame:
     """Drop the bottom third by quick score; three rows or fewer all stay."""
     ends = df.agg(F.min(F.col("price").cast("double")).alias("_lo"), F.max(F.col("price").cast("double")).alias("_hi"), F.count("*").alias("_n"))
     rated = df.crossJoin(F.broadcast(ends)).withColumn("quick_score", quick_score(F.col("_lo"), F.col("_hi"))).withColumn("quick_score", F.coalesce("quick_score", F.lit(0.0)))
-    rated = stored(rated)
     [cut] = exact_quantiles(rated, F.col("quick_score"), [1.0 / 3.0])
     return rated.where((F.col("_n") <= 3) | (F.col("quick_score") >= F.lit(cut))).drop("_lo", "_hi", "_n")
 

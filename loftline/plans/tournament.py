@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loftline.operators import ranks
 from loftline.sources.lineage import stored
 
+#: Adds ``batch_rank`` to rows with a ``batch``; all else stays.
 Judge = Callable[[DataFrame], DataFrame]
 
 
@@ -23,21 +24,16 @@ def tournament(df: DataFrame, judge: Judge, batch_size: int = 30, passes: int =
     Every row is ranked in every pass; the final order is by the sum of ranks, ties
     in hash order.
     """
-    n = df.count()
-    n_batches = max(1, -(-n // batch_size))
-    rows = stored(ranks.shuffled(df, "zpid", seed, "start"))
-    done = None
+    rows = ranks.shuffled(df, "zpid", seed, "start").withColumn("sum_rank", F.lit(0).cast("long"))
+    n_batches = max(1, -(-rows.count() // batch_size))
     for k in range(passes):
-        if done is None:
-            seated = ranks.batches(rows.withColumn("pos", F.col("start")), batch_size)
+        if k:
+            seated = ranks.round_robin(ranks.ordinal(rows, "sum_rank", ["start"], "pos"), n_batches)
         else:
-            seeded = stored(ranks.ordinal(rows.join(done, "zpid"), "sum_rank", ["start"], "pos"))
-            seated = ranks.round_robin(seeded.drop("sum_rank"), n_batches)
-        ranked = ranks.tier_ranks(judge(seated), f"{seed}{k + 1}").select("zpid", "rank")
-        both = ranked if done is None else ranked.unionByName(done.select("zpid", F.col("sum_rank").alias("rank")))
-        done = stored(both.groupBy("zpid").agg(F.sum("rank").alias("sum_rank")))
-    final = rows.select("zpid", "start").join(done, "zpid")
-    return ranks.ordinal(final, "sum_rank", ["start"], "rank").select("zpid", "rank")
+            seated = ranks.batches(rows.withColumn("pos", F.col("start")), batch_size)
+        ranked = ranks.tier_ranks(judge(seated), f"{seed}{k + 1}")
+        rows = ranked.select(*df.columns, "start", (F.col("sum_rank") + F.col("rank")).alias("sum_rank"))
+    return ranks.ordinal(rows.select("zpid", "start", "sum_rank"), "sum_rank", ["start"], "rank").select("zpid", "rank")
 
 
 def incremental(ranked: DataFrame, new: DataFrame, judge: Judge, attributes: DataFrame, n_refs: int = 30, batch_size: int = 30, passes: int = 2, seed: str = "s") -> DataFrame:

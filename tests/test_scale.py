@@ -24,6 +24,32 @@ def test_exact_quantiles(spark, small, monkeypatch):
     assert quantiles.exact_quantiles(spark.createDataFrame([], "x double"), F.col("x"), [0.5]) == [None]
 
 
+def test_quantiles_take_two_passes_whatever_their_number(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "_placed", None)
+    df = spark.range(30_000).select((F.col("id") * 7919 % 30_011).cast("double").alias("x"))
+    want = np.quantile([k * 7919 % 30_011 for k in range(30_000)], np.linspace(0, 1, 41))
+    assert quantiles.exact_quantiles(df, F.col("x"), np.linspace(0, 1, 41).tolist()) == pytest.approx(want.tolist(), abs=1e-9)
+    # A half of all values alike, infinities, and values that aren't numbers.
+    odd = spark.createDataFrame([(v,) for v in [0.0] * 500 + [float("-inf")] * 3 + list(map(float, range(1, 490))) + [float("inf")] * 2 + [None] * 9], "x double")
+    assert quantiles.exact_quantiles(odd, F.col("x"), [0.1, 0.502, 0.503, 0.6]) == pytest.approx([0.0, 0.0, 0.0, 93.8], abs=0.5)
+
+
+def test_not_a_number_is_the_greatest(spark):
+    df = spark.createDataFrame([(v,) for v in [1.0, 2.0, 3.0, float("nan")]], "x double")
+    low, high = quantiles.exact_quantiles(df, F.col("x"), [1 / 3, 1.0])
+    assert low == 2.0 and high != high
+    assert all(q != q for q in quantiles.exact_quantiles(df.where("isnan(x)"), F.col("x"), [0.0, 1.0]))
+
+
+def test_ordinal_exchanges_rows_once(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(ranks, "stored", lambda df: kept.append(df) or df)
+    df = spark.range(5000).select("id", (F.col("id") % 3).alias("a"))
+    ranks.ordinal(df, "a", ["id"], "pos")
+    plan = kept[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange rangepartitioning") == 1 and plan.count("Exchange") == 1 and "CASE" not in plan
+
+
 def test_ordinal_cuts_ties_and_nulls_by_the_second_key(spark):
     rng = random.Random(2)
     rows = [(i, rng.choice([1, 1, 1, 2, None, None]), rng.choice([None, *map(float, range(50))])) for i in range(600)]

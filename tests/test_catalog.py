@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from loftline import catalog, catalog_more  # noqa: F401
+from loftline import catalog, catalog_more, catalog_tables  # noqa: F401
 
 D = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(D), reason="no test tables here")

@@ -37,8 +37,10 @@ from loftline.llm.tokens import _BYTE_CHARS, DEFAULT_TOKENIZER, _Seen, encode_bl
 
 PIECES = "piece_bpe_32k.model"
 #: Bytes of text in a block and of a stretch that DuckDB joins at a time.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 STRETCH = 512 << 10
+#: Pieces of text whose ids a worker remembers for each tokenizer.
+REMEMBER = 1 << 18
 _NO_ID = 0xFFFFFFFF
 _BLOCKS = "block long, doc_ids array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, sha array<string>, links binary, a array<int>, b array<int>, n array<long>"
 
@@ -104,7 +106,7 @@ def encode_pieces(buf: np.ndarray, offs: np.ndarray, pieces: str = PIECES) -> tu
     begins[offs[:-1]] = True
     starts = np.flatnonzero(begins)
     ends = np.append(starts[1:], len(buf))
-    seen = _Seen.by_name.setdefault((pieces, False), _Seen())
+    seen = _Seen.by_name.setdefault((pieces, False), _Seen(REMEMBER))
     every, at, count, which = pieces_encoded(buf, starts, ends, seen, _pieces_encoder(pieces))
     upto = np.concatenate([[0], np.cumsum(count[which])])
     return ragged(every, at[which], count[which]), upto[np.searchsorted(starts, offs)]
@@ -186,7 +188,7 @@ def _aligned_block(con, texts: pa.ChunkedArray, tokenizer: str, pieces: str) ->
     filled = np.flatnonzero(np.diff(offs))
     spaced = np.insert(buf, offs[filled], 0x20)
     spaced_offs = np.concatenate([[0], np.cumsum(np.diff(offs)[filled] + 1)])
-    ids_a, rows_a = encode_block(spaced, spaced_offs, _NO_ID, tokenizer, special=False)
+    ids_a, rows_a = encode_block(spaced, spaced_offs, _NO_ID, tokenizer, special=False, remember=REMEMBER)
     ids_a, rows_a = ids_a[ids_a != _NO_ID], rows_a - np.arange(len(rows_a))
     ids_b, rows_b = encode_pieces(spaced, spaced_offs, pieces)
     table_a, table_b = _byte_table(tokenizer), _piece_model(pieces)[1:]

@@ -135,12 +135,13 @@ def _encode_pieces(pieces: list[str], name: str, special: bool = True) -> tuple[
 
 
 class _Seen:
-    """Ids of up to ``LIMIT`` pieces that this worker met before, by hash."""
+    """Ids of up to ``limit`` pieces that this worker met before, by hash."""
 
     LIMIT = 1 << 20
     by_name: dict[tuple, _Seen] = {}
 
-    def __init__(self) -> None:
+    def __init__(self, limit: int = LIMIT) -> None:
+        self.limit = limit
         self.hashes, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
         self.at = self.count = np.zeros(0, np.int64)
 
@@ -151,7 +152,7 @@ class _Seen:
         return where, self.hashes[where] == hashes
 
     def add(self, hashes: np.ndarray, ids: np.ndarray, at: np.ndarray, count: np.ndarray) -> None:
-        if len(self.hashes) + len(hashes) > self.LIMIT:
+        if len(self.hashes) + len(hashes) > self.limit:
             return
         every = np.concatenate([self.hashes, hashes])
         order = np.argsort(every, kind="stable")
@@ -191,7 +192,7 @@ def pieces_encoded(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seen:
     return every, at, count, which
 
 
-def encode_block(buf: np.ndarray, offs: np.ndarray, end_id: int, name: str = DEFAULT_TOKENIZER, special: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def encode_block(buf: np.ndarray, offs: np.ndarray, end_id: int, name: str = DEFAULT_TOKENIZER, special: bool = True, remember: int = _Seen.LIMIT) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts end to end, each followed by ``end_id``, and each text's offset."""
     raw = memoryview(buf.tobytes() if not buf.flags.c_contiguous else buf)
     added, past = added_tokens(raw, offs, load(name, special)[3])
@@ -202,7 +203,7 @@ def encode_block(buf: np.ndarray, offs: np.ndarray, end_id: int, name: str = DEF
     else:
         starts = piece_starts(buf, offs)
     ends = np.append(starts[1:], len(buf)) if len(starts) else starts
-    seen = _Seen.by_name.setdefault((name, special), _Seen())
+    seen = _Seen.by_name.setdefault((name, special), _Seen(remember))
     every, at, count, which = pieces_encoded(buf, starts, ends, seen, lambda pieces: _encode_pieces(pieces, name, special))
     every = np.append(every, np.uint32(end_id))
     at, count = np.append(at, len(every) - 1), np.append(count, 1)

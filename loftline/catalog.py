@@ -444,7 +444,19 @@ def tournament_rank(spark: SparkSession, d: str) -> DataFrame:
     return tournament.tournament(_items(spark, d), tournament.score_judge("score"))
 
 
-@register()
+_FIELD_PASS = lambda k, deal: f"""s{k} AS (SELECT *, row_number() OVER (ORDER BY {'sum_rank, start' if k > 1 else 'start'}) AS pos FROM q{k}),
+j{k} AS (SELECT *, row_number() OVER (PARTITION BY {deal} ORDER BY score DESC NULLS LAST, zpid) AS br FROM s{k}),
+q{k + 1} AS (SELECT zpid, score, start, sum_rank + row_number() OVER (ORDER BY br, md5(zpid || 's{k}'), zpid) AS sum_rank FROM j{k})"""
+
+
+@register(f"""WITH {_ITEMS}, kept AS (SELECT zpid, row_number() OVER (ORDER BY score DESC NULLS LAST, zpid) AS rank FROM items WHERE zpid % 5 <> 0), fresh AS (SELECT zpid FROM items WHERE zpid % 5 = 0),
+refs AS (SELECT zpid, rank FROM kept WHERE (SELECT count(*) FROM kept) <= 30 OR rank - 1 IN (SELECT cast(floor(k * n / 30e0) as bigint) FROM (SELECT unnest(range(30)) AS k) CROSS JOIN (SELECT count(*) AS n FROM kept))),
+q1 AS (SELECT zpid, score, row_number() OVER (ORDER BY md5(zpid || 's'), zpid) AS start, 0 AS sum_rank FROM items WHERE zpid IN (SELECT zpid FROM refs UNION ALL SELECT zpid FROM fresh)),
+{_FIELD_PASS(1, "cast(floor((pos - 1) / 30e0) as int)")}, {_FIELD_PASS(2, "(pos - 1) % (SELECT ceil(count(*) / 30e0)::bigint FROM q1)")},
+minis AS (SELECT zpid, row_number() OVER (ORDER BY sum_rank, start) AS mini FROM q3), marks AS (SELECT mini, rank FROM minis JOIN refs USING (zpid)),
+x AS (SELECT n.zpid, n.mini, b.mini AS bm, b.rank AS bg, a.mini AS am, a.rank AS ag FROM (SELECT * FROM minis WHERE zpid IN (SELECT zpid FROM fresh)) n ASOF LEFT JOIN marks b ON n.mini >= b.mini ASOF LEFT JOIN marks a ON n.mini < a.mini),
+put AS (SELECT zpid, case when bm IS NULL then greatest(1, ag - 1) when am IS NULL then bg + 1 else greatest(1, cast(round_even(bg + (mini - bm) / cast(am - bm as double) * (ag - bg), 0) as int)) end AS rank, 1 AS is_new FROM x)
+SELECT zpid, cast(row_number() OVER (ORDER BY rank, is_new, zpid) as int) AS rank FROM (SELECT zpid, rank, 0 AS is_new FROM kept UNION ALL SELECT zpid, rank, is_new FROM put)""")
 def incremental_rank(spark: SparkSession, d: str) -> DataFrame:
     items = _items(spark, d)
     ranked = ranks.ordinal(items.where("zpid % 5 <> 0").withColumn("_s", -F.col("score")), "_s", ["zpid"], "rank").select("zpid", "rank")
@@ -573,10 +585,57 @@ def number_formats(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", text.shown_number(F.round(F.col("p_retailprice") * 1000, 0)).alias("shown"), F.col("p_size").cast("string").alias("size"))
 
 
-@register()
+#: Texts of a listing that the driver's tables don't have; the same in both engines.
+_SAID = {
+    "full_address": "case when zpid % 5 > 0 then concat('1 A St, Bend, OR ', zpid) when zpid % 2 = 0 then '' end",
+    "financing_eligibility_explanation": "case when zpid % 3 > 0 then concat('no well ', zpid) end",
+    "view_type": "case when zpid % 4 > 0 then 'hills' end",
+    "negative_features_list": "case zpid % 3 when 0 then 'None identified' when 1 then 'road noise; slope' end",
+    "positive_features_list": "case zpid % 3 when 1 then 'Standard features only' when 2 then 'barn' end",
+    "grocery_name": "case zpid % 3 when 0 then 'Safeway' when 1 then '' end",
+    "general_assessment": "case when zpid % 7 > 0 then concat('Listing ', zpid, ' is sound.') end",
+}
+
+
+def _list_sql(pairs: dict[str, str]) -> str:
+    return "concat_ws(', ', " + ", ".join(f"'{label}=' || {c}" for c, label in pairs.items()) + ")"
+
+
+def _line_sql(label: str, value: str) -> str:
+    return f"'{label}' || nullif({value}, '')"
+
+
+_TRUTH = lambda c: f"case when {c} then 'True' when not {c} then 'False' end"
+_SCHOOLS_SQL = ", ".join(
+    f"case when {s}_school_rating IS NOT NULL OR {s}_school_distance_miles IS NOT NULL then concat_ws(' ', '{s.capitalize()}:', 'rating=' || {s}_school_rating, format('dist={{:.1f}}mi', floor({s}_school_distance_miles * 10 + 0.5) / 10)) end" for s in scoring.SCHOOLS
+)
+_SUMMARY_LINES = [
+    "'ZPID: ' || zpid",
+    _line_sql("Address: ", "full_address"),
+    "'Price: ' || coalesce('$' || format('{:,}', cast(round_even(price, 0) as bigint)), 'N/A')",
+    "'Beds: ' || coalesce(cast(beds as varchar), '?') || ' | Baths: ' || coalesce(cast(baths as varchar), '?')",
+    "case when home_size_sqft <> 0 then 'Home size: ' || format('{:,}', home_size_sqft) || ' sqft' end",
+    "case when lot_size_acres <> 0 then format('Lot: {:.1f} acres', lot_size_acres) end",
+    _line_sql("Financing eligible: ", _TRUTH("financing_eligibility")),
+    "case when not financing_eligibility then " + _line_sql("  Reason: ", "financing_eligibility_explanation") + " end",
+    _line_sql("Quality: ", _list_sql({"kitchen_quality": "Kitchen", "bathroom_quality": "Bathroom", "general_interior_quality": "Interior", "general_exterior_quality": "Exterior", "house_style": "Style"})),
+    _line_sql("Characteristics: ", _list_sql({"privacy_level": "Privacy", "road_exposure": "Road exposure", "view_rating": "View", "view_type": "View type", "land_usability": "Land usability", "waterfront_quality": "Waterfront", "vegetation_density": "Vegetation"})),
+    _line_sql("Dedicated office: ", _TRUTH("dedicated_office")),
+    "'Negative features severity: ' || negative_features_severity || '/5'",
+    "case when negative_features_list <> 'None identified' then " + _line_sql("  Negatives: ", "negative_features_list") + " end",
+    "'Positive features score: ' || positive_features_score || '/5'",
+    "case when positive_features_list <> 'Standard features only' then " + _line_sql("  Positives: ", "positive_features_list") + " end",
+    _line_sql("Climate risks (1-10): ", _list_sql({r: r.split("_")[0].capitalize() for r in scoring.RISKS})),
+    _line_sql("Schools: ", f"concat_ws(', ', {_SCHOOLS_SQL})"),
+    _line_sql("Crime per 100k: ", "concat_ws(' ', format('violent={:.0f}', round_even(violent_100k, 0)), format('property={:.0f}', round_even(property_100k, 0)))"),
+    "case when coalesce(grocery_name, '') <> '' then 'Grocery: ' || grocery_name || ' (' || drive_time || ' min drive)' else 'Grocery drive time: ' || drive_time || ' min' end",
+    _line_sql("Assessment: ", "general_assessment"),
+]
+
+
+@register(f"WITH {BASE_SQL}, told AS (SELECT *, {', '.join(f'{e} AS {n}' for n, e in _SAID.items())} FROM base) SELECT zpid, concat_ws(chr(10), {', '.join(_SUMMARY_LINES)}) AS summary FROM told")
 def listing_summaries(spark: SparkSession, d: str) -> DataFrame:
-    blank = {c: F.lit(None).cast("string") for c in ("full_address", "financing_eligibility_explanation", "view_type", "negative_features_list", "positive_features_list", "grocery_name", "general_assessment")}
-    return _base(spark, d).withColumns(blank).select("zpid", text.listing_summary().alias("summary"))
+    return _base(spark, d).withColumns({n: F.expr(e) for n, e in _SAID.items()}).select("zpid", text.listing_summary().alias("summary"))
 
 
 # --- bins ------------------------------------------------------------------------------------
@@ -677,17 +736,35 @@ def rank_sums(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(b).groupBy("zpid").agg(F.sum("rank").alias("rank_sum"))
 
 
-@register()
-def learn_weights(spark: SparkSession, d: str) -> DataFrame:
-    """Weights learned from the suppliers' ratings; checked by properties, not by SQL."""
+def _learned(spark: SparkSession, d: str) -> tuple[dict[str, float], dict[str, object]]:
     s = table(spark, d, "supplier")
     k = F.col("s_suppkey")
     scored = s.select(k.alias("zpid"), ((F.col("s_acctbal") + 1000) / 110.0).alias("price_score"), (F.col("s_nationkey") * 4.0).alias("beds_score"), (k % 50 * 2).cast("double").alias("drive_time_score"))
     rated = s.select(k.alias("zpid"), F.when(F.col("s_acctbal") > 6000, "yes").when(F.col("s_acctbal") > 2000, "maybe").otherwise("no").alias("rating"))
-    weights, _ = learning.learned_weights(scored, rated)
+    return learning.learned_weights(scored, rated)
+
+
+@register()
+def learn_weights(spark: SparkSession, d: str) -> DataFrame:
+    """Weights learned from the suppliers' ratings; checked by properties, not by SQL."""
+    weights, _ = _learned(spark, d)
     return spark.createDataFrame(sorted((k, float(w)) for k, w in weights.items()), "feature string, weight double")
 
 
+_OWN_SCORES = "learnt AS (SELECT s_suppkey AS zpid, (s_acctbal + 1000) / 110e0 AS price, s_nationkey * 4e0 AS beds, cast(s_suppkey % 50 * 2 as double) AS drive, case when s_acctbal > 6000 then 2 when s_acctbal > 2000 then 1 else 0 end AS v FROM supplier)"
+
+
+@register(
+    f"WITH {_OWN_SCORES}, s AS (SELECT v, price * {float(DEFAULT_WEIGHTS['price'])!r}e0 + beds * {float(DEFAULT_WEIGHTS['beds'])!r}e0 + (100e0 - drive) * {float(DEFAULT_WEIGHTS['drive_time'])!r}e0 AS s FROM learnt)"
+    " SELECT count(*) AS n_pairs, (SELECT count(*) FROM learnt) AS n_rated, round(sum(greatest(0e0, 1.12e0 - (a.v - b.v) * (a.s - b.s))), 4) AS loss_before, true AS lower, true AS held FROM s a JOIN s b ON a.v > b.v"
+)
+def learn_report(spark: SparkSession, d: str) -> DataFrame:
+    """What learning from the suppliers' ratings starts from, and that it lowers the loss within the box."""
+    weights, told = _learned(spark, d)
+    row = (told["n_pairs"], told["n_rated"], round(told["loss_before"], 4), told["loss_after"] < told["loss_before"], all(abs(w) <= learning.MAX_WEIGHT for w in weights.values()))
+    return spark.createDataFrame([row], "n_pairs long, n_rated long, loss_before double, lower boolean, held boolean")
+
+
 @register(f"WITH {TOTAL_SQL}, ends AS (SELECT min({COMPOSITE_SQL['avg_crime_severity_raw']}) AS lo, max({COMPOSITE_SQL['avg_crime_severity_raw']}) AS hi FROM totals WHERE financing_eligibility), x AS (SELECT *, {COMPOSITE_SQL['avg_crime_severity_raw']} AS raw FROM totals WHERE financing_eligibility) SELECT zpid, rating, status, round(total_score, 6) AS total_score, cast(case when raw IS NULL then NULL else 4 - least(4, floor((raw - lo) / (hi - lo) * 5e0)) end as int) AS crime_icon_level FROM x CROSS JOIN ends WHERE rating IN ('yes', 'maybe', '') AND status = 'Active' AND (rating <> '' OR total_score >= 40)")
 def listing_view(spark: SparkSession, d: str) -> DataFrame:
     """The whole view: scores, filters, display and threshold in their order."""

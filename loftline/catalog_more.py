@@ -6,6 +6,8 @@ which reads as a Column here and as SQL there.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,15 +84,23 @@ _JSON: Parts = [
     ',\\"latitude\\":', ("c_nationkey",), '.25,\\"address\\":{\\"zipcode\\":\\"97', ("c_custkey % 900 + 100",), '\\",\\"county\\":\\"Lane\\"},\\"lotSize\\":', ("c_custkey * 100",), '}}}"}}}</script>',
 ]
 _PILL: Parts = ['<div class="x GalleryStatus__y"><b>  Pending ', ("c_nationkey",), "</b></div></html>"]
-_HAS_JSON = "c_nationkey < 20"
-_PAGE_SQL = f"pages_ AS (SELECT c_custkey AS page, {_sql(_DESCRIPTION)} || case when {_HAS_JSON} then {_sql(_JSON)} else '' end || {_sql(_PILL)} AS html FROM customer)"
+#: The property is the second entry and in another order, its days aren't a number, and there are fields that nobody asks for.
+_JSON_ODD: Parts = [
+    '<script id="__NEXT_DATA__" type="application/json">{"more":[1],"props":{"pageProps":{"gdpClientCache":"{\\"j\\":7,\\"i\\":{\\"property\\":null},\\"k\\":{\\"property\\":{\\"lotSize\\":', ("c_custkey * 100",), ',\\"daysOnZillow\\":\\"soon\\",\\"address\\":{\\"county\\":\\"Lane\\",\\"x\\":[],\\"zipcode\\":\\"97',
+    ("c_custkey % 900 + 100",), '\\"},\\"homeStatus\\":\\"SOLD\\",\\"latitude\\":', ("c_nationkey",), '.25,\\"homeType\\":\\"HOUSE\\",\\"zpid\\":', ("c_custkey",), '}}}"}}}</script>',
+]
+#: Cut off.
+_JSON_BAD: Parts = ['<script id="__NEXT_DATA__" type="application/json">{"props":{"pageProps":{"gdpClientCache":"{\\"k\\":{\\"property\\":{\\"zpid\\":', ("c_custkey",), "</script>"]
+_JSONS = {"c_nationkey < 16": _JSON, "c_nationkey < 20": _JSON_ODD, "c_nationkey < 22": _JSON_BAD}
+_PAGE_SQL = f"pages_ AS (SELECT c_custkey AS page, {_sql(_DESCRIPTION)} || case {' '.join(f'when {c} then {_sql(p)}' for c, p in _JSONS.items())} else '' end || {_sql(_PILL)} AS html FROM customer)"
 
 
 def _found(pattern: str, group: int = 1) -> str:
     return "nullif(regexp_extract(html, '" + pattern.replace("'", "''") + f"', {group}), '')"
 
 
-_CACHE = "json_extract_string(" + _found('<script id="__NEXT_DATA__" type="application/json">(.+?)</script>') + ", '$.props.pageProps.gdpClientCache')"
+_SCRIPT = _found('<script id="__NEXT_DATA__" type="application/json">(.+?)</script>')
+_CACHE = f"json_extract_string(case when json_valid({_SCRIPT}) then {_SCRIPT} end, '$.props.pageProps.gdpClientCache')"
 _OF = lambda path: f"json_extract_string({_CACHE}, '$.k.property.{path}')"
 
 
@@ -98,11 +108,12 @@ _OF = lambda path: f"json_extract_string({_CACHE}, '$.k.property.{path}')"  # no
     f"WITH {_PAGE_SQL} SELECT page, {_found('content=.([^>]+).>')} AS description, cast({_found(r'has (\d+) photos')} as int) AS photo_count, cast(replace({_found(r'\$(\d+(?:,\d+)*)')}, ',', '') as int) AS price,"
     f" cast({_found(r'(\d+) beds?')} as int) AS beds, cast({_found(r'beds?, (\d+\.\d+) baths')} as double) AS baths, cast(replace({_found(r'(\d+(?:,\d+)*) square feet')}, ',', '') as int) AS home_size_sqft,"
     f" nullif(regexp_extract({_found('content="([^"]+)"')}, 'located at (.+),', 1), '') AS before_last_comma, cast({_found(r'built in (\d+)')} as int) AS year_built, cast({_OF('zpid')} as bigint) AS zpid, {_OF('homeType')} AS home_type,"
-    f" coalesce(trim({_OF('homeStatus')}), trim({_found('<b>([^<]+)</b>')})) AS status, cast({_OF('daysOnZillow')} as int) AS days_listed, cast({_OF('latitude')} as double) AS latitude, {_OF('address.zipcode')} AS zip_code, {_OF('address.county')} AS county,"
+    f" coalesce(trim({_OF('homeStatus')}), trim({_found('<b>([^<]+)</b>')})) AS status, try_cast({_OF('daysOnZillow')} as int) AS days_listed, cast({_OF('latitude')} as double) AS latitude, {_OF('address.zipcode')} AS zip_code, {_OF('address.county')} AS county,"
     f" cast({_OF('lotSize')} as double) AS lot_size_sqft, round(cast({_OF('lotSize')} as double) / 43560e0, 6) AS lot_size_acres FROM pages_"
 )
 def page_fields(spark: SparkSession, d: str) -> DataFrame:
-    page = F.concat(_built(_DESCRIPTION), F.when(F.expr(_HAS_JSON), _built(_JSON)).otherwise(""), _built(_PILL))
+    script = reduce(lambda c, p: c.when(F.expr(p[0]), _built(p[1])), _JSONS.items(), F).otherwise("")
+    page = F.concat(_built(_DESCRIPTION), script, _built(_PILL))
     got = html.listing_fields(table(spark, d, "customer").select(F.col("c_custkey").alias("page"), page.alias("html")))
     kept = ["page", "description", "photo_count", "price", "beds", "baths", "home_size_sqft", "year_built", "zpid", "home_type", "status", "days_listed", "latitude", "zip_code", "county", "lot_size_sqft"]
     # The stated address runs to the end of the sentence; what follows its last comma is cut for the comparison.
@@ -140,14 +151,8 @@ def listing_links(spark: SparkSession, d: str) -> DataFrame:
 
 @register(f"SELECT zpid, case when h like 'http%' then h else 'https://h.org' || h end AS url FROM (SELECT c_custkey AS zpid, {_HREF} AS h, c_mktsegment AS m FROM customer) WHERE h IS NOT NULL AND h <> '#' AND m <> 'BUILDING'")
 def next_pages(spark: SparkSession, d: str) -> DataFrame:
-    links = table(spark, d, "customer").select("c_custkey", F.expr(_HREF).alias("href"), F.when(F.col("c_mktsegment") == "BUILDING", "true").alias("aria_disabled"))
-    # A page's links are looked at one by one; the key stays for the comparison.
-    return links.select(F.col("c_custkey").alias("zpid"), "href", "aria_disabled").transform(lambda df: _with_key(df))
-
-
-def _with_key(links: DataFrame) -> DataFrame:
-    live = html.next_page(links.select(F.concat_ws("\t", "href", F.col("zpid").cast("string")).alias("both"), "href", "aria_disabled").withColumn("href", F.when(F.col("href").isin("", "#") | F.col("href").isNull(), F.col("href")).otherwise(F.col("both"))), "https://h.org")
-    return live.select(F.split("url", "\t")[1].cast("long").alias("zpid"), F.split("url", "\t")[0].alias("url"))
+    links = table(spark, d, "customer").select(F.col("c_custkey").alias("zpid"), F.expr(_HREF).alias("href"), F.when(F.col("c_mktsegment") == "BUILDING", "true").alias("aria_disabled"))
+    return html.next_page(links, "https://h.org").select("zpid", "url")
 
 
 @register("SELECT l_orderkey AS zpid, l_linenumber AS line, coalesce(l_quantity > 0 AND l_linenumber * 8 < least(l_quantity, 40) - 2, false) AS short FROM lineitem")
@@ -159,7 +164,11 @@ def short_of_photos(spark: SparkSession, d: str) -> DataFrame:
 _CHALLENGE = "case c_nationkey % 5 when 0 then '<title>Access to this page has been DENIED</title>' when 1 then '<title>x</title><p>Please Press & Hold here</p>' when 2 then '<p>captcha</p>' else '<title>a home</title><script>captcha</script>' end"
 
 
-@register(f"SELECT c_custkey AS page, c_nationkey % 5 < 3 AS challenge FROM customer")
+_TITLE = "coalesce(regexp_extract(h, '<title>([^<]*)</title>', 1), '')"
+_SHOWN = "regexp_replace(regexp_replace(h, '<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>', chr(10), 'gi'), '<[^>]+>', chr(10), 'g')"
+
+
+@register(f"SELECT page, regexp_matches(lower({_TITLE} || chr(10) || {_SHOWN}), '{'|'.join(html.CHALLENGES).replace(chr(39), chr(39) * 2)}') AS challenge FROM (SELECT c_custkey AS page, {_CHALLENGE} AS h FROM customer)")
 def challenge_pages(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select(F.col("c_custkey").alias("page"), html.is_challenge(F.expr(_CHALLENGE)).alias("challenge"))
 
@@ -202,10 +211,12 @@ _PLACES = """places AS (SELECT c_custkey AS zpid, upper(substr(n_name, 1, 1)) ||
 _CRIME_SQL = f"WITH {_COUNTY}, {_CITY}, {_PLACES}, county AS (SELECT state, county, v / population * 100000 AS v, p / population * 100000 AS p FROM crimes JOIN pop USING (county, state)) SELECT zpid, round(coalesce(city.v, county.v), 6) AS violent_100k, round(coalesce(city.p, county.p), 6) AS property_100k FROM places LEFT JOIN city USING (city, state) LEFT JOIN county ON county.county = places.county AND county.state = places.state"
 
 
-def _crime_table(spark: SparkSession, d: str, unique: bool) -> DataFrame:
+def _crime_table(spark: SparkSession, d: str, unique: bool, twice: str = "false") -> DataFrame:
     nation, region = table(spark, d, "nation").where(~F.col("n_name").contains(" ")), table(spark, d, "region")
     state = F.when(F.col("n_nationkey") % 2 == 0, "OR").otherwise("Wash.")
     sheet = nation.select(state.alias("State"), F.lower("n_name").alias("City"), (F.col("n_nationkey") * 7).cast("string").alias("Violent crime"), (F.col("n_nationkey") * 9).cast("string").alias("Property crime"), (F.col("n_nationkey") * 100).cast("string").alias("Population"))
+    again = nation.where(twice).select(state.alias("State"), F.lower("n_name").alias("City"), (F.col("n_nationkey") * 5).cast("string").alias("Violent crime"), (F.col("n_nationkey") * 9).cast("string").alias("Property crime"), F.lit("1000").alias("Population"))
+    sheet = sheet.unionByName(again)
     place = table(spark, d, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
     addresses = place.select(F.col("c_custkey").alias("zpid"), F.concat(F.lit("1 A St, "), F.lower("n_name"), F.lit(", "), state, F.lit(" 97701")).alias("full_address"), F.concat("r_name", F.lit(" County")).alias("county"))
     out = enrichment.crime_table(addresses, enrichment.city_rates(sheet), _county_rates(spark, d), unique)
@@ -217,9 +228,21 @@ def crime_rates(spark: SparkSession, d: str) -> DataFrame:
     return _crime_table(spark, d, True)
 
 
-@register(_CRIME_SQL)
+#: Cities that the sheet has twice, with other figures.
+_TWICE = "n_nationkey % 4 = 1"
+_CRIME_ALL_SQL = _CRIME_SQL.replace("FROM nation WHERE n_name NOT LIKE '% %')", f"FROM nation WHERE n_name NOT LIKE '% %' UNION ALL SELECT 'WASHINGTON', upper(substr(n_name, 1, 1)) || lower(substr(n_name, 2)), n_nationkey * 5 / 1000e0 * 100000, n_nationkey * 9 / 1000e0 * 100000 FROM nation WHERE n_name NOT LIKE '% %' AND {_TWICE})", 1)
+
+
+@register(_CRIME_ALL_SQL)
 def crime_rates_all(spark: SparkSession, d: str) -> DataFrame:
-    return _crime_table(spark, d, False)
+    """A listing in a city that the sheet has twice has a row for each of its figures."""
+    return _crime_table(spark, d, False, _TWICE)
+
+
+@register(f"SELECT zpid, m.v AS violent_100k, m.p AS property_100k FROM (SELECT zpid, min(struct_pack(v := violent_100k, p := property_100k)) AS m FROM ({_CRIME_ALL_SQL}) GROUP BY zpid)")
+def crime_rates_first(spark: SparkSession, d: str) -> DataFrame:
+    """The same sheet, a row a listing."""
+    return _crime_table(spark, d, True, _TWICE)
 
 
 @register(
@@ -266,11 +289,15 @@ def json_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 _FEATURES: Parts = ['{"beds": ', ("s_nationkey",), ', "baths": ', ("s_nationkey",), '.5, "view_type": "', ("s_name",), '", "dedicated_office": true, "kitchen_quality": null, "unknown": 1}']
+#: In another order, with a list where a whole number should be, and cut off.
+_FEATURES_ODD: Parts = ['{"more": {"beds": 1}, "view_type": "', ("s_name",), '", "kitchen_quality": [3], "dedicated_office": true, "baths": ', ("s_nationkey",), '.5, "beds": ', ("s_nationkey",), "}"]
+_FEATURES_BAD: Parts = ['{"beds": ', ("s_nationkey",), ', "baths": ']
 
 
-@register("SELECT cast(s_suppkey as int) AS zpid, s_nationkey AS beds, s_nationkey + 0.5e0 AS baths, s_name AS view_type, true AS dedicated_office, cast(null as int) AS kitchen_quality FROM supplier")
+@register("SELECT cast(s_suppkey as int) AS zpid, case when ok then s_nationkey end AS beds, case when ok then s_nationkey + 0.5e0 end AS baths, case when ok then s_name end AS view_type, case when ok then true end AS dedicated_office, cast(null as int) AS kitchen_quality FROM (SELECT *, s_suppkey % 3 < 2 AS ok FROM supplier)")
 def feature_rows(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "supplier").select(F.col("s_suppkey").cast("int").alias("zpid"), _built(_FEATURES).alias("arguments"))
+    k = F.col("s_suppkey") % 3
+    rows = table(spark, d, "supplier").select(F.col("s_suppkey").cast("int").alias("zpid"), F.when(k == 0, _built(_FEATURES)).when(k == 1, _built(_FEATURES_ODD)).otherwise(_built(_FEATURES_BAD)).alias("arguments"))
     return tables.feature_rows(rows).select("zpid", "beds", F.col("baths").cast("double").alias("baths"), "view_type", "dedicated_office", "kitchen_quality")
 
 

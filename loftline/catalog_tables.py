@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loftline.catalog import ORACLE, _changes, register
+import loftline.catalog_more  # noqa: F401  (its SQL is used here)
+from loftline.catalog import ORACLE, _changes, _rounded, register
 from loftline.operators import joins, merge
-from loftline.sources import rules
+from loftline.plans import enrichment
+from loftline.sources import rules, workbooks
 from loftline.sources.keyed import keyed
+from loftline.sources.lineage import shared_root
 from loftline.sources.tables import table
+from loftline.streaming import queue
 
 
 def _keyed_sides(spark: SparkSession, d: str) -> list[DataFrame]:
@@ -48,3 +55,55 @@ def rule_report(spark: SparkSession, d: str) -> DataFrame:
     rating = F.when(F.col("event_type") == "purchase", "yes").when(F.col("event_type") == "view", "no").when(F.col("event_type") == "click", "maybe").when(F.col("event_type") != "refund", "bogus")
     rows = table(spark, d, "events").select(F.col("user_id").alias("zpid"), rating.alias("rating"))
     return rules.report(rules.checked(rows, rules.breaches_of("rating"), "zpid")[1], spark)
+
+
+# --- workbooks -------------------------------------------------------------------------------
+
+
+def _books(rows: DataFrame, by: str, sheet: str, titles: int, heads: list[str | None], footnote: str) -> DataFrame:
+    """A workbook for each value of ``by``: title rows, headers, the other columns' rows in order and a footnote, as exports have them."""
+
+    def book(frame: pd.DataFrame) -> pd.DataFrame:
+        lines = [[None if pd.isna(v) else v for v in r] for r in frame.drop(columns=by).sort_values(frame.columns[1]).itertuples(index=False)]
+        whole = [["An exported table"], *[None] * (titles - 1), heads, *lines, [footnote]]
+        return pd.DataFrame({"path": [f"{frame[by].iloc[0]}.xlsx"], "content": [workbooks.workbook({"Notes": [["see next sheet"]], sheet: whole})]})
+
+    return rows.groupBy(by).applyInPandas(book, "path string, content binary")
+
+
+@register(ORACLE["county_rates"])
+def county_rates_workbook(spark: SparkSession, d: str) -> DataFrame:
+    """The county rates from workbooks: a crime sheet under four titles, and a population sheet a state, whose first row is the state's own."""
+    region, every = table(spark, d, "region"), table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    crimes = every.join(region, F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name", "r_regionkey").agg(F.count("*").alias("v"), F.sum("s_suppkey").alias("p"))
+    state = lambda even, odd: F.when(F.col("r_regionkey") % 2 == 0, even).otherwise(odd)
+    crime_rows = crimes.select(F.lit("county").alias("book"), F.concat("r_name", F.lit(" County ")).alias("county"), state("Ore.", "wash").alias("state"), "v", "p")
+    crime_files = _books(crime_rows, "book", "Table 10", 4, ["County", "State", "Violent\ncrime", "Property-crime"], "")
+    label = F.concat(F.lit("."), "r_name", F.lit(" County, "), state("Oregon", "Washington"))
+    own = region.select(state("or", "wa").alias("book"), label.alias("label"), ((F.col("r_regionkey") + 1) * 1000).alias("n"))
+    # Each state's sheet begins with the state itself, which is skipped.
+    whole = own.select("book", F.lit(".").alias("label"), F.lit(1).cast("long").alias("n")).distinct()
+    people_files = _books(own.unionByName(whole), "book", "Estimates", 3, [None, "2023"], "Note: no label")
+    counties = workbooks.sheet_rows(crime_files, {"State": "state", "County": "county", "Violent crime": "violent crime", "Property crime": "property crime"}, header=4, sheet="Table 10", key="County")
+    people = workbooks.sheet_rows(people_files, {"county_state": 0, "population": 1}, header=3, sheet="Estimates", skip=1)
+    return _rounded(enrichment.county_rates(counties.drop("file", "sheet", "row"), enrichment.county_population(people)), ["state", "county"], ["violent_100k", "property_100k"])
+
+
+# --- streams ---------------------------------------------------------------------------------
+
+
+@register(ORACLE["queue_insert"])
+def queue_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The queue's inserts as a stream: what was queued or known before, then the events in two batches, the first of which comes twice."""
+    root = f"{shared_root(spark)}/queue-{uuid.uuid4().hex}"
+    at = F.timestamp_seconds(F.col("since") + 86_400)  # a stream begins after the epoch
+    asked = lambda df, key, since: df.select(F.col(key).cast("long").alias("zpid"), F.lit("ask").alias("kind"), since.cast("long").alias("since"))
+    known = table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").cast("long").alias("zpid"), F.lit("known").alias("kind"), F.lit(0).cast("long").alias("since"))
+    before = asked(table(spark, d, "supplier"), "s_suppkey", F.lit(0)).unionByName(known)
+    events = asked(table(spark, d, "events"), "user_id", F.col("event_id"))
+    half = events.agg((F.max("since") / 2).cast("long")).first()[0] or 0
+    for batch in (before, events.where(F.col("since") <= half), events.where(F.col("since") <= half), events.where(F.col("since") > half)):
+        batch.withColumn("at", at).write.mode("append").parquet(f"{root}/in")
+        messages = spark.readStream.schema("zpid long, kind string, since long, at timestamp").parquet(f"{root}/in")
+        queue.follow_queue(messages, f"{root}/log", f"{root}/state").awaitTermination()
+    return queue.queued(spark, f"{root}/log")

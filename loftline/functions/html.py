@@ -45,15 +45,31 @@ def description_fields(html: Column) -> dict[str, Column]:
     }
 
 
-_PROPERTY = "struct<zpid:bigint,homeType:string,propertyType:string,homeStatus:string,daysOnZillow:int,latitude:double,longitude:double,address:struct<zipcode:string,county:string>,lotSize:double>"
+#: Wanted fields of the embedded property, by their paths, with their types.
+_PROPERTY = {
+    "zpid": ("$.zpid", "bigint"),
+    "home_type": ("$.homeType", "string"),
+    "property_type": ("$.propertyType", "string"),
+    "status": ("$.homeStatus", "string"),
+    "days_listed": ("$.daysOnZillow", "int"),
+    "latitude": ("$.latitude", "double"),
+    "longitude": ("$.longitude", "double"),
+    "zip_code": ("$.address.zipcode", "string"),
+    "county": ("$.address.county", "string"),
+    "lot_size_sqft": ("$.lotSize", "double"),
+}
 
 
 def embedded_property(html: Column) -> Column:
-    """The first cached entry with a property, of the page's JSON; null where that is missing or malformed."""
+    """The property of the first cached entry that has one, as a variant; null where the page's JSON is missing or malformed.
+
+    Entries that hold something else, and fields of another type, don't spoil the rest.
+    """
     raw = _found(html, '(?s)<script id="__NEXT_DATA__" type="application/json">(.+?)</script>')
-    cache = F.get_json_object(raw, "$.props.pageProps.gdpClientCache")
-    entries = F.map_values(F.from_json(cache, f"map<string,struct<property:{_PROPERTY}>>"))
-    return F.try_element_at(F.filter(entries, lambda e: e["property"].isNotNull()), F.lit(1))["property"]
+    cache = F.try_variant_get(F.try_parse_json(raw), "$.props.pageProps.gdpClientCache", "string")
+    entries = F.map_values(F.try_variant_get(F.try_parse_json(cache), "$", "map<string,variant>"))
+    found = F.transform(entries, lambda e: F.try_variant_get(e, "$.property", "variant"))
+    return F.try_element_at(F.filter(found, lambda p: p.isNotNull() & ~F.is_variant_null(p) & F.schema_of_variant(p).startswith("OBJECT")), F.lit(1))
 
 
 def status_pill(html: Column) -> Column:
@@ -65,21 +81,13 @@ def status_pill(html: Column) -> Column:
 def listing_fields(pages: DataFrame) -> DataFrame:
     """All fields of each page (``html``), as columns beside what is there."""
     html = F.col("html")
-    got = embedded_property(html)
-    fields = description_fields(html) | {
-        "zpid": got["zpid"],
-        "home_type": got["homeType"],
-        "property_type": got["propertyType"],
-        "status": F.coalesce(listing_status(got["homeStatus"]), listing_status(status_pill(html))),
-        "days_listed": got["daysOnZillow"],
-        "latitude": got["latitude"],
-        "longitude": got["longitude"],
-        "zip_code": got["address"]["zipcode"],
-        "county": got["address"]["county"],
-        "lot_size_sqft": got["lotSize"],
-        "lot_size_acres": got["lotSize"] / SQFT_PER_ACRE,
+    held = pages.withColumn("_property", embedded_property(html))
+    got = {n: F.try_variant_get("_property", path, kind) for n, (path, kind) in _PROPERTY.items()}
+    fields = description_fields(html) | got | {
+        "status": F.coalesce(listing_status(got["status"]), listing_status(status_pill(html))),
+        "lot_size_acres": got["lot_size_sqft"] / SQFT_PER_ACRE,
     }
-    return pages.withColumns(fields)
+    return held.withColumns(fields).drop("_property")
 
 
 def text_lines(html: Column) -> Column:
@@ -117,9 +125,9 @@ def listing_links(links: DataFrame, host: str) -> DataFrame:
 
 
 def next_page(links: DataFrame, host: str) -> DataFrame:
-    """Where paging goes on: links that are neither disabled nor empty."""
+    """Where paging goes on: links that are neither disabled nor empty, with ``url`` beside what is there."""
     live = (F.coalesce(F.col("aria_disabled"), F.lit("")) != "true") & F.col("href").isNotNull() & ~F.col("href").isin("", "#")
-    return links.where(live).select(absolute(F.col("href"), host).alias("url"))
+    return links.where(live).withColumn("url", absolute(F.col("href"), host))
 
 
 def card_prices(html: Column) -> Column:

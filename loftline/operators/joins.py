@@ -38,10 +38,14 @@ def listing_base(properties: DataFrame, features: DataFrame, crime: DataFrame, g
 
 
 def with_user_data(listings: DataFrame, ratings: DataFrame, notes: DataFrame, allowed: bool = True, key: str = "zpid") -> DataFrame:
-    """Add rating and note, '' where there is none or the user may not see them."""
+    """Add rating and note, '' where there is none or the user may not see them.
+
+    A listing with several ratings or notes has the latest (by ``updated_at``, where there is one).
+    """
     if not allowed:
         return listings.withColumns({"rating": F.lit(""), "note": F.lit("")})
-    out = listings.join(ratings.select(key, "rating"), key, "left").join(notes.select(key, "note"), key, "left")
+    last = lambda df, c: df.groupBy(key).agg(F.max(F.struct(*[t for t in ("updated_at",) if t in df.columns], c))[c].alias(c))
+    out = listings.join(last(ratings, "rating"), key, "left").join(last(notes, "note"), key, "left")
     return out.withColumns({c: F.coalesce(c, F.lit("")) for c in ("rating", "note")})
 
 

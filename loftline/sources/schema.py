@@ -8,16 +8,47 @@ from pyspark.sql import types as T
 
 _KINDS = {"string": T.StringType(), "integer": T.IntegerType(), "number": T.FloatType(), "boolean": T.BooleanType()}
 
-_TEXT = "full_address city county financing_eligibility_explanation view_type negative_features_list positive_features_list general_assessment"
-_NUMBER = "baths lot_size_acres elementary_school_distance_miles middle_school_distance_miles high_school_distance_miles"
-_BOOL = "financing_eligibility dedicated_office"
-_INT = (
-    "beds home_size_sqft elementary_school_rating middle_school_rating high_school_rating privacy_level view_rating waterfront_quality land_usability "
-    "vegetation_density road_exposure negative_features_severity positive_features_score flood_risk_severity fire_risk_severity wind_risk_severity "
-    "heat_risk_severity air_risk_severity kitchen_quality bathroom_quality general_interior_quality general_exterior_quality house_style"
-)
-#: Kind of each listing feature.
-FEATURE_KINDS = {n: k for names, k in ((_TEXT, "string"), (_NUMBER, "number"), (_BOOL, "boolean"), (_INT, "integer")) for n in names.split()}
+#: The features of a listing and their kinds, in the order of their table's columns.
+FEATURE_KINDS = {
+    "full_address": "string",
+    "city": "string",
+    "county": "string",
+    "beds": "integer",
+    "baths": "number",
+    "home_size_sqft": "integer",
+    "lot_size_acres": "number",
+    "financing_eligibility": "boolean",
+    "financing_eligibility_explanation": "string",
+    "elementary_school_distance_miles": "number",
+    "elementary_school_rating": "integer",
+    "middle_school_distance_miles": "number",
+    "middle_school_rating": "integer",
+    "high_school_distance_miles": "number",
+    "high_school_rating": "integer",
+    "privacy_level": "integer",
+    "view_rating": "integer",
+    "view_type": "string",
+    "waterfront_quality": "integer",
+    "land_usability": "integer",
+    "vegetation_density": "integer",
+    "road_exposure": "integer",
+    "negative_features_severity": "integer",
+    "negative_features_list": "string",
+    "positive_features_score": "integer",
+    "positive_features_list": "string",
+    "flood_risk_severity": "integer",
+    "fire_risk_severity": "integer",
+    "wind_risk_severity": "integer",
+    "heat_risk_severity": "integer",
+    "air_risk_severity": "integer",
+    "dedicated_office": "boolean",
+    "kitchen_quality": "integer",
+    "bathroom_quality": "integer",
+    "general_interior_quality": "integer",
+    "general_exterior_quality": "integer",
+    "house_style": "integer",
+    "general_assessment": "string",
+}
 
 
 def struct_of(kinds: dict[str, str], key: str | None = None) -> T.StructType:

@@ -96,8 +96,12 @@ def resumed(links: DataFrame, page: int, index: int) -> DataFrame:
 
 
 def feature_rows(df: DataFrame, column: str = "arguments") -> DataFrame:
-    """Structured feature records (JSON) to typed rows with their key."""
+    """Structured feature records (JSON) to typed rows with their key.
+
+    Fields are taken one by one: an entry of another type is null by itself, and unknown
+    fields and their order don't matter.  A record that is no JSON has nulls throughout.
+    """
     from loftline.sources.schema import FEATURE_KINDS, struct_of
 
-    parsed = F.from_json(F.col(column), struct_of(FEATURE_KINDS))
-    return df.select("zpid", parsed.alias("_f")).select("zpid", "_f.*")
+    held = df.select("zpid", F.try_parse_json(F.col(column)).alias("_v"))
+    return held.select("zpid", *[F.try_variant_get("_v", f"$.{f.name}", f.dataType.simpleString()).alias(f.name) for f in struct_of(FEATURE_KINDS)])

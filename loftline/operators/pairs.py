@@ -127,9 +127,11 @@ class Ranges:
             self.maps.append((upto * parts // max(1, len(scores))).tolist())
 
     def of(self, score: Column, trial: Column) -> Column:
-        low, width = (F.element_at(F.lit([e[k] for e in self.ends]), trial + 1) for k in (0, 1))
+        # Written as text, a long list is one constant.
+        listed = lambda values, kind: F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
+        low, width = (F.element_at(listed([e[k] for e in self.ends], "double"), trial + 1) for k in (0, 1))
         bin_ = F.least(F.greatest(F.floor((score - low) / width), F.lit(0)), F.lit(_BINS - 1)).cast("int")
-        return F.element_at(F.element_at(F.lit(self.maps), trial + 1), bin_ + 1)
+        return F.element_at(F.element_at(F.array(*[listed(m, "int") for m in self.maps]), trial + 1), bin_ + 1)
 
 
 def even_parts(df: DataFrame) -> int:

@@ -12,7 +12,11 @@ that meets the bound is verified by banded alignment.  Items that are shorter
 than ``LONGEST`` are also sought as a whole.
 
 All items are taken against all documents, in blocks of items whose q-gram index
-has a bounded size; one scan of the documents serves a block.
+has a bounded size; one scan of the documents serves a block.  Shared q-grams are
+listed for some texts at a time.  A text that shares very many by itself, as a
+repetitive one does with a repetitive item, is cut into overlapping stretches;
+stretches that are alike are looked at once, and an item that was found without an
+edit isn't sought further.  So memory is bounded whatever texts and items repeat.
 
 Defined results: null or empty texts match nothing; so do items without letters
 and digits.  Items of under ``EXACT_BELOW`` letters and digits must occur exactly,
@@ -48,6 +52,11 @@ WINDOWS = [(n, int(EDIT_SHARE * n)) for n in range(SHORTEST, LONGEST) if n == SH
 EXACT_BELOW = 40
 #: Bytes of item text whose q-grams are indexed at once: about 40 times that in memory.
 INDEX_BYTES = 1 << 20
+#: Letters of an item that are indexed as one piece; longer items are several, which overlap by the longest window.
+PIECE = 2000
+#: Shared q-grams that are listed at a time, and letters of a text that has more of them by itself.
+LISTED = 2_000_000
+STRETCH = 1024
 _BITS = 22
 LEAK = "item_id long, doc_id long, row_id long, segment int, edits int, start int, end int"
 
@@ -83,8 +92,12 @@ def gram_hashes(text: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Item:
+    """An item, or a piece of a long one that begins at ``first``; ``number`` is the item's own."""
+
     item_id: int | None
     text: np.ndarray
+    number: int = 0
+    first: int = 0
     #: Length, edits and shared q-grams of the windows to look for.
     windows: list[tuple[int, int, int]] = field(default_factory=list)
 
@@ -101,7 +114,7 @@ class ItemIndex:
 
     def __init__(self, rows: list[tuple[int | None, str]]) -> None:
         every = [(i, folded(np.frombuffer(s.encode(), np.uint8))[0]) for i, s in rows]
-        self.items = [Item(i, t) for i, t in every if len(t) >= Q]
+        self.items = [Item(i, t[a : a + PIECE], k, a) for k, (i, t) in enumerate(every) if len(t) >= Q for a in piece_starts(t)]
         #: Items of fewer than q characters, by these.
         self.tiny: dict[bytes, list[int | None]] = {}
         for i, t in every:
@@ -118,17 +131,29 @@ class ItemIndex:
         self.maybe = np.zeros(1 << _BITS, bool)
         self.maybe[self.hashes >> np.uint64(64 - _BITS)] = True
 
-    def hits(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Place in ``text``, item and place in the item of every shared q-gram."""
+    def ranges(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places in ``text`` of q-grams that some item has, and where the index lists them."""
         h = gram_hashes(text)
         at = np.flatnonzero(self.maybe[h >> np.uint64(64 - _BITS)])
         lo, hi = np.searchsorted(self.hashes, h[at], "left"), np.searchsorted(self.hashes, h[at], "right")
+        return at[hi > lo], lo[hi > lo], hi[hi > lo]
+
+    def listed(self, at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place in the text, item and place in the item of every shared q-gram."""
         count = hi - lo
-        at, lo, count = at[count > 0], lo[count > 0], count[count > 0]
         which = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(count.sum())
         return np.repeat(at, count), self.item[which], self.place[which]
 
 
+def piece_starts(text: np.ndarray) -> list[int]:
+    """Where pieces of an item begin; every window lies in one of them.  Of pieces that are alike the first stands for all."""
+    n = len(text)
+    if n <= PIECE:
+        return [0]
+    every = [*range(0, n - PIECE, PIECE - LONGEST), n - PIECE]
+    return sorted({text[a : a + PIECE].tobytes(): a for a in reversed(every)}.values())
+
+
 def banded_edits(segment: np.ndarray, region: np.ndarray, budget: int) -> tuple[int, int, int]:
     """Fewest edits of ``segment`` against any part of ``region``; that part's bounds.
 
@@ -198,11 +223,11 @@ def _best_window(text: np.ndarray, item: np.ndarray, places: np.ndarray, first:
     return best, cost, begin + x, begin + y
 
 
-def find_in(text: np.ndarray, item: Item, at: np.ndarray, place: np.ndarray) -> tuple[int, int, int, int] | None:
-    """(window start, edits, start, end) of the best window of the shortest length found."""
+def find_in(text: np.ndarray, item: Item, at: np.ndarray, place: np.ndarray) -> tuple[int, int, int, int, int] | None:
+    """(place among the window lengths, edits, window start, start, end) of the best window of the shortest length found."""
     diagonal = at - place
     low = int(diagonal.min())
-    for n, edits, need in item.windows:
+    for size, (n, edits, need) in enumerate(item.windows):
         best = None
         # Bands of width 2e + 2 that overlap by half: any e + 1 diagonals lie in one of them.
         step = edits + 1
@@ -218,24 +243,18 @@ def find_in(text: np.ndarray, item: Item, at: np.ndarray, place: np.ndarray) ->
                 if not best[1]:
                     break
         if best:
-            return best
+            s, cost, x, y = best
+            return size, cost, item.first + s, x, y
     return None
 
 
-def find_leaks(buf: np.ndarray, offs: np.ndarray, index: ItemIndex) -> list[tuple[int, int, int, int, int, int]]:
-    """(item id, row, window start, edits, start and end byte in the row) of each item found in each text."""
-    text, where = folded(buf)
-    edges = np.searchsorted(where, offs)
-    out = []
-    for r in np.flatnonzero((np.diff(edges) > 0) & (np.diff(edges) < Q)).tolist() if index.tiny else []:
-        a, b = int(edges[r]), int(edges[r + 1])
-        out += [(i, r, 0, 0, int(where[a] - offs[r]), int(where[b - 1] + 1 - offs[r])) for i in index.tiny.get(text[a:b].tobytes(), [])]
-    at, item, place = index.hits(text)
+def _judged(text: np.ndarray, edges: np.ndarray, index: ItemIndex, at: np.ndarray, item: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, int, tuple]]:
+    """Row, item and best window of every pair of a text and an item that some of these shared q-grams tie."""
     row = np.searchsorted(edges, at, "right") - 1
     whole = at + Q <= edges[row + 1]
     at, item, place, row = at[whole], item[whole], place[whole], row[whole]
     if not len(at):
-        return out
+        return
     # Rows and items with too few shared q-grams on neighbouring bands of diagonals can be left out at once.
     pair = row * len(index.items) + item
     band = (at - place - (at - place).min()) // index.step
@@ -249,13 +268,93 @@ def find_leaks(buf: np.ndarray, offs: np.ndarray, index: ItemIndex) -> list[tupl
     use = good[which]
     at, item, place, row, pair = at[use], item[use], place[use], row[use], pair[use]
     order = np.argsort(pair, kind="stable")
-    groups = np.split(order, np.flatnonzero(np.diff(pair[order])) + 1) if len(order) else []
-    for group in groups:
+    for group in np.split(order, np.flatnonzero(np.diff(pair[order])) + 1) if len(order) else []:
         r, i = int(row[group[0]]), int(item[group[0]])
         found = find_in(text[edges[r] : edges[r + 1]], index.items[i], at[group] - edges[r], place[group])
         if found:
-            s, cost, x, y = found
-            out.append((index.items[i].item_id, r, s, cost, int(where[edges[r] + x] - offs[r]), int(where[edges[r] + max(x, y - 1)] + 1 - offs[r])))
+            yield r, i, found
+
+
+def _in_stretches(text: np.ndarray, index: ItemIndex, at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[int, tuple]]:
+    """Item and best window of every item found in one text, of which few shared q-grams are listed at a time."""
+    # Two windows that follow one another in overlapping stretches are never both cut.
+    over = LONGEST + 4 * index.step + Q
+    alive, seen, best = np.ones(len(index.items), bool), set(), {}
+    numbers = np.array([x.number for x in index.items])
+    for first in range(0, max(1, len(text) - over), STRETCH):
+        part = text[first : first + STRETCH + over]
+        content = part.tobytes()
+        if content in seen:
+            continue
+        seen.add(content)
+        some = slice(np.searchsorted(at, first), np.searchsorted(at, first + len(part) - Q, "right"))
+        grams, where, times = np.unique(lo[some], return_inverse=True, return_counts=True)
+        ends = dict(zip(lo[some].tolist(), hi[some].tolist()))
+        held = [np.arange(a, ends[a]) for a in grams.tolist()]
+        held = [h[alive[index.item[h]]] for h in held]
+        # How many q-grams each item shares with the stretch; items are dealt to groups that share few enough.
+        shares = np.zeros(len(index.items), np.int64)
+        for h, n in zip(held, times.tolist()):
+            shares += n * np.bincount(index.item[h], minlength=len(shares))
+        group = np.cumsum(shares) // LISTED
+        for g in np.unique(group[shares > 0]).tolist():
+            wanted = (group == g) & (shares > 0) & alive
+            if not wanted.any():
+                continue
+            mine = [h[wanted[index.item[h]]] for h in held]
+            count = np.array([len(h) for h in mine], np.int64)
+            starts, entries = np.cumsum(count) - count, np.concatenate(mine)
+            n = count[where]
+            which = entries[np.repeat(starts[where] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            near = np.repeat(at[some] - first, n)
+            for _, i, (size, cost, s, x, y) in _judged(part, np.array([0, len(part)]), index, near, index.item[which], index.place[which]):
+                if i not in best or (size, cost) < best[i][:2]:
+                    best[i] = size, cost, s, first + x, first + y
+                if (size, cost) == (0, 0):
+                    alive[numbers == numbers[i]] = False
+    yield from best.items()
+
+
+def _batched(counts: np.ndarray) -> Iterator[slice]:
+    """Runs of rows that share up to ``LISTED`` q-grams together; a row of more is alone."""
+    lo = total = 0
+    for k, n in enumerate(counts.tolist()):
+        if k > lo and total + n > LISTED:
+            yield slice(lo, k)
+            lo, total = k, 0
+        total += n
+    if lo < len(counts):
+        yield slice(lo, len(counts))
+
+
+def find_leaks(buf: np.ndarray, offs: np.ndarray, index: ItemIndex) -> list[tuple[int, int, int, int, int, int]]:
+    """(item id, row, window start, edits, start and end byte in the row) of each item found in each text."""
+    text, where = folded(buf)
+    edges = np.searchsorted(where, offs)
+    out = []
+    for r in np.flatnonzero((np.diff(edges) > 0) & (np.diff(edges) < Q)).tolist() if index.tiny else []:
+        a, b = int(edges[r]), int(edges[r + 1])
+        out += [(i, r, 0, 0, int(where[a] - offs[r]), int(where[b - 1] + 1 - offs[r])) for i in index.tiny.get(text[a:b].tobytes(), [])]
+    at, lo, hi = index.ranges(text)
+    row = np.searchsorted(edges, at, "right") - 1
+    counts = np.bincount(row, hi - lo, minlength=len(offs) - 1).astype(np.int64)
+    best: dict[tuple[int, int], tuple] = {}
+    for rows in _batched(counts):
+        a, b = np.searchsorted(row, [rows.start, rows.stop])
+        if a == b:
+            continue
+        if counts[rows].sum() > LISTED:
+            e, r = int(edges[rows.start]), rows.start
+            found = ((r, i, f) for i, f in _in_stretches(text[e : edges[r + 1]], index, at[a:b] - e, lo[a:b], hi[a:b]))
+        else:
+            found = _judged(text, edges, index, *index.listed(at[a:b], lo[a:b], hi[a:b]))
+        for r, i, f in found:
+            # Of a long item's pieces the best counts.
+            k = r, index.items[i].number
+            if k not in best or f[:2] < best[k][1][:2]:
+                best[k] = i, f
+    for (r, _), (i, (_, cost, s, x, y)) in best.items():
+        out.append((index.items[i].item_id, r, s, cost, int(where[edges[r] + x] - offs[r]), int(where[edges[r] + max(x, y - 1)] + 1 - offs[r])))
     return out
 
 

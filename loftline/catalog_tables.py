@@ -9,13 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import loftline.catalog_more  # noqa: F401  (its SQL is used here)
-from loftline.catalog import ORACLE, _changes, _rounded, register
-from loftline.operators import joins, merge
-from loftline.plans import enrichment
-from loftline.sources import rules, workbooks
+from loftline.catalog import _FIELD_PASS, _QUICK, BASE_SQL, ORACLE, SCORED_SQL, TOTAL_SQL, _base, _changes, _prices, _rounded, _scored, _total_sql, register
+from loftline.functions import scoring, text
+from loftline.operators import joins, merge, ranks
+from loftline.plans import enrichment, learning, listings
+from loftline.plans import ranking_job as job
+from loftline.plans.tournament import score_judge
+from loftline.sources import rules, tables, workbooks
 from loftline.sources.keyed import keyed
 from loftline.sources.lineage import shared_root
+from loftline.sources.schema import SCHEMAS, ensure_columns
 from loftline.sources.tables import table
+from loftline.spec import DEFAULT_WEIGHTS, QuerySpec, normalised_weights
 from loftline.streaming import queue
 
 
@@ -107,3 +112,98 @@ def queue_stream(spark: SparkSession, d: str) -> DataFrame:
         messages = spark.readStream.schema("zpid long, kind string, since long, at timestamp").parquet(f"{root}/in")
         queue.follow_queue(messages, f"{root}/log", f"{root}/state").awaitTermination()
     return queue.queued(spark, f"{root}/log")
+
+
+# --- parameters, sinks and small scans -------------------------------------------------------
+
+_ASKED = {"price": "30", "beds": "0", "home_size_sqft": "-4.5", "drive_time": "12.5", "kitchen_quality": "abc"}
+_GIVEN = DEFAULT_WEIGHTS | {"price": 30.0, "beds": 0.0, "home_size_sqft": -4.5, "drive_time": 12.5}
+
+
+@register(f"WITH {SCORED_SQL} SELECT zpid, round({_total_sql(normalised_weights(_GIVEN))}, 6) AS total_score FROM scored")
+def request_weights(spark: SparkSession, d: str) -> DataFrame:
+    """Totals under the weights of a request, valid ones of either sign and a malformed one."""
+    spec = QuerySpec.from_request({f"weight_{k}": v for k, v in _ASKED.items()})
+    return _rounded(scoring.scored(_base(spark, d), spec.weights, spec.params, prices=_prices(spark, d)), ["zpid"], ["total_score"])
+
+
+@register(f"WITH {TOTAL_SQL} SELECT 0e0 AS score_min, round(max(total_score), 6) AS score_max, cast(1 as int) AS rank_min, max(ai_rank) AS rank_max FROM totals")
+def slider_ends(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(listings.threshold_ranges(_scored(spark, d)), ["score_min", "rank_min", "rank_max"], ["score_max"])
+
+
+@register("SELECT s_suppkey AS zpid, concat_ws('&', printf('weight_price=%.2f', s_acctbal), case when s_nationkey > 5 then printf('weight_beds=%.2f', s_nationkey + 0.5e0) end) AS parameters FROM supplier")
+def weight_urls(spark: SparkSession, d: str) -> DataFrame:
+    weights = {"price": F.col("s_acctbal"), "beds": F.when(F.col("s_nationkey") > 5, F.col("s_nationkey") + 0.5)}
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("zpid"), text.weight_parameters(weights).alias("parameters"))
+
+
+@register(f"WITH {SCORED_SQL} SELECT zpid, round(coalesce(price_score, 50e0), 6) AS price, round(coalesce(dedicated_office_score, 50e0), 6) AS dedicated_office, round(coalesce(positive_features_score_score, 50e0), 6) AS positive_features_score FROM scored")
+def feature_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The learner's features of each listing, those that are missing at 50."""
+    scored = _scored(spark, d)
+    names, columns = learning.feature_matrix(scored)
+    held = scored.select("zpid", *columns)
+    return _rounded(held, ["zpid"], ["price", "dedicated_office", "positive_features_score"]) if len(names) == len(DEFAULT_WEIGHTS) else held
+
+
+@register("SELECT o_orderkey AS zpid, '1 A St, Bend, OR ' || c_custkey AS full_address, c_name AS county FROM orders JOIN customer ON o_orderkey = c_custkey")
+def property_addresses(spark: SparkSession, d: str) -> DataFrame:
+    features = table(spark, d, "customer").selectExpr("c_custkey AS zpid", "concat('1 A St, Bend, OR ', c_custkey) AS full_address", "c_name AS county")
+    return enrichment.property_addresses(table(spark, d, "orders").selectExpr("o_orderkey AS zpid", "o_totalprice AS price"), features)
+
+
+@register("SELECT o_orderkey AS zpid, coalesce(case when s_suppkey IS NOT NULL then 'yes' end, '') AS rating, '' AS note FROM orders LEFT JOIN supplier ON o_orderkey = s_suppkey")
+def unread_notes(spark: SparkSession, d: str) -> DataFrame:
+    """User data where the notes can't be read: they count as none."""
+    o = table(spark, d, "orders").selectExpr("o_orderkey AS zpid")
+    ratings = table(spark, d, "supplier").select(F.col("s_suppkey").alias("zpid"), F.lit("yes").alias("rating"))
+    return joins.with_user_data(o, ratings, tables.table_or_empty(spark, f"{d}/no_such_notes.parquet", SCHEMAS["notes"]))
+
+
+@register("SELECT zillow_url, cast(row_number() OVER (ORDER BY added_at ASC NULLS LAST, zillow_url) as int) AS place FROM (SELECT 'https://h/' || c_custkey AS zillow_url, case when c_nationkey > 2 then c_nationkey end AS added_at FROM customer)")
+def queue_order(spark: SparkSession, d: str) -> DataFrame:
+    """The work queue's links with their places, oldest first."""
+    queued = table(spark, d, "customer").selectExpr("concat('https://h/', c_custkey) AS zillow_url", "case when c_nationkey > 2 then c_nationkey end AS added_at")
+    return ranks.ordinal(queued, "added_at", ["zillow_url"], "place").select("zillow_url", "place")
+
+
+@register("SELECT s_suppkey AS zpid, s_acctbal AS violent_100k, cast(NULL as double) AS property_100k, 'kept' AS more FROM supplier")
+def evolved_columns(spark: SparkSession, d: str) -> DataFrame:
+    """A table that lacks a column of its schema gets it, empty; what else it has stays."""
+    held = table(spark, d, "supplier").select(F.col("s_suppkey").alias("zpid"), F.col("s_acctbal").alias("violent_100k"), F.lit("kept").alias("more"))
+    return ensure_columns(held, SCHEMAS["crime"])
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A catalogue of its own in the shared folder."""
+    name = f"loftline_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {name} LOCATION '{shared_root(spark)}/{name}'")
+    return name
+
+
+@register(
+    "SELECT 'replaced' AS held, s_suppkey AS zpid, s_acctbal AS amount, true AS stamped FROM supplier WHERE s_nationkey % 2 = 1 UNION ALL SELECT 'appended', s_suppkey, s_acctbal, NULL FROM supplier WHERE s_nationkey % 2 = 0"
+    " UNION ALL SELECT 'appended', s_suppkey, s_acctbal, NULL FROM supplier WHERE s_nationkey % 2 = 1 UNION ALL SELECT 'missing', NULL, NULL, NULL FROM region WHERE r_regionkey < 0"
+)
+def sinks(spark: SparkSession, d: str) -> DataFrame:
+    """Tables written whole twice with their time, and in two appends, and read back; a table that isn't there reads as empty."""
+    own, where = table(spark, d, "supplier").select(F.col("s_suppkey").alias("zpid"), F.col("s_acctbal").alias("amount"), "s_nationkey"), _scratch(spark)
+    even, odd = (own.where(F.col("s_nationkey") % 2 == k).drop("s_nationkey") for k in (0, 1))
+    for part in (even, odd):
+        tables.replace_table(part, f"{where}.crime", "stamped_at")
+        tables.append_rows(part, f"{where}.grocery")
+    replaced = spark.table(f"{where}.crime").select(F.lit("replaced").alias("held"), "zpid", "amount", F.col("stamped_at").isNotNull().alias("stamped"))
+    nothing = F.lit(None).cast("boolean").alias("stamped")
+    appended = tables.optional_table(spark, f"{where}.grocery").select(F.lit("appended").alias("held"), "zpid", "amount", nothing)
+    missing = tables.optional_table(spark, f"{where}.location", appended.select("zpid", "amount").schema).select(F.lit("missing").alias("held"), "zpid", "amount", nothing)
+    return replaced.unionByName(appended).unionByName(missing)
+
+
+@register(f"""WITH {BASE_SQL}, ends AS (SELECT min(price) AS lo, max(price) AS hi FROM base), qs AS (SELECT zpid, price, {_QUICK} AS quick_score FROM base CROSS JOIN ends), cut AS (SELECT quantile_cont(quick_score, 1e0 / 3e0) AS c FROM qs),
+q1 AS (SELECT zpid, price AS score, row_number() OVER (ORDER BY md5(zpid || 's'), zpid) AS start, 0 AS sum_rank FROM qs CROSS JOIN cut WHERE quick_score >= c),
+{_FIELD_PASS(1, "cast(floor((pos - 1) / 20e0) as int)")}, {_FIELD_PASS(2, "(pos - 1) % (SELECT ceil(count(*) / 20e0)::bigint FROM q1)")}, {_FIELD_PASS(3, "(pos - 1) % (SELECT ceil(count(*) / 20e0)::bigint FROM q1)")}
+SELECT zpid, cast(row_number() OVER (ORDER BY sum_rank, start) as int) AS rank FROM q4""")
+def ranking_job(spark: SparkSession, d: str) -> DataFrame:
+    """The job from its command line: quick cut, three passes in batches of 20, nothing saved."""
+    return job.run_ranking(spark, _base(spark, d), score_judge("price"), ["--batch-size", "20", "--passes", "3", "--dry-run", "--full", "--table", f"none_{uuid.uuid4().hex}"])

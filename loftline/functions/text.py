@@ -195,3 +195,8 @@ def prompt(summaries: DataFrame, group: Sequence[str], order: str, text: str = "
     """Texts of each group in order, set apart by a rule."""
     listed = F.sort_array(F.collect_list(F.struct(order, text)))
     return summaries.groupBy(*group).agg(F.array_join(F.transform(listed, lambda s: s[text]), "\n\n---\n\n").alias("prompt"))
+
+
+def weight_parameters(weights: Mapping[str, Column]) -> Column:
+    """Each row's ``weight_<feature>=<two decimals>``, joined by &; weights that a row lacks are left out."""
+    return F.concat_ws("&", *[F.when(c.isNotNull(), F.format_string(f"weight_{k}=%.2f", c.cast("double"))) for k, c in weights.items()])

@@ -44,6 +44,11 @@ def with_fallback(places: DataFrame, first: DataFrame, first_keys: list[str], se
     return joined.select(*places.columns, *[F.coalesce(f"{m}_fine", f"{m}_coarse").alias(m) for m in metrics])
 
 
+def property_addresses(properties: DataFrame, features: DataFrame) -> DataFrame:
+    """zpid, full_address and county of the listings that are in both tables."""
+    return properties.select("zpid").join(features.select("zpid", "full_address", "county"), "zpid")
+
+
 def crime_table(addresses: DataFrame, cities: DataFrame, counties: DataFrame, unique: bool = True) -> DataFrame:
     """zpid, violent_100k, property_100k: of the city, or else of the county; one row a listing if ``unique``.
 

@@ -9,7 +9,7 @@ from functools import reduce
 from operator import add
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loftline.functions.scoring import scored
@@ -188,15 +188,25 @@ def minimise(loss: PairLoss, w0: np.ndarray, low: float = -MAX_WEIGHT, high: flo
     return w
 
 
+def feature_matrix(scores: DataFrame, defaults: Mapping[str, float] = DEFAULT_WEIGHTS) -> tuple[list[str], list[Column]]:
+    """Features of a scored table, and their scores as columns of these names; a score that is missing or no number counts 50.
+
+    A feature is a column that ends in ``_score`` and whose name without every ``_score`` is a weight.
+    """
+    columns = {c.replace("_score", ""): c for c in scores.columns if c.endswith("_score")}
+    names = [n for n in defaults if n in columns or f"{n}_score" in scores.columns]
+    of = lambda n: F.col(columns.get(n, f"{n}_score"))
+    return names, [F.coalesce(F.nanvl(of(n).cast("double"), F.lit(50.0)), F.lit(50.0)).alias(n) for n in names]
+
+
 def learned_weights(scores: DataFrame, ratings: DataFrame, aggressiveness: float = 0.4, defaults: Mapping[str, float] = DEFAULT_WEIGHTS) -> tuple[dict[str, float], dict[str, object]]:
     """Weights blended from the learned and the default ones, and a report.
 
     Every rated row counts.  Up to ``MAX_RATED`` of them are collected; more stay in a
     written table, and each step of the search is an aggregate over it.
     """
-    names = [n for n in defaults if f"{n}_score" in scores.columns]
+    names, columns = feature_matrix(scores, defaults)
     level = reduce(lambda c, r: c.when(F.col("rating") == r[0], r[1]), RATING_VALUES.items(), F).alias("level")
-    columns = [F.coalesce(F.nanvl(F.col(f"{n}_score").cast("double"), F.lit(50.0)), F.lit(50.0)).alias(n) for n in names]
     rated = scores.join(ratings.where(F.col("rating").isin(*RATING_VALUES)).select("zpid", "rating"), "zpid").select("zpid", level, *columns)
     p, w0 = LearnParams.of(aggressiveness), np.array([float(defaults[n]) for n in names])
     rows = rated.orderBy("zpid").drop("zpid").limit(MAX_RATED + 1).collect()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +24,15 @@ def optional_table(spark: SparkSession, name: str, schema: T.StructType | None =
     return spark.createDataFrame([], schema or SCHEMAS[name])
 
 
+def table_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The table at ``path``, with the columns of ``schema``; empty where it can't be read or lacks one of them."""
+    try:
+        found = spark.read.parquet(path)
+        return found.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+
+
 def sheet(df: DataFrame, key: str) -> DataFrame:
     """Rows of an exported sheet that have their key column: drops titles and footnotes."""
     return df.where(F.col(f"`{key}`").isNotNull())

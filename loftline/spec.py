@@ -50,6 +50,35 @@ DEFAULT_WEIGHTS: dict[str, float] = {
     "avg_school_distance": 3,
 }
 
+#: How far each weight's slider goes, from 0.
+SLIDER_ENDS: dict[str, float] = {
+    "price": 50,
+    "home_size_sqft": 20,
+    "lot_size_acres": 20,
+    "beds": 15,
+    "baths": 15,
+    "drive_time": 20,
+    "avg_school_rating": 25,
+    "avg_school_distance": 15,
+    "kitchen_quality": 15,
+    "bathroom_quality": 15,
+    "general_interior_quality": 15,
+    "general_exterior_quality": 15,
+    "house_style": 15,
+    "dedicated_office": 25,
+    "privacy_level": 20,
+    "view_rating": 15,
+    "land_usability": 15,
+    "waterfront_quality": 15,
+    "road_exposure": 20,
+    "vegetation_density": 15,
+    "positive_features_score": 15,
+    "negative_features_severity": 20,
+    "avg_risk_severity": 20,
+    "avg_crime_severity": 20,
+}
+SLIDER_STEP = 0.5
+
 RANKING_MODES = ("score", "ai")
 RATINGS = ("yes", "maybe", "no")
 
@@ -60,6 +89,12 @@ def normalised_weights(weights: Mapping[str, float]) -> dict[str, float]:
     return {k: w / total for k, w in weights.items()} if total else dict(weights)
 
 
+def on_sliders(weights: Mapping[str, float]) -> dict[str, float]:
+    """Weights as their sliders can show them: within range, at the nearest step (of two, the lower)."""
+    steps = lambda w: -int(-(w / SLIDER_STEP - 0.5) // 1)
+    return {k: min(SLIDER_ENDS[k], max(0.0, steps(w) * SLIDER_STEP)) for k, w in weights.items()}
+
+
 def as_float(value: object, default: float | None = None) -> float | None:
     try:
         return float(value)  # type: ignore[arg-type]

@@ -5,12 +5,12 @@ Everything here is DataFrame functions; no Python runs on the executors.
 Entities (e-mail, ip, card and phone numbers) are found by pattern.  The terms
 around them are then weighed over the whole corpus.  With n(t) the occurrences
 of a term and n(t, e) those beside an entity e, the share n(t, e) / n(t) estimates
-how surely the term reveals e, and so does the same share of the different texts
-that hold the term.  The lower confidence bound (Wilson) of both must reach
-``MIN_SHARE``, and the first must be ``MIN_BITS`` above what e's frequency explains.
-Among the texts, copies count once, and so do the same surroundings of the same
-entity, wherever they are repeated: neither a line that a text repeats nor a text
-with many copies, exact or near, tells more than one text does.  e is
+how surely the term reveals e; its lower confidence bound (Wilson) must reach
+``MIN_SHARE``, and it must be ``MIN_BITS`` above what e's frequency explains.  How sure
+the share is depends on the different texts that show it, not on occurrences:
+copies of a text count once, and so do the same surroundings of the same entity,
+wherever they are repeated.  Neither a line that a text repeats nor a text with many
+copies, exact or near, tells more than one text does.  e is
 an entity by its value, such as one address, and also its kind, so that both a
 surname and a label are weighed.  A term above the thresholds is reported
 wherever it stands, in texts without any entity too.  ``sanitise`` removes the
@@ -48,7 +48,7 @@ _IP_PARTS = rf"^{_PART}(?:\.{_PART}){{3}}$"
 TERM = r"\p{L}[\p{L}\p{N}_]++"
 #: Code points on either side of an entity whose terms stand beside it.
 AROUND = 96
-#: Least bits, and least lower bound (at ``_Z`` standard errors) of the shares of a term's occurrences and texts that have it beside what it reveals.
+#: Least bits, and least lower bound (at ``_Z`` standard errors) of the share of a term's occurrences beside what it reveals.
 MIN_BITS, MIN_SHARE = 4.0, 0.5
 _Z = 1.645
 REMOVE_SHARE = 0.9
@@ -184,20 +184,17 @@ def disclosure(docs: DataFrame, found: DataFrame) -> DataFrame:
     pairs = found.select("hash", F.explode("near").alias("x")).select("hash", "x.term", "x.kind", "x.sighting", F.explode(F.array("x.entity", F.xxhash64("x.kind"))).alias("target"))
     once = pairs.groupBy("term", "kind", "target", "sighting").agg(F.count("*").alias("n"), F.min("hash").alias("hash"))
     beside = written(once.groupBy("term", "kind", "target").agg(F.sum("n").alias("n_near"), F.countDistinct("hash").alias("texts_near")), "beside")
-    different = _texts(docs).select("hash", _words(F.col("text")).alias("words")).groupBy("hash").agg(F.first("words").alias("words"), F.count("*").alias("copies"))
-    one = lambda n, texts: lambda t: F.struct(t.alias("term"), n.alias("n"), F.lit(texts).alias("texts"))
-    counted = different.select(F.explode(F.concat(F.transform("words", one(F.col("copies"), 0)), F.transform(F.array_distinct("words"), one(F.lit(0).cast("long"), 1)))).alias("c"))
-    total = written(counted.groupBy("c.term").agg(F.sum("c.n").alias("n"), F.sum("c.texts").alias("texts")), "terms")
+    counts = _texts(docs).select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    total = written(counts, "terms")
     words = total.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-
-    def low(k: Column, n: Column) -> Column:
-        p = k / n
-        return (p + _Z**2 / (2 * n) - _Z * F.sqrt(p * (1 - p) / n + _Z**2 / (4 * n * n))) / (1 + _Z**2 / n)
-
-    near, near_texts = F.least("n_near", "n"), F.least("texts_near", "texts")
-    sure = beside.join(total, "term").withColumn("share", F.least(low(near, F.col("n")), low(near_texts, F.col("texts")))).where(F.col("share") >= MIN_SHARE)
+    k = F.least("n_near", "n")
+    p = k / F.col("n")
+    # So many different texts, of which the share p has the term beside the entity, are what the counts rest on.
+    n = F.col("texts_near") / p
+    low = (p + _Z**2 / (2 * n) - _Z * F.sqrt(p * (1 - p) / n + _Z**2 / (4 * n * n))) / (1 + _Z**2 / n)
+    sure = beside.join(total, "term").withColumn("share", low).where(F.col("share") >= MIN_SHARE)
     places = beside.groupBy("target").agg(F.sum("n_near").alias("places"))
-    bits = F.log2(near / F.col("n")) - F.log2(F.col("places") / F.lit(max(1, words)))
+    bits = F.log2(p) - F.log2(F.col("places") / F.lit(max(1, words)))
     telling = sure.join(places, "target").withColumn("bits", bits).where(F.col("bits") >= MIN_BITS)
     best = telling.groupBy("term").agg(F.max(F.struct("share", "bits", "kind")).alias("b")).select("term", "b.kind", "b.share", "b.bits")
     out = written(best, "telling")

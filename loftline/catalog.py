@@ -756,13 +756,13 @@ _OWN_SCORES = "learnt AS (SELECT s_suppkey AS zpid, (s_acctbal + 1000) / 110e0 A
 
 @register(
     f"WITH {_OWN_SCORES}, s AS (SELECT v, price * {float(DEFAULT_WEIGHTS['price'])!r}e0 + beds * {float(DEFAULT_WEIGHTS['beds'])!r}e0 + (100e0 - drive) * {float(DEFAULT_WEIGHTS['drive_time'])!r}e0 AS s FROM learnt)"
-    " SELECT count(*) AS n_pairs, (SELECT count(*) FROM learnt) AS n_rated, round(sum(greatest(0e0, 1.12e0 - (a.v - b.v) * (a.s - b.s))), 4) AS loss_before, true AS lower, true AS held FROM s a JOIN s b ON a.v > b.v"
+    " SELECT count(*) AS n_pairs, (SELECT count(*) FROM learnt) AS n_rated, round(sum(greatest(0e0, 1.12e0 - (a.v - b.v) * (a.s - b.s))), 4) AS loss_before, true AS no_higher, true AS held FROM s a JOIN s b ON a.v > b.v"
 )
 def learn_report(spark: SparkSession, d: str) -> DataFrame:
-    """What learning from the suppliers' ratings starts from, and that it lowers the loss within the box."""
+    """What learning from the suppliers' ratings starts from, and that it doesn't raise the loss and keeps the box."""
     weights, told = _learned(spark, d)
-    row = (told["n_pairs"], told["n_rated"], round(told["loss_before"], 4), told["loss_after"] < told["loss_before"], all(abs(w) <= learning.MAX_WEIGHT for w in weights.values()))
-    return spark.createDataFrame([row], "n_pairs long, n_rated long, loss_before double, lower boolean, held boolean")
+    row = (told["n_pairs"], told["n_rated"], round(told["loss_before"], 4), told["loss_after"] <= told["loss_before"], all(abs(w) <= learning.MAX_WEIGHT for w in weights.values()))
+    return spark.createDataFrame([row], "n_pairs long, n_rated long, loss_before double, no_higher boolean, held boolean")
 
 
 @register(f"WITH {TOTAL_SQL}, ends AS (SELECT min({COMPOSITE_SQL['avg_crime_severity_raw']}) AS lo, max({COMPOSITE_SQL['avg_crime_severity_raw']}) AS hi FROM totals WHERE financing_eligibility), x AS (SELECT *, {COMPOSITE_SQL['avg_crime_severity_raw']} AS raw FROM totals WHERE financing_eligibility) SELECT zpid, rating, status, round(total_score, 6) AS total_score, cast(case when raw IS NULL then NULL else 4 - least(4, floor((raw - lo) / (hi - lo) * 5e0)) end as int) AS crime_icon_level FROM x CROSS JOIN ends WHERE rating IN ('yes', 'maybe', '') AND status = 'Active' AND (rating <> '' OR total_score >= 40)")

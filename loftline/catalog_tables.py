@@ -110,7 +110,7 @@ def queue_stream(spark: SparkSession, d: str) -> DataFrame:
     for batch in (before, events.where(F.col("since") <= half), events.where(F.col("since") <= half), events.where(F.col("since") > half)):
         batch.withColumn("at", at).write.mode("append").parquet(f"{root}/in")
         messages = spark.readStream.schema("zpid long, kind string, since long, at timestamp").parquet(f"{root}/in")
-        queue.follow_queue(messages, f"{root}/log", f"{root}/state").awaitTermination()
+        queue.follow_queue(messages, f"{root}/log", f"{root}/state", late="30 days").awaitTermination()
     return queue.queued(spark, f"{root}/log")
 
 

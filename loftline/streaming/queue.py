@@ -15,6 +15,8 @@ from loftline.operators.merge import last_writes
 
 #: How long after it was done an entry is due again.
 RECHECK = timedelta(days=3)
+#: How far messages may be behind.
+LATE = "1 hour"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _OUT = "zpid long, action string, since long, version long"
 
@@ -72,25 +74,26 @@ class QueueKeeper(StatefulProcessor):
         pass
 
 
-def queue_changes(messages: DataFrame, recheck: timedelta = RECHECK) -> DataFrame:
+def queue_changes(messages: DataFrame, recheck: timedelta = RECHECK, late: str = LATE) -> DataFrame:
     """Changes of the queue's entries (zpid, action, since, version) from a stream of messages.
 
     ``messages``: zpid long, kind ('ask', 'known' or 'done'), since long, at timestamp.  Timers run
-    by the messages' own time: an entry is due again when a message of ``recheck`` later has come.
+    by the messages' own time: an entry is due again when a message of ``recheck`` and ``late`` later
+    has come.  Messages may be ``late`` behind the latest one of earlier batches; older ones are dropped.
     """
     spark = messages.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    timed = messages.where(F.col("zpid").isNotNull() & F.col("at").isNotNull()).withWatermark("at", "0 seconds")
+    timed = messages.where(F.col("zpid").isNotNull() & F.col("at").isNotNull()).withWatermark("at", late)
     return timed.groupBy("zpid").transformWithStateInPandas(QueueKeeper(int(recheck.total_seconds() * 1000)), _OUT, "Update", "EventTime")
 
 
-def follow_queue(messages: DataFrame, path: str, checkpoint: str, recheck: timedelta = RECHECK) -> StreamingQuery:
+def follow_queue(messages: DataFrame, path: str, checkpoint: str, recheck: timedelta = RECHECK, late: str = LATE) -> StreamingQuery:
     """Append the queue's changes under ``path``, a folder a batch; a batch that runs again overwrites its own."""
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return queue_changes(messages, recheck).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return queue_changes(messages, recheck, late).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def entries(spark: SparkSession, path: str) -> DataFrame:

@@ -475,9 +475,11 @@ def row_count(spark: SparkSession, d: str) -> DataFrame:
 
 @register("WITH c AS (SELECT l_orderkey AS zpid, p_name AS name, l_shipdate AS d, l_linenumber AS n, l_quantity FROM lineitem JOIN part ON l_partkey = p_partkey) SELECT zpid, name, n FROM (SELECT *, row_number() OVER (PARTITION BY zpid ORDER BY d, n) AS k FROM c WHERE l_quantity >= 40 OR regexp_matches(lower(name), '\\btarget\\b|\\biga\\b')) WHERE k = 1")
 def first_qualifying(spark: SparkSession, d: str) -> DataFrame:
+    """What the date and the number leave open is settled by the place in the table's files: the one met first, as a scan in order has it."""
     lines, part = table(spark, d, "lineitem"), table(spark, d, "part").select("p_partkey", F.col("p_name").alias("name"))
-    found = lines.select(F.col("l_orderkey").alias("zpid"), "l_partkey", F.col("l_shipdate").alias("d"), F.col("l_linenumber").alias("n"), "l_quantity").join(part, F.col("l_partkey") == F.col("p_partkey"))
-    return joins.first_qualifying(found, "zpid", "d", (F.col("l_quantity") >= 40) | text.is_chain(F.col("name")), "n").select("zpid", "name", "n")
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
+    found = lines.select(F.col("l_orderkey").alias("zpid"), "l_partkey", F.col("l_shipdate").alias("d"), F.col("l_linenumber").alias("n"), "l_quantity", *place).join(part, F.col("l_partkey") == F.col("p_partkey"))
+    return joins.first_qualifying(found, "zpid", "d", (F.col("l_quantity") >= 40) | text.is_chain(F.col("name")), "n", "file", "row").select("zpid", "name", "n")
 
 
 # --- enrichment and text ---------------------------------------------------------------------

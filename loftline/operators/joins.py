@@ -64,9 +64,9 @@ def looked_up(df: DataFrame, table: DataFrame, key: str) -> DataFrame:
     return df.join(table, key, "inner")
 
 
-def first_qualifying(candidates: DataFrame, key: str, distance: str, qualifies: Column, tie: str) -> DataFrame:
-    """Nearest candidate of each key that qualifies."""
-    return one_per_key(candidates.where(qualifies), key, [distance, tie])
+def first_qualifying(candidates: DataFrame, key: str, distance: str, qualifies: Column, *ties: str) -> DataFrame:
+    """Nearest candidate of each key that qualifies; of equally near ones the first by ``ties``."""
+    return one_per_key(candidates.where(qualifies), key, [distance, *ties])
 
 
 def queue_heads(queued: DataFrame, found: DataFrame, page: int) -> DataFrame:

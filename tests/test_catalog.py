@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from loftline import catalog, catalog_more, catalog_tables  # noqa: F401
 
@@ -40,3 +41,12 @@ def test_query_equals_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE)))
 def test_other_queries_run(spark, name):
     assert catalog.QUERIES[name](spark, D).count() > 0
+
+
+def test_first_qualifying_takes_the_row_met_first(spark, tmp_path):
+    """Lines of the same date and number: the SQL leaves them open, a scan in order meets one first."""
+    lines = [(1, 9, 2, 50.0, "1995-08-16"), (1, 5, 2, 45.0, "1995-08-16"), (1, 4, 2, 3.0, "1995-08-16"), (2, 5, 1, 41.0, "1996-09-17"), (2, 9, 1, 49.0, "1996-09-17")]
+    held = spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_shipdate string").coalesce(1)
+    held.withColumn("l_shipdate", F.to_timestamp("l_shipdate")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(4, "old rod"), (5, "blue rod"), (9, "hot rod")], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    assert sorted(map(tuple, catalog.QUERIES["first_qualifying"](spark, str(tmp_path)).collect())) == [(1, "hot rod", 2), (2, "blue rod", 1)]

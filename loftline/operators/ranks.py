@@ -17,6 +17,8 @@ QUICK_WEIGHTS = {
     "kitchen_quality": 6, "bathroom_quality": 5, "general_interior_quality": 5, "privacy_level": 7, "road_exposure": 8, "land_usability": 4,
     "view_rating": 3, "positive_features_score": 2, "house_style": 3, "general_exterior_quality": 5,
 }
+#: All that it reads.
+QUICK_READS = ("price", *QUICK_WEIGHTS, "lot_size_acres", "home_size_sqft", "dedicated_office")
 
 
 def by_score(df: DataFrame, key: str = "zpid") -> DataFrame:

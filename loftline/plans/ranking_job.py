@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loftline.operators import ranks
-from loftline.plans.tournament import Judge, refreshed
+from loftline.plans.tournament import Judge, judged_columns, refreshed
 from loftline.sources import tables
 from loftline.sources.schema import SCHEMAS
 
@@ -44,7 +44,7 @@ class RankingOptions:
 
 def rank_listings(listings: DataFrame, ranked: DataFrame, judge: Judge, options: RankingOptions = RankingOptions()) -> DataFrame:
     """zpid and rank of what the quick cut leaves: anew, or by insertion into the ranks that there are."""
-    field = listings if options.no_filter else ranks.quick_cut(listings)
+    field = listings if options.no_filter else ranks.quick_cut(judged_columns(listings, judge, *ranks.QUICK_READS))
     return refreshed(field, ranked, judge, options.full, batch_size=options.batch_size, passes=options.passes)
 
 

@@ -42,6 +42,22 @@ def test_the_job_saves_inserts_and_ranks_anew(spark):
     spark.sql(f"DROP TABLE {name}")
 
 
+def test_the_job_stores_only_what_its_judge_reads(spark, monkeypatch):
+    from loftline.operators import ranks
+    from loftline.plans import tournament
+
+    held, rows = [], listings(spark, 40)
+    for module in (ranks, tournament):
+        monkeypatch.setattr(module, "stored", lambda df, store=module.stored: held.append(df.columns) or store(df))
+    by_score = job.run_ranking(spark, rows, score_judge("price"), ["--dry-run", "--full", "--batch-size", "4"]).collect()
+    assert max(map(len, held)) <= len(ranks.QUICK_READS) + 5 and max(map(len, held[1:])) < 12
+    held.clear()
+    # A judge that doesn't say what it reads gets all columns, and the ranks are the same.
+    seen = lambda df: ranks.judge_by_score(df, "price")
+    assert sorted(job.run_ranking(spark, rows, seen, ["--dry-run", "--full", "--batch-size", "4"]).collect()) == sorted(by_score)
+    assert max(map(len, held)) > len(rows.columns)
+
+
 def test_sliders():
     assert list(SLIDER_ENDS) != [] and set(SLIDER_ENDS) == set(DEFAULT_WEIGHTS)
     assert on_sliders({"price": 61.0, "beds": -2.0, "baths": 3.24, "drive_time": 3.26, "view_rating": 0.25}) == {"price": 50, "beds": 0.0, "baths": 3.0, "drive_time": 3.5, "view_rating": 0.0}

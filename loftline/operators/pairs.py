@@ -20,40 +20,64 @@ TURNED = ("avg_risk_severity", "avg_crime_severity", "avg_school_distance", "dri
 MAX_SENT = 1 << 22
 
 
+#: Rows of a block of positions; pairs come a tile of two blocks at a time.
+BLOCK = 256
+
+
 class Unranking:
     """Numbers all pairs i < j of different value, and makes any stretch of them.
 
-    Rows stand in the order of their positions.  Row r has a pair with each later row
-    of another value, so running counts of those tell which row a number belongs to,
-    and the rows that don't have its value, in order, hold the partner.
+    Rows stand in the order of their positions, in blocks.  Pairs are numbered by tiles, a
+    block against itself or a later one, so a stretch of the result holds few different
+    positions, which are stored as short numbers in runs that repeat.  Counts of the
+    values in each block tell how many pairs a tile has.
     """
 
     def __init__(self, pos: np.ndarray, value: np.ndarray) -> None:
         order = np.argsort(pos, kind="stable")
-        self.pos, value = pos[order], value[order]
-        self.kinds, self.kind = np.unique(value, return_inverse=True)
-        self.others = [np.flatnonzero(self.kind != k) for k in range(len(self.kinds))]
-        # How many rows of another value stand before each row.
-        self.passed = np.empty(len(pos), np.int64)
-        for k, rows in enumerate(self.others):
-            own = np.flatnonzero(self.kind == k)
-            self.passed[own] = np.searchsorted(rows, own)
-        later = np.array([len(rows) for rows in self.others], np.int64)[self.kind] - self.passed if len(pos) else self.passed
-        self.upto = np.concatenate([[0], np.cumsum(later)])
+        self.pos, self.value = pos[order], value[order]
+        kinds, kind = np.unique(self.value, return_inverse=True)
+        n = -(-len(pos) // BLOCK)
+        sizes = np.bincount(np.arange(len(pos)) // BLOCK * max(1, len(kinds)) + kind, minlength=n * len(kinds)).reshape(n, len(kinds)).astype(np.int64)
+        # Of each block, its pairs with all later ones and within; a row of tiles is only counted when it is asked for.
+        self.sizes = sizes
+        later = sizes[::-1].cumsum(0)[::-1] - sizes
+        across = sizes.sum(1) * later.sum(1) - (sizes * later).sum(1)
+        self.upto = np.concatenate([[0], np.cumsum(across + (sizes.sum(1) ** 2 - (sizes * sizes).sum(1)) // 2)]).astype(np.int64)
+        self.held: tuple[int, int, np.ndarray, np.ndarray, np.ndarray] = (0, 0, *[np.zeros(0, np.int64)] * 3)
 
     @property
     def total(self) -> int:
         return int(self.upto[-1])
 
+    def _tile(self, number: int) -> None:
+        """Hold the tile that a number is in."""
+        a = int(np.searchsorted(self.upto, number, "right")) - 1
+        own, others = self.sizes[a], self.sizes[a + 1 :]
+        within = (own.sum() ** 2 - (own * own).sum()) // 2
+        upto = self.upto[a] + np.concatenate([[0], np.cumsum(np.concatenate([[within], own.sum() * others.sum(1) - others @ own]))])
+        t = int(np.searchsorted(upto, number, "right")) - 1
+        left, right = (slice(k * BLOCK, (k + 1) * BLOCK) for k in (a, a + t))
+        # Rows of one value follow each other, as they have the same partners.
+        order = np.argsort(self.value[left], kind="stable")
+        pos, value = self.pos[left][order], self.value[left][order]
+        apart = value[:, None] != self.value[right][None, :]
+        if t == 0:
+            apart &= pos[:, None] < self.pos[right][None, :]
+        i, j = np.nonzero(apart)
+        self.held = (int(upto[t]), int(upto[t + 1]), pos[i], self.pos[right][j], value[i] - self.value[right][j])
+
     def pairs(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Both positions and the difference of the values of the pairs with these numbers."""
-        row = np.searchsorted(self.upto, numbers, "right") - 1
-        place = self.passed[row] + numbers - self.upto[row]
-        partner = np.empty(len(row), np.int64)
-        for k, rows in enumerate(self.others):
-            mine = self.kind[row] == k
-            partner[mine] = rows[place[mine]]
-        return self.pos[row], self.pos[partner], self.kinds[self.kind[row]] - self.kinds[self.kind[partner]]
+        """Both positions and the difference of the values of the pairs with these numbers, a stretch of them."""
+        made, at, stop = [[z[:0]] for z in self.held[2:]], int(numbers[0]) if len(numbers) else 0, int(numbers[-1]) + 1 if len(numbers) else 0
+        while at < stop:
+            if not self.held[0] <= at < self.held[1]:
+                self._tile(at)
+            first, upto = self.held[:2]
+            for out, z in zip(made, self.held[2:]):
+                out.append(z[at - first : min(stop, upto) - first])
+            at = min(stop, upto)
+        return tuple(map(np.concatenate, made))
 
 
 def preference_pairs(rated: DataFrame, pos: str, value: str, levels: Sequence[int] = (0, 1, 2), first: int = 0, stop: int | None = None) -> DataFrame:

@@ -122,3 +122,14 @@ def test_pairs_of_nulls_other_levels_and_too_many_rows(spark, monkeypatch):
     assert {tuple(r) for r in pairs.preference_pairs(df, "pos", "value").collect()} == want
     with pytest.raises(ValueError):
         pairs.preference_pairs(df, "pos", "value", first=1)
+
+
+def test_pairs_come_in_tiles_of_few_positions(spark, monkeypatch):
+    """A stretch of the result names few positions, and the tiles make up the whole."""
+    rng = random.Random(8)
+    rows = [(p, rng.randrange(3)) for p in rng.sample(range(5000), 700)]
+    monkeypatch.setattr(pairs, "BLOCK", 64)
+    known = pairs.Unranking(*(np.array(c, np.int64) for c in zip(*rows)))
+    i, j, diff = (np.concatenate(c) for c in zip(*(known.pairs(np.arange(a, min(a + 999, known.total))) for a in range(0, known.total, 999))))
+    assert set(zip(i.tolist(), j.tolist(), diff.tolist())) == plain_pairs(rows) and len(i) == known.total
+    assert max(len(np.unique(c[a : a + 2000])) for c in (i, j) for a in range(0, known.total, 2000)) <= 4 * 64

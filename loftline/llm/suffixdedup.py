@@ -12,8 +12,8 @@ anchor (more than half of ``PASSAGE``), and equal strings always have equal keys
 Only units whose key occurs more than once can hold a repeat; equal units are
 counted, and one stands for all.  Where a key has equal units only, all their
 starts repeat.  The other units are dealt by key into shards of bounded size.
-Each shard's suffix array is built by induced sorting; permuted common prefixes
-then show which starts share their bytes with another.  Keys with very many
+Each shard's suffix array is built by prefix doubling; permuted common prefixes of
+the starts in it then show which share their bytes with another.  Keys with very many
 different units are cut into tiles, each pair of tiles its own shard.
 
 Defined results: a null text is empty: nothing is removed.  Texts shorter than
@@ -64,6 +64,12 @@ class _Prefix:
         with np.errstate(over="ignore"):
             return mix64((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
 
+    def each(self, size: int) -> np.ndarray:
+        """Hashes of the spans of ``size`` bytes from every place."""
+        n = len(self.sums) - size
+        with np.errstate(over="ignore"):
+            return mix64((self.sums[size:] - self.sums[:n]) * self.down[:n] + np.uint64(size))
+
 
 def _window_least(values: np.ndarray, width: int) -> np.ndarray:
     """Least of each ``width`` successive values."""
@@ -85,22 +91,21 @@ def units_of(buf: np.ndarray, offs: np.ndarray, length: int, reach: int) -> tupl
     if len(buf) < length or not (sizes >= length).any():
         return none, none, none, none, none, none
     prefix, n = _Prefix(buf), len(buf)
-    at = np.arange(n - GRAM + 1)
-    gram = prefix.hash(at, at + GRAM)
     # The place breaks ties to the left; blocks are smaller than 2**32.
-    ranked = gram & ~np.uint64(0xFFFFFFFF) | at.astype(np.uint64)
-    least = _window_least(ranked, length - GRAM + 1)
-    anchor_at = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    ranked = prefix.each(GRAM)
+    ranked &= ~np.uint64(0xFFFFFFFF)
+    ranked |= np.arange(n - GRAM + 1, dtype=np.uint64)
+    anchor_at = _window_least(ranked, length - GRAM + 1).astype(np.uint32)
     good = np.zeros(n + 1, np.int32)
     rows = np.flatnonzero(sizes >= length)
     np.add.at(good, offs[:-1][rows], 1)
     np.add.at(good, offs[1:][rows] - length + 1, -1)
     start = np.flatnonzero(np.cumsum(good[:n]) > 0)
-    anchor = anchor_at[start]
+    anchor = anchor_at[start].astype(np.int64)
     # Strings with the anchor in their later half surely contain what precedes it; the others what follows.
     half = (length - GRAM) // 2
     late = anchor - start >= half
-    row = np.searchsorted(offs, start, "right") - 1
+    row = np.repeat(rows, sizes[rows] - length + 1)
     new = np.ones(len(start), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (late[1:] != late[:-1]) | (row[1:] != row[:-1])
     head = np.flatnonzero(new)
@@ -131,18 +136,16 @@ def _repeated(table: pa.Table, lengths: tuple[int, ...]) -> pa.Table:
         is_start[first[k] : first[k] + starts[k]] = True
         unit[first[k] : first[k] + sizes[k] + 1] = k
     order = suffix_array(text)
-    shared = common_prefixes(text, order, lengths[-1])
-    places = np.flatnonzero(is_start[order])
-    # Between starts that are neighbours in order, the least common prefix on the way.
-    between = np.minimum.reduceat(shared, places + 1 if places[-1] + 1 < len(order) else np.append(places[:-1] + 1, len(order) - 1))[: len(places) - 1]
+    order = order[is_start[order]]
+    between = common_prefixes(text, order, lengths[-1])[1:]
     room = np.append(first + sizes, len(text))[unit] - np.arange(len(text))
     out = []
     for length in lengths:
-        hit = np.zeros(len(places), bool)
+        hit = np.zeros(len(order), bool)
         hit[:-1] |= between >= length
         hit[1:] |= between >= length
         mark = np.zeros(len(text), bool)
-        mark[order[places[hit]]] = True
+        mark[order[hit]] = True
         # A unit that occurs several times repeats itself from start to end.
         mark |= is_start & (times > 1)[unit]
         # What is shared beyond a unit's own bytes doesn't count.

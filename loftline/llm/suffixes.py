@@ -1,11 +1,8 @@
-"""Suffix arrays by induced sorting, and permuted common prefixes.
+"""Suffix arrays by prefix doubling, and permuted common prefixes.
 
-The text of a shard is sorted as bytes: suffixes are classified, the leftmost
-smaller (LMS) substrings are sorted by inducing from their first bytes, named,
-and sorted as a shorter string by recursion; the order of all suffixes is then
-induced from theirs.  Over bytes a bucket is induced at a time in numpy.  In the
-recursion, over names, substrings are sorted in numpy and suffixes are induced by
-steps through plain lists.
+Suffixes are ranked by their first few symbols; each round sorts those that are
+still tied by the rank of what follows, which doubles the symbols that decide.
+Rank, rank of what follows and place fit one integer, so a round is a plain sort.
 """
 
 from __future__ import annotations
@@ -15,226 +12,85 @@ import numpy as np
 _WIDE = 7
 
 
-def _types(t: np.ndarray) -> np.ndarray:
-    """Whether each suffix is smaller than the next one; the last is."""
-    n = len(t)
-    step = np.sign(t[1:].astype(np.int64) - t[:-1])
-    # An equal neighbour takes the type of what follows the run.
-    nxt = np.minimum.accumulate(np.where(step != 0, np.arange(n - 1), n)[::-1])[::-1]
-    rising = np.ones(n, bool)
-    rising[:-1] = step[np.minimum(nxt, n - 2)] > 0
-    return rising
-
-
-def _lms(rising: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(rising[1:] & ~rising[:-1]) + 1
-
-
-def _same(t: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Whether the substrings at ``a`` and ``b`` are equal, symbol by symbol."""
-    same = size[a] == size[b]
-    at, left = np.flatnonzero(same), 0
-    while len(at):
-        differ = t[a[at] + left] != t[b[at] + left]
-        same[at[differ]] = False
-        at = at[~differ]
-        left += 1
-        at = at[size[a[at]] > left]
-    return same
-
-
-def _named(t: np.ndarray, lms: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, bool]:
-    """The string of names of the LMS substrings, from their order in ``sa``, and whether all differ."""
-    size = np.zeros(len(t), np.int64)
-    size[lms[:-1]] = lms[1:] - lms[:-1] + 1
-    size[lms[-1]] = 1
-    order = sa[size[sa] > 0]
-    new = np.ones(len(order), bool)
-    new[1:] = ~_same(t, order[1:], order[:-1], size)
-    names = np.zeros(len(t), np.int64)
-    names[order] = np.cumsum(new) - 1
-    return names[lms], bool(new.all())
-
-
-def _induce_small(t: np.ndarray, rising: np.ndarray, lms: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """All suffixes from ordered LMS ones, a suffix at a time.
-
-    Empty places hold 0, the suffix that has none before it.
-    """
-    falls, rises = np.where(rising, -1, t).tolist(), np.where(rising, t, -1).tolist()
-    # Nothing precedes suffix 0: the look-up at -1 must find nothing.
-    rises[-1] = -1
-    # The ordered LMS suffixes fill the ends of their buckets.
-    first = t[lms]
-    placed = np.zeros(len(t), np.int64)
-    placed[edges[first + 1] - np.searchsorted(first, first, "right") + np.arange(len(lms))] = lms
-    sa = placed.tolist()
-    head = edges[:-1].tolist()
-    for i in sa:
-        c = falls[i - 1]
-        if c >= 0:
-            at = head[c]
-            sa[at] = i - 1
-            head[c] = at + 1
-    tail = edges[1:].tolist()
-    for i in reversed(sa):
-        c = rises[i - 1]
-        if c >= 0:
-            tail[c] = at = tail[c] - 1
-            sa[at] = i - 1
-    return np.array(sa)
-
-
-#: Symbols up to which LMS substrings of names are sorted column by column; they seldom have more than a few.
-_COLUMNS = 64
-
-
-def _named_small(t: np.ndarray, rising: np.ndarray, lms: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, bool]:
-    """The string of names of the LMS substrings of ``t``, and whether all differ.
-
-    A symbol and its type tell where a substring ends, so substrings that agree so
-    far have all ended or all go on.  Those that agree are sorted by their next symbol.
-    """
-    kind, size = 2 * t + rising, np.append(np.diff(lms) + 1, 1)
-    order = np.argsort(kind[lms], kind="stable")
-    # A substring's rank is the place of the first one that equals it.
-    rank, key = np.zeros(len(lms), np.int64), kind[lms][order]
-    rank[order] = np.searchsorted(key, key)
-    tied = np.flatnonzero(np.bincount(rank, minlength=len(lms))[rank] > 1)
-    for k in range(1, _COLUMNS):
-        tied = tied[size[tied] > k]
-        if not len(tied):
-            break
-        key = rank[tied] * (2 * len(edges)) + kind[lms[tied] + k]
-        by = np.argsort(key, kind="stable")
-        tied, key, old = tied[by], key[by], rank[tied[by]]
-        rank[tied] = old + np.searchsorted(key, key) - np.searchsorted(old, old)
-        tied = tied[np.searchsorted(key, key, "right") - np.searchsorted(key, key) > 1]
-    else:
-        return _named(t, lms, _induce_small(t, rising, lms[np.argsort(t[lms], kind="stable")], edges))
-    names = np.unique(rank, return_inverse=True)[1]
-    return names, int(names.max()) + 1 == len(names)
-
-
-def _suffixes_small(t: np.ndarray) -> np.ndarray:
-    """Suffix array of names whose last, 0, occurs only there."""
-    if len(t) == 1:
-        return np.zeros(1, np.int64)
-    rising = _types(t)
-    lms, edges = _lms(rising), np.concatenate([[0], np.cumsum(np.bincount(t))])
-    short, done = _named_small(t, rising, lms, edges)
-    order = np.argsort(short) if done else _suffixes_small(short)
-    return _induce_small(t, rising, lms[order], edges)
-
-
-class _Induction:
-    """Induced sorting over a small alphabet, a bucket at a time."""
-
-    def __init__(self, t: np.ndarray) -> None:
-        self.t, self.rising = t, _types(t)
-        self.lms = _lms(self.rising)
-        self.edges = np.concatenate([[0], np.cumsum(np.bincount(t, minlength=int(t.max()) + 1))])
-
-    def _before(self, some: np.ndarray, rising: bool) -> np.ndarray:
-        j = some[some > 0] - 1
-        return j[self.rising[j] == rising]
-
-    def sort(self, lms: np.ndarray) -> np.ndarray:
-        """All suffixes, from ``lms`` suffixes in the order given."""
-        t, k = self.t, len(self.edges) - 1
-        first = t[lms]
-        by = np.argsort(first, kind="stable")
-        lms, cuts = lms[by], np.searchsorted(first[by], np.arange(k + 1))
-        # Falling suffixes, bucket by bucket upwards: those in waiting, what they bring to their own bucket, and the LMS.
-        fall: list[list[np.ndarray]] = [[] for _ in range(k)]
-        falling = []
-        for c in range(k):
-            mine, wave = [], np.concatenate(fall[c]) if fall[c] else lms[:0]
-            while len(wave):
-                mine.append(wave)
-                wave = self._before(wave, False)
-                own = t[wave] == c
-                self._deal(wave[~own], fall)
-                wave = wave[own]
-            self._deal(self._before(lms[cuts[c] : cuts[c + 1]], False), fall)
-            falling.append(np.concatenate(mine) if mine else lms[:0])
-        # Rising suffixes, downwards, in descending order.
-        rise: list[list[np.ndarray]] = [[] for _ in range(k)]
-        out: list[np.ndarray] = []
-        for c in range(k - 1, -1, -1):
-            mine, wave = [], np.concatenate(rise[c]) if rise[c] else lms[:0]
-            while len(wave):
-                mine.append(wave)
-                wave = self._before(wave, True)
-                own = t[wave] == c
-                self._deal(wave[~own], rise)
-                wave = wave[own]
-            self._deal(self._before(falling[c][::-1], True), rise)
-            out += [*mine, falling[c][::-1]]
-        # The end mark is the least suffix, and no other one brings it in.
-        sa = np.concatenate(out)[::-1]
-        return sa if len(sa) == len(t) else np.concatenate([[len(t) - 1], sa])
-
-    def _deal(self, some: np.ndarray, into: list[list[np.ndarray]]) -> None:
-        """Append suffixes to the buckets of their first symbols, in the order given."""
-        if not len(some):
-            return
-        first = self.t[some]
-        by = np.argsort(first, kind="stable")
-        some, first = some[by], first[by]
-        cuts = np.concatenate([[0], np.flatnonzero(first[1:] != first[:-1]) + 1, [len(some)]])
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            into[int(first[a])].append(some[a:b])
-
-
 def suffix_array(t: np.ndarray) -> np.ndarray:
     """Suffix array of symbols below 2**9 whose last, 0, occurs only there."""
-    if len(t) == 1:
-        return np.zeros(1, np.int64)
-    work = _Induction(t)
-    short, done = _named(t, work.lms, work.sort(work.lms))
-    return work.sort(work.lms[np.argsort(short) if done else _suffixes_small(short)])
+    n = len(t)
+    bits, used = n.bit_length(), np.bincount(t) > 0
+    code, each = (np.cumsum(used) - 1)[t], max(1, int(used.sum() - 1).bit_length())
+    # As many symbols as fit beside the place.
+    ahead = max(1, (63 - bits) // each)
+    code = np.concatenate([code, np.zeros(ahead, np.int64)])
+    key = code[:n].copy()
+    for k in range(1, ahead):
+        key <<= each
+        key |= code[k : k + n]
+    places, key = _sorted(key, np.arange(n, dtype=np.int32), bits + ahead * each <= 63, bits)
+    sa, rank, at = places, np.empty(n, np.int32), np.arange(n, dtype=np.int32)
+    while True:
+        new = np.ones(len(at) + 1, bool)
+        np.not_equal(key[1:], key[:-1], out=new[1:-1])
+        head = np.flatnonzero(new)
+        # A suffix's rank is the place of the first one that it ties with.
+        rank[places] = np.repeat(at[head[:-1]], np.diff(head))
+        at = at[~(new[:-1] & new[1:])]
+        if not len(at):
+            return sa
+        # The end occurs once, so tied suffixes have that many symbols.
+        places = sa[at]
+        key = rank[places].astype(np.int64)
+        key <<= bits
+        key |= rank[places + ahead]
+        places, key = _sorted(key, places, 3 * bits <= 63, bits)
+        sa[at] = places
+        ahead *= 2
+
+
+def _sorted(key: np.ndarray, places: np.ndarray, room: bool, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """``places`` and their keys by key, which may have room for the place."""
+    if not room:
+        by = np.argsort(key, kind="stable")
+        return places[by], key[by]
+    key <<= bits
+    key |= places
+    key.sort()
+    return (key & ((1 << bits) - 1)).astype(np.int32), key >> bits
 
 
 def common_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     """For each place in ``sa`` the common prefix with the suffix before it, up to ``most`` or a little over.
 
-    They are computed in text order: where the symbols before both suffixes
-    agree, the common prefix is one less than that of the suffix before.
+    ``sa`` holds all suffixes or some, in order.  They are computed in text order: where the
+    suffix one symbol longer follows the longer one of the suffix before, and both begin
+    alike, the common prefix is one less than theirs.
     """
     n = len(t)
-    before = np.full(n, -1)
+    before = np.full(n + 1, -1, np.int32)
     before[sa[1:]] = sa[:-1]
-    place = np.arange(n)
-    prior = np.maximum(before, 1) - 1
-    fresh = (before <= 0) | (place == 0) | (t[np.maximum(place, 1) - 1] != t[prior])
-    at = np.flatnonzero(fresh & (before >= 0))
-    size = np.zeros(n, np.int64)
+    place = np.flatnonzero(before >= 0)
+    # Of the text's first suffix none is longer: the look-up at -1 finds none.
+    own, longer = before[place], before[place - 1]
+    fresh = (longer < 0) | (longer + 1 != own) | (t[place - 1] != t[own - 1])
+    head = np.flatnonzero(fresh)
+    runs = np.diff(np.append(head, len(place)))
+    i, j = place[head], own[head].astype(np.int64)
     # Seven symbols of at most nine bits at a time, as one word.
     wide = np.concatenate([t.astype(np.int64), np.zeros(_WIDE, np.int64)])
     word = wide[:n].copy()
     for k in range(1, _WIDE):
-        word = (word << 9) + wide[k : k + n]
-    todo = at
+        word <<= 9
+        word |= wide[k : k + n]
+    size = np.zeros(len(head), np.int64)
     # A run that goes on from a fresh place may need what lies further back.
-    limit = most + _WIDE
-    runs = np.diff(np.append(at, n)) if len(at) else at
-    need = np.zeros(n, np.int64)
-    need[at] = limit + runs
-    while len(todo):
-        i, j = todo + size[todo], before[todo] + size[todo]
-        ok = (i < n) & (j < n)
-        ok[ok] = word[i[ok]] == word[j[ok]]
-        todo = todo[ok]
-        size[todo] += _WIDE
-        todo = todo[size[todo] < need[todo]]
-    todo = at
-    for _ in range(_WIDE):
-        i, j = todo + size[todo], before[todo] + size[todo]
-        ok = (i < n) & (j < n)
-        ok[ok] = t[i[ok]] == t[j[ok]]
-        todo = todo[ok]
-        size[todo] += 1
-    last = np.maximum.accumulate(np.where(fresh, place, 0))
-    permuted = np.where(before >= 0, np.maximum(size[last] - (place - last), 0), 0)
+    need = most + _WIDE + runs
+    for step, symbols in ((_WIDE, word), (1, t)):
+        todo, rounds = np.arange(len(head)), 0
+        while len(todo) and (step > 1 or rounds < _WIDE):
+            a, b = i[todo] + size[todo], j[todo] + size[todo]
+            ok = (a < n) & (b < n)
+            ok[ok] = symbols[a[ok]] == symbols[b[ok]]
+            todo = todo[ok]
+            size[todo] += step
+            todo, rounds = todo[size[todo] < need[todo]] if step > 1 else todo, rounds + 1
+    permuted = np.zeros(n, np.int64)
+    permuted[place] = np.maximum(np.repeat(size, runs) - (np.arange(len(place)) - np.repeat(head, runs)), 0)
     return permuted[sa]

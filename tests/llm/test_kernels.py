@@ -1,4 +1,5 @@
 import random
+import sys
 
 import numpy as np
 import public_tokenizers
@@ -51,6 +52,46 @@ def test_suffix_arrays():
             assert shared[k] == next(n for n in range(len(t) + 1) if x[n : n + 1] != y[n : n + 1])
 
 
+def test_suffix_arrays_take_no_steps_by_symbol():
+    def lines(t):
+        count = 0
+
+        def tracer(frame, event, arg):
+            nonlocal count
+            if frame.f_code.co_filename != suffixes.__file__:
+                return None
+            count += event == "line"
+            return tracer
+
+        old = sys.gettrace()
+        sys.settrace(tracer)
+        try:
+            order = suffixes.suffix_array(t)
+        finally:
+            sys.settrace(old)
+        assert len(order) == len(t)
+        return count
+
+    rng = np.random.default_rng(3)
+    units = rng.integers(2, 60, (300, 400)).astype(np.int16)
+    units[::2] = units[0]
+    units[:, -1] = 1
+    assert lines(np.append(units.ravel(), 0).astype(np.int16)) < 1000
+
+
+def test_common_prefixes_of_some_suffixes():
+    rng = random.Random(4)
+    for _ in range(200):
+        t = [rng.randint(1, rng.choice([1, 2, 3])) for _ in range(rng.randint(1, 60))] + [0]
+        a = np.array(t, np.int16)
+        order = suffixes.suffix_array(a)
+        some = order[np.array([rng.random() < 0.6 for _ in t])]
+        shared = suffixes.common_prefixes(a, some, 1000)
+        for k in range(1, len(some)):
+            x, y = t[some[k - 1] :], t[some[k] :]
+            assert shared[k] == next(n for n in range(len(t) + 1) if x[n : n + 1] != y[n : n + 1])
+
+
 def test_banded_edits():
     def plain(seg, region):
         row = [0] * (len(region) + 1)

@@ -5,8 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from datetime import timedelta
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -19,6 +18,9 @@ RECHECK = timedelta(days=3)
 LATE = "1 hour"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _OUT = "zpid long, action string, since long, version long"
+_CHANGE = Row("zpid", "action", "since", "version")
+#: At the same time asks come before marks; what is none of them comes last.
+_ORDER = {"ask": 0, "known": 1, "done": 2}
 
 
 class QueueKeeper(StatefulProcessor):
@@ -37,18 +39,17 @@ class QueueKeeper(StatefulProcessor):
         self.handle = handle
         self.entry = handle.getValueState("entry", "status string, since long, version long, done_at long")
 
-    def _put(self, key: tuple, status: str, since: int | None, version: int, done_at: int | None) -> pd.DataFrame:
+    def _put(self, key: tuple, status: str, since: int | None, version: int, done_at: int | None) -> Row:
         self.entry.update((status, since, version, done_at))
-        return pd.DataFrame({"zpid": [key[0]], "action": [status], "since": pd.array([since], "Int64"), "version": [version]})
+        return _CHANGE(key[0], status, since, version)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        status, since, version, done_at = self.entry.get() if self.entry.exists() else (None, None, 0, None)
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:  # noqa: N802, N803
+        held = self.entry.get() if self.entry.exists() else None
+        status, since, version, done_at = held or (None, None, 0, None)
         before = (status, since)
-        batch = pd.concat(rows)
-        # In time order; at the same time asks come before marks.
-        batch = batch.assign(_o=batch["kind"].map({"ask": 0, "known": 1, "done": 2})).sort_values(["at", "_o", "since"])
-        for kind, asked, at in zip(batch["kind"], batch["since"], batch["at"]):
-            ms = int(pd.Timestamp(at).timestamp() * 1000)
+        # Few messages a key come in a batch: plain tuples, as a frame for each key costs more than all else.
+        batch = sorted(((r["ms"], _ORDER.get(r["kind"], 3), r["since"] is None, r["since"] or 0, r["kind"], r["since"]) for r in rows), key=lambda m: m[:4])
+        for ms, _, _, _, kind, asked in batch:
             if kind == "ask" and status in (None, "queued"):
                 since = int(asked) if status is None else min(since, int(asked))
                 status = "queued"
@@ -65,7 +66,7 @@ class QueueKeeper(StatefulProcessor):
         if (status, since) != before or status == "done":
             yield self._put(key, status, since, version + 1, done_at)
 
-    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:  # noqa: N802, N803
         status, since, version, done_at = self.entry.get()
         if status == "done":
             yield self._put(key, "recheck", since, version + 1, done_at)
@@ -83,8 +84,8 @@ def queue_changes(messages: DataFrame, recheck: timedelta = RECHECK, late: str =
     """
     spark = messages.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    timed = messages.where(F.col("zpid").isNotNull() & F.col("at").isNotNull()).withWatermark("at", late)
-    return timed.groupBy("zpid").transformWithStateInPandas(QueueKeeper(int(recheck.total_seconds() * 1000)), _OUT, "Update", "EventTime")
+    timed = messages.where(F.col("zpid").isNotNull() & F.col("at").isNotNull()).withColumn("ms", F.unix_millis("at")).withWatermark("at", late)
+    return timed.groupBy("zpid").transformWithState(QueueKeeper(int(recheck.total_seconds() * 1000)), _OUT, "Update", "EventTime")
 
 
 def follow_queue(messages: DataFrame, path: str, checkpoint: str, recheck: timedelta = RECHECK, late: str = LATE) -> StreamingQuery:

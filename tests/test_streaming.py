@@ -39,3 +39,40 @@ def test_queue_of_a_stream_with_a_repeated_batch_and_rechecks(spark, tmp_path):
     # The last batch's time is a week later: entry 3 is due for its recheck.
     assert {r["zpid"]: (r["action"], r["since"]) for r in entries(spark, log).collect()} == {1: ("queued", 3), 2: ("known", None), 3: ("recheck", 4), 4: ("queued", 7), 5: ("queued", 9)}
     assert sorted(r["zpid"] for r in queued(spark, log).collect()) == [1, 3, 4, 5]
+
+
+def test_an_entry_takes_messages_as_plain_rows():
+    """No frame is made for a key; messages are taken in time order, asks before marks."""
+    from pyspark.sql import Row
+
+    from loftline.streaming.queue import QueueKeeper
+
+    class Held:
+        state, timers = None, []
+
+        def getValueState(self, name, schema):  # noqa: N802
+            return self
+
+        def exists(self):
+            return self.state is not None
+
+        def get(self):
+            return self.state
+
+        def update(self, state):
+            self.state = state
+
+        def registerTimer(self, ms):  # noqa: N802
+            self.timers.append(ms)
+
+        def deleteTimer(self, ms):  # noqa: N802
+            self.timers.remove(ms)
+
+    keeper, held = QueueKeeper(100), Held()
+    keeper.init(held)
+    rows = lambda *some: iter([Row(zpid=7, kind=k, since=s, ms=m) for k, s, m in some])
+    took = lambda *some: [tuple(r) for r in keeper.handleInputRows((7,), rows(*some), None)]
+    assert took(("known", None, 5), ("ask", 9, 5), ("ask", 4, 6)) == [(7, "queued", 4, 1)]
+    assert took(("ask", 4, 6)) == []
+    assert took(("done", None, 20)) == [(7, "done", 4, 2)] and held.timers == [120]
+    assert [tuple(r) for r in keeper.handleExpiredTimer((7,), None, None)] == [(7, "recheck", 4, 3)]

@@ -65,8 +65,8 @@ def looked_up(df: DataFrame, table: DataFrame, key: str) -> DataFrame:
 
 
 def first_qualifying(candidates: DataFrame, key: str, distance: str, qualifies: Column, *ties: str) -> DataFrame:
-    """Nearest candidate of each key that qualifies; of equally near ones the first by ``ties``."""
-    return one_per_key(candidates.where(qualifies), key, [distance, *ties])
+    """Nearest candidate of each key that qualifies; of equally near ones the first by ``ties``; nulls come last."""
+    return one_per_key(candidates.where(qualifies), key, [o for c in (distance, *ties) for o in (F.col(c).isNull(), c)])
 
 
 def queue_heads(queued: DataFrame, found: DataFrame, page: int) -> DataFrame:

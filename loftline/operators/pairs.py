@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from operator import add
 
@@ -20,64 +20,61 @@ TURNED = ("avg_risk_severity", "avg_crime_severity", "avg_school_distance", "dri
 MAX_SENT = 1 << 22
 
 
-#: Rows of a block of positions; pairs come a tile of two blocks at a time.
+#: Rows of a strip of partners; pairs come a row against a strip at a time.
 BLOCK = 256
 
 
 class Unranking:
-    """Numbers all pairs i < j of different value, and makes any stretch of them.
+    """Numbers all pairs of different value, and finds the rows of any of them.
 
-    Rows stand in the order of their positions, in blocks.  Pairs are numbered by tiles, a
-    block against itself or a later one, so a stretch of the result holds few different
-    positions, which are stored as short numbers in runs that repeat.  Counts of the
-    values in each block tell how many pairs a tile has.
+    Rows stand in the order of their values, then positions, so the partners of lower value are
+    those before the first row of a value.  These are cut into strips, and pairs are numbered
+    strip by strip, row by row: a stretch of the result holds few different positions,
+    which are stored as short numbers in runs that repeat.  All strips of a value but the last
+    are alike, so a pair's rows come from whole divisions by a few constants.
     """
 
     def __init__(self, pos: np.ndarray, value: np.ndarray) -> None:
-        order = np.argsort(pos, kind="stable")
+        order = np.lexsort((pos, value))
         self.pos, self.value = pos[order], value[order]
-        kinds, kind = np.unique(self.value, return_inverse=True)
-        n = -(-len(pos) // BLOCK)
-        sizes = np.bincount(np.arange(len(pos)) // BLOCK * max(1, len(kinds)) + kind, minlength=n * len(kinds)).reshape(n, len(kinds)).astype(np.int64)
-        # Of each block, its pairs with all later ones and within; a row of tiles is only counted when it is asked for.
-        self.sizes = sizes
-        later = sizes[::-1].cumsum(0)[::-1] - sizes
-        across = sizes.sum(1) * later.sum(1) - (sizes * later).sum(1)
-        self.upto = np.concatenate([[0], np.cumsum(across + (sizes.sum(1) ** 2 - (sizes * sizes).sum(1)) // 2)]).astype(np.int64)
-        self.held: tuple[int, int, np.ndarray, np.ndarray, np.ndarray] = (0, 0, *[np.zeros(0, np.int64)] * 3)
-
-    @property
-    def total(self) -> int:
-        return int(self.upto[-1])
-
-    def _tile(self, number: int) -> None:
-        """Hold the tile that a number is in."""
-        a = int(np.searchsorted(self.upto, number, "right")) - 1
-        own, others = self.sizes[a], self.sizes[a + 1 :]
-        within = (own.sum() ** 2 - (own * own).sum()) // 2
-        upto = self.upto[a] + np.concatenate([[0], np.cumsum(np.concatenate([[within], own.sum() * others.sum(1) - others @ own]))])
-        t = int(np.searchsorted(upto, number, "right")) - 1
-        left, right = (slice(k * BLOCK, (k + 1) * BLOCK) for k in (a, a + t))
-        # Rows of one value follow each other, as they have the same partners.
-        order = np.argsort(self.value[left], kind="stable")
-        pos, value = self.pos[left][order], self.value[left][order]
-        apart = value[:, None] != self.value[right][None, :]
-        if t == 0:
-            apart &= pos[:, None] < self.pos[right][None, :]
-        i, j = np.nonzero(apart)
-        self.held = (int(upto[t]), int(upto[t + 1]), pos[i], self.pos[right][j], value[i] - self.value[right][j])
+        starts = [*np.unique(self.value, return_index=True)[1].tolist(), len(pos)]
+        # Like strips: their numbers, the first row and how many, the first partner and the strip's width.
+        self.total, self.strips = 0, []
+        for first, end in zip(starts[1:], starts[2:]):
+            even = max(0, first // BLOCK - 1) * BLOCK
+            for partner, width, partners in ((0, BLOCK, even), (even, first - even, first - even)):
+                if partners:
+                    self.strips.append((self.total, self.total + (end - first) * partners, first, end - first, partner, width))
+                    self.total = self.strips[-1][1]
+
+    def rows(self, number: Column | np.ndarray, div: Callable, choose: Callable) -> tuple:
+        """Where both rows of the numbered pairs stand, that of higher value first.
+
+        Columns and arrays differ in whole division and the choice among cases, so both are given.
+        """
+        own, other = [], []
+        for start, stop, first, rows, partner, width in self.strips:
+            at = number - start
+            own.append((number < stop, div(at % (rows * width), width) + first))
+            other.append((number < stop, div(at, rows * width) * width + at % width + partner))
+        return choose(own), choose(other)
 
     def pairs(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Both positions and the difference of the values of the pairs with these numbers, a stretch of them."""
-        made, at, stop = [[z[:0]] for z in self.held[2:]], int(numbers[0]) if len(numbers) else 0, int(numbers[-1]) + 1 if len(numbers) else 0
-        while at < stop:
-            if not self.held[0] <= at < self.held[1]:
-                self._tile(at)
-            first, upto = self.held[:2]
-            for out, z in zip(made, self.held[2:]):
-                out.append(z[at - first : min(stop, upto) - first])
-            at = min(stop, upto)
-        return tuple(map(np.concatenate, made))
+        """Both positions and the difference of the values of the pairs with these numbers."""
+        own, other = self.rows(numbers, np.floor_divide, lambda cases: np.select(*zip(*cases)) if cases else numbers[:0])
+        i, j, diff = self.pos[own], self.pos[other], self.value[own] - self.value[other]
+        return np.minimum(i, j), np.maximum(i, j), np.where(i < j, diff, -diff)
+
+    def listed(self, numbers: DataFrame) -> DataFrame:
+        """The same for numbers in a column ``id``: i, j, diff; the positions and values go with the tasks."""
+        held = numbers.sparkSession.createDataFrame(pa.table({"pos": [self.pos.astype(np.int64)], "value": [self.value.astype(np.int32)]}))
+        own, other = self.rows(F.col("id"), lambda x, y: F.call_function("div", x, F.lit(y)), lambda cases: reduce(lambda rest, case: F.when(*case).otherwise(rest), reversed(cases), F.lit(0)).cast("int"))
+        # No place is beyond the end; said so, no column is nullable, and files need no marks of nulls.
+        at = lambda name, row: F.coalesce(F.get(held.select(name).scalar(), F.col(row)), F.lit(0))
+        found = numbers.select(own.alias("own"), other.alias("other")).select(
+            at("pos", "own").alias("own"), at("pos", "other").alias("other"), (at("value", "own") - at("value", "other")).alias("diff")
+        )
+        return found.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") < F.col("other"), F.col("diff")).otherwise(-F.col("diff")).alias("diff"))
 
 
 def preference_pairs(rated: DataFrame, pos: str, value: str, levels: Sequence[int] = (0, 1, 2), first: int = 0, stop: int | None = None) -> DataFrame:
@@ -96,19 +93,13 @@ def preference_pairs(rated: DataFrame, pos: str, value: str, levels: Sequence[in
         a = own.withColumn("want", F.explode(F.array(*[F.lit(v) for v in levels]))).where("want != v")
         b = own.select(F.col("i").alias("j"), F.col("v").alias("want"))
         return a.join(b, "want").where("i < j").select("i", "j", (F.col("v") - F.col("want")).alias("diff"))
-    spark = rated.sparkSession
-    sent = spark.sparkContext.broadcast((held["i"].to_numpy(), held["v"].to_numpy()))
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Unranking(*sent.value)
-        for batch in batches:
-            i, j, diff = known.pairs(batch.column("id").to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(diff.astype(np.int32))], ["i", "j", "diff"])
-
-    total = Unranking(*sent.value).total
-    numbers = spark.range(min(first, total), total if stop is None else min(stop, total), 1, max(1, min(10_000, total >> 20)))
+    known = Unranking(held["i"].to_numpy(), held["v"].to_numpy())
+    stop = known.total if stop is None else min(stop, known.total)
+    n = stop - min(first, stop)
+    # Tasks of a million pairs up to 256 of them, then larger ones up to 16 million, as each has a file to open and commit.
+    numbers = rated.sparkSession.range(stop - n, stop, 1, max(1, min(10_000, max(min(256, n >> 20), n >> 24))))
     names = {f.name: f.dataType for f in rated.schema}
-    return numbers.mapInArrow(make, "i long, j long, diff int").select(F.col("i").cast(names[pos]).alias("i"), F.col("j").cast(names[pos]).alias("j"), "diff")
+    return known.listed(numbers).select(F.col("i").cast(names[pos]).alias("i"), F.col("j").cast(names[pos]).alias("j"), "diff")
 
 
 def learner_score(weights: Mapping[str, float]) -> Column:

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -133,3 +134,18 @@ def test_pairs_come_in_tiles_of_few_positions(spark, monkeypatch):
     i, j, diff = (np.concatenate(c) for c in zip(*(known.pairs(np.arange(a, min(a + 999, known.total))) for a in range(0, known.total, 999))))
     assert set(zip(i.tolist(), j.tolist(), diff.tolist())) == plain_pairs(rows) and len(i) == known.total
     assert max(len(np.unique(c[a : a + 2000])) for c in (i, j) for a in range(0, known.total, 2000)) <= 4 * 64
+
+
+@pytest.mark.parametrize(("n", "shares"), [(0, (1,)), (40, (0, 1)), (9, (1, 1, 1)), (61, (5, 4, 3)), (70, (1, 0, 9)), (90, (1, 2, 3, 4, 5, 6, 7))])
+def test_pairs_are_numbered_in_columns(spark, monkeypatch, n, shares):
+    """No pair passes through Python or is marked for nulls; Columns and arrays number alike, whatever the widths of the strips."""
+    monkeypatch.setattr(pairs, "BLOCK", 4)
+    rng, levels = random.Random(n), range(len(shares))
+    rows = [(p, rng.choices(levels, shares)[0]) for p in rng.sample(range(-500, 500), n)]
+    found = pairs.preference_pairs(spark.createDataFrame(rows, "pos int, value int"), "pos", "value", levels)
+    assert not re.search("Arrow|Python|Join", found._jdf.queryExecution().executedPlan().toString())
+    assert [(f.name, f.dataType.simpleString(), f.nullable) for f in found.schema] == [("i", "int", False), ("j", "int", False), ("diff", "int", False)]
+    made = [tuple(r) for r in found.collect()]
+    assert sorted(made) == sorted(plain_pairs(rows))
+    known = pairs.Unranking(*np.array(rows, np.int64).reshape(-1, 2).T)
+    assert made == list(zip(*(c.tolist() for c in known.pairs(np.arange(known.total)))))
